@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+from . import decontaminate, media, packing, sharding
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
+    "op2_prefix_decontamination": decontaminate.query,
     "op3_iso_media": media.query,
+    "op5_bounded_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {}
