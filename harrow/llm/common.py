@@ -45,3 +45,37 @@ def ascii_lower(text: Column) -> Column:
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns; further columns of the input, whatever their names, stay out of the way."""
     return docs.select(*[docs[c].alias(c) for c in columns])
+
+
+def lookup(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A narrow materialised side of a join: broadcast after a count shows that it has at most ``rows`` rows;
+    beyond that the join is left to Spark, which shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root (the smallest node of its component) for every node of the links.
+
+    Each round points every node at the neighbour of least priority, drawn anew
+    each round, and contracts the links; a component of any shape, paths and
+    stars too, loses a constant share of its nodes a round. Sums of links are
+    aggregated before they are shuffled; nothing is collected.
+    """
+    edges = materialise(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    first, steps, k = edges, [], 0
+    while not edges.isEmpty():
+        both = edges.union(edges.select("v", "u"))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
+        step = both.groupBy("u").agg(F.least(F.min(rank("v")), F.first(rank("u"))).alias("to")).select("u", F.col("to.n").alias("to"))
+        step = materialise(step)
+        steps.append(step)
+        left, right = step.withColumnsRenamed({"to": "x"}), step.withColumnsRenamed({"u": "v", "to": "y"})
+        edges = edges.join(left, "u").join(right, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        edges, k = materialise(edges), k + 1
+    if not steps:
+        return first.select(F.col("u").alias("node"), F.col("u").alias("root"))
+    at = steps[0].withColumnsRenamed({"u": "node", "to": "at"})
+    for step in steps[1:]:
+        at = at.join(step.withColumnsRenamed({"u": "at"}), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+    at = materialise(at)
+    return at.join(at.groupBy("at").agg(F.min("node").alias("root")), "at").select("node", "root")

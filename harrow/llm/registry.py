@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, sharding
+from . import decontaminate, media, neardup, packing, sharding
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
     "op2_prefix_decontamination": decontaminate.query,
     "op3_iso_media": media.query,
+    "op4_multi_index_hamming": neardup.query,
     "op5_bounded_packing": packing.query,
 }
 
