@@ -47,10 +47,16 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[c].alias(c) for c in columns])
 
 
-def lookup(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A narrow materialised side of a join: broadcast after a count shows that it has at most ``rows`` rows;
+def lookup(df: DataFrame, width: Column | int = 16, most: int = 16 << 20) -> DataFrame:
+    """A materialised side of a join: broadcast once its summed ``width`` in bytes proves to be at most ``most``;
     beyond that the join is left to Spark, which shuffles both sides."""
-    return F.broadcast(df) if df.count() <= rows else df
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width).alias("n")).first().n or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """Every row as one struct ``kept`` beside the named columns, so that no column of the input can clash with an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept"), *[docs[c].alias(n) for n, c in named.items()])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

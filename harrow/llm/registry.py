@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, neardup, packing, sharding
+from . import decontaminate, linededup, media, neardup, packing, sharding
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_iso_media": media.query,
     "op4_multi_index_hamming": neardup.query,
     "op5_bounded_packing": packing.query,
+    "op10_line_spread": linededup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_spread": linededup.ORACLE}
