@@ -7,14 +7,15 @@ most radius // chunks positions (pigeonhole). So each chunk is indexed once
 for every choice of that many positions to leave out, and all pairs within the
 radius meet under an equal key. Links are then confirmed on the full sets.
 
-At similarity 0.85 a position differs with probability 0.15: of 64 positions more
-than 23 differ about three times in a million.
+At similarity s a position differs with probability 1 - s; the radius is the
+least that a pair at the wanted similarity exceeds with a probability under ``MISS``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, lookup, materialise, only, table
 
 _BITS = 16
+MISS = 1e-5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROTATE = np.uint64(29)
 
@@ -84,6 +86,14 @@ def masks(positions: int, chunks: int, radius: int) -> list[list[int]]:
     return out
 
 
+def radius_for(percent: int, positions: int, miss: float = MISS) -> int:
+    p, tail, d = 1 - percent / 100, 1.0, -1
+    while tail > miss:
+        d += 1
+        tail -= comb(positions, d) * p**d * (1 - p) ** (positions - d)
+    return d
+
+
 def _batches(column: pa.Array, weight: int = 4 << 20) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
@@ -96,9 +106,11 @@ def _batches(column: pa.Array, weight: int = 4 << 20) -> Iterator[tuple[int, int
 
 
 class NearDuplicates:
-    def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80, positions: int = 64, chunks: int = 12, radius: int = 23, text: str = "text", key: str = "doc_id"):
-        self.docs, self.width, self.percent, self.radius = only(docs, key, text).toDF("doc_id", "text"), width, percent, radius
-        self.positions, self.masks = positions, masks(positions, chunks, radius)
+    def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80, positions: int = 64, radius: int | None = None, chunks: int | None = None, text: str = "text", key: str = "doc_id"):
+        self.whole, self.names, self.width, self.percent = docs, (key, text), width, percent
+        self.docs = only(docs, key, text).toDF("doc_id", "text")
+        self.radius = radius_for(percent, positions) if radius is None else radius
+        self.positions, self.masks = positions, masks(positions, chunks or self.radius // 2 + 1, self.radius)
 
     def signatures(self) -> DataFrame:
         """doc_id, n_shingles, row (hash of the row), same (digest of the set, null for an empty set), sig."""
@@ -213,6 +225,18 @@ class NearDuplicates:
         both = pairs.join(root("a", "p"), "a", "left").join(root("b", "q"), "b", "left")
         return both.where(~F.coalesce("p", "a").eqNullSafe(F.coalesce("q", "b"))).select("a", "b")
 
+    def _assigned(self) -> DataFrame:
+        rows = materialise(self.signatures())
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        reps = rows.where("same is not null").groupBy("same").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        reps = materialise(reps.withColumn("row", F.col("first.row")))
+        reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))
+        _, parts = self.links(reps)
+        of = reps.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("root"), "first")
+        ids = of.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_texts"))
+        of = materialise(of.drop("first").join(ids, "root").select("same", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("stays"), "n_texts"))
+        return rows.select("doc_id", "n_shingles", "same", "row").join(of, "same", "left")
+
     def classes(self) -> DataFrame:
         """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), n_texts (different sets in the component), kept.
 
@@ -222,19 +246,22 @@ class NearDuplicates:
         beside another; of rows that repeat both doc_id and text all are kept
         or none. An empty table gives none.
         """
-        rows = materialise(self.signatures())
-        reps = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-        reps = materialise(reps)
-        reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))
-        _, parts = self.links(reps)
-        of = reps.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("root"), "least")
-        ids = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_texts"))
-        of = materialise(of.join(ids, "root").select("same", "component_id", "n_texts"))
-        out = rows.select("doc_id", "n_shingles", "same").join(of, "same", "left")
         component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+        out = self._assigned().select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+    def deduplicated(self) -> DataFrame:
+        """The rows of docs, with all their columns, without all but one row of each component; rows without a shingle stay."""
+        rows = materialise(self._assigned().select("row", (F.col("same").isNotNull() & (F.col("row") != F.col("stays"))).alias("goes")))
+        out = self.whole.withColumn("__row", F.xxhash64(*self.names))
+        gone = materialise(rows.where("goes").select(F.col("row").alias("__row")).distinct())
+        out = out.join(lookup(gone), "__row", "left_anti")
+        twice = materialise(rows.where("not goes").groupBy(F.col("row").alias("__row")).count().where("count > 1").select("__row"))
+        if not twice.isEmpty():
+            twice = lookup(twice)
+            out = out.join(twice, "__row", "left_anti").unionByName(out.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
+        return out.drop("__row")
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents"), width=3, percent=85).classes().select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, media, neardup, packing, sharding
+from . import chat, decontaminate, language, linededup, media, neardup, packing, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
@@ -10,7 +10,11 @@ QUERIES = {
     "op3_iso_media": media.query,
     "op4_multi_index_hamming": neardup.query,
     "op5_bounded_packing": packing.query,
+    "op6_language_id": language.query,
+    "op7_chat_round_trip": chat.query,
+    "op8_ordinal_toxicity": toxicity.query,
+    "op9_sparse_suffixes": suffixes.query,
     "op10_line_spread": linededup.query,
 }
 
-ORACLES: dict[str, str] = {"op10_line_spread": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op7_chat_round_trip": chat.ORACLE, "op10_line_spread": linededup.ORACLE}

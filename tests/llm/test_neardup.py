@@ -61,14 +61,26 @@ def test_edge_cases(spark):
     assert run(spark, []) == []
 
 
-@pytest.mark.parametrize("chunks, radius", [(12, 23), (8, 23), (24, 23)])
-def test_real_documents_and_other_indexes(spark, chunks, radius):
+@pytest.mark.parametrize("width, percent, more", [(3, 85, {}), (5, 80, {"chunks": 8, "radius": 26})])
+def test_real_documents_and_other_indexes(spark, width, percent, more):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    got = run(spark, docs, chunks=chunks, radius=radius)
-    assert got == brute(docs, 3, 85)
+    got = run(spark, docs, width, percent, **more)
+    assert got == brute(docs, width, percent)
     assert any(r[0] != r[2] for r in got)
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "A b c d e f"), (3, "other words stand here now"), (3, "other words stand here now"), (None, "a b c d e f"), (4, None), (5, ""), (None, "lone text without an id"), (None, "lone text without an id")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(texts)], "doc_id long, text string, node int")
+    got = neardup.NearDuplicates(df).deduplicated()
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (3, "other words stand here now"), (4, None), (5, ""), (None, "lone text without an id")], key=str)
+
+
+def test_radius():
+    assert neardup.radius_for(85, 64) == 23 and neardup.radius_for(80, 64) == 28
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     rng = random.Random(3)
     kept = neardup.masks(64, 12, 23)
