@@ -29,7 +29,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[i] = np.concatenate([[1], np.cumprod(np.full(2 * n, base, np.uint64))]).astype(np.uint64)
+            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base, np.uint64), dtype=np.uint64)])
     return _POWERS
 
 
@@ -147,7 +147,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
 
     found = materialise(array.mapInPandas(neighbours, "of long, start int, stop int, at int, gram long, right binary, left binary"))
     edges = found.where("start is null").select(*kind.replace(" long", "").replace(" int", "").replace(" binary", "").split(", ")).distinct()  # a few rows for each partition
-    across = edges.groupBy(F.lit(0)).applyInPandas(lambda f: _matches(f.sort_values(order), least), "of long, start int, stop int")
+    across = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: _matches(f.sort_values(order), least), "of long, start int, stop int")
     spans = found.where("start is not null").select("of", "start", "stop").union(across).groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def join(texts_spans: Iterator[pd.Series]) -> Iterator[pd.Series]:
