@@ -55,7 +55,7 @@ def eligible_path(path: Column) -> Column:
 def sections(body: Column) -> Column:
     """The second-level sections of a markdown text: array of (title, text)."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n## +"), 2, 10_000)
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("text")))
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text")))
 
 
 def write_committed(items: DataFrame, path: str) -> None:
