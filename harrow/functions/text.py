@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 SPACE = r"[\s ]+"
 
@@ -136,3 +138,38 @@ def keywords_present(html: Column | str, words: Column) -> Column:
     """Any of the words in the text of a page, without scripts, styles and tags."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c(html)), r"(?s)<script.*?</script>", " "), r"(?s)<style.*?</style>", " "), r"<[^>]+>", " ")
     return F.exists(words, lambda w: (w != "") & F.contains(bare, F.lower(w)))
+
+
+def index_list(values: Column, available: Column, most: int) -> Column:
+    """Whole numbers in range, each once, 0 taken as 1, at most ``most``."""
+    numbers = F.transform(F.transform(values, lambda v: F.trim(v).try_cast("int")), lambda n: F.when(n == 0, 1).otherwise(n))
+    return F.slice(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n >= 1) & (n <= available))), 1, most)
+
+
+def variants(x: Column | str) -> Column:
+    """Forms of a quoted text: as it is, without an ellipsis, without brackets at its end, its part before them."""
+    v = F.trim(F.coalesce(c(x), F.lit("")))
+    forms = F.array(v, F.trim(F.regexp_replace(v, r"(\.{2,}|…)+$", "")), F.trim(F.regexp_replace(v, r"\s*[\[(（【][^\])）】]*[\])）】]?$", "")), F.trim(F.regexp_extract(v, r"^(.*?)(?:\.{3}|…)", 1)))
+    return F.array_distinct(F.filter(forms, lambda s: s != ""))
+
+
+def _salvage(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    decoder = json.JSONDecoder()
+
+    def first(t: str | None) -> str | None:
+        body = re.sub(r",\s*([}\]])", r"\1", (t or "").translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}))
+        for at in (m.start() for m in re.finditer(r"\{", body)):
+            try:
+                found, _ = decoder.raw_decode(body, at)
+            except ValueError:
+                continue
+            return json.dumps(found, ensure_ascii=False)
+        return None
+
+    for column in texts:
+        yield pd.Series([first(t) for t in column], dtype=object)
+
+
+def json_object_in(x: Column | str) -> Column:
+    """The first JSON object in a text, fences, typographic quotes and trailing commas forgiven; read it with from_json."""
+    return F.pandas_udf(_salvage, StringType())(c(x))

@@ -95,6 +95,26 @@ def by_strategy(candidates: DataFrame, by: list[str], record: str, strategy: str
     return votes.where("have = records").groupBy(*by).agg(F.min(F.struct("rank", strategy, xpath)).alias("m")).select(*by, f"m.{strategy}", f"m.{xpath}")
 
 
+def union_pattern(rows: DataFrame, by: list[str], xpath: str, pos: str) -> DataFrame:
+    """'a | b' for a key with exactly two paths, if they differ in more than positions."""
+    once = rows.groupBy(*by, xpath).agg(F.min(pos).alias("first"))
+    two = once.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(xpaths.strip_index(xpath)).alias("shapes"), F.min_by(xpath, F.struct("first", xpath)).alias("a"), F.max_by(xpath, F.struct("first", xpath)).alias("b"))
+    return two.where("n = 2 and shapes = 2").select(*by, F.concat_ws(" | ", "a", "b").alias("pattern"))
+
+
+def prefers_union(union: Column, current: Column) -> Column:
+    """By the confidences of both patterns."""
+    return (union >= 0.75) & (union >= current + 0.25)
+
+
+def union_chain(patterns: DataFrame, rows: DataFrame, by: list[str], pattern: str, xpath: str) -> DataFrame:
+    """A union's parts by how often the key's paths are that part: the main one and the others."""
+    parts = patterns.select(*by, F.posexplode(F.split(pattern, r" \| ")).alias("i", xpath))
+    votes = rows.groupBy(*by, xpath).agg(F.count("*").alias("support"))
+    ranked_ = parts.join(votes, [*by, xpath], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("support", F.lit(0))).alias("s"), "i", xpath))).alias("all"))
+    return ranked_.select(*by, F.transform("all", lambda s: s[xpath]).alias("chain"))
+
+
 def mean_similarity(rows: DataFrame, by: list[str], xpath: str) -> DataFrame:
     """Mean similarity of all pairs of a key's paths.
 

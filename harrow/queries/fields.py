@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import outcomes, text, urls
-from ..operators import fields, history
+from ..operators import fields, history, votes
 from .registry import query
 
 
@@ -111,3 +111,38 @@ def small_rules(load):
     path = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     back = outcomes.backtracks(path, F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("z"))))
     return load("nation").select("n_nationkey", target.alias("target"), back.alias("backtracks"), text.rate_text(k % 8, F.lit(8)).alias("rate"))
+
+
+@query("""
+with p as (select l_suppkey, l_partkey, '/a/' || l_returnflag as x, l_orderkey * 100 + l_linenumber as pos from lineitem where l_quantity > 40),
+o as (select l_suppkey, l_partkey % 9 as k, x, min(pos) as f from p group by all),
+t as (select l_suppkey, k, first(x order by f, x) as a, last(x order by f, x) as b from o group by all having count(*) = 2),
+u as (select l_suppkey, k, unnest([a, b]) as x, unnest([0, 1]) as i, a || ' | ' || b as pattern from t),
+v as (select u.*, (select count(*) from p where p.l_suppkey = u.l_suppkey and p.l_partkey % 9 = u.k and p.x = u.x) as n from u)
+select l_suppkey, k, pattern, string_agg(x, ' ' order by n desc, i) as chain from v group by all""")
+def union_chain(load):
+    rows = load("lineitem").where("l_quantity > 40").select("l_suppkey", (F.col("l_partkey") % 9).alias("k"), F.concat(F.lit("/a/"), "l_returnflag").alias("x"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"))
+    patterns = votes.union_pattern(rows, ["l_suppkey", "k"], "x", "pos")
+    chains = votes.union_chain(patterns, rows, ["l_suppkey", "k"], "pattern", "x")
+    return patterns.join(chains, ["l_suppkey", "k"]).select("l_suppkey", "k", "pattern", F.array_join("chain", " ").alias("chain"))
+
+
+@query("""
+select event_id, array_to_string(list_transform(list_filter([(event_id % 4)::int, 9, (event_id % 3)::int + 1], lambda n: n is not null), lambda n: n), ',') as raw, case when event_id % 4 in (0, 1) then case when event_id % 3 = 0 then '1' else '1,' || (event_id % 3 + 1) end else case when event_id % 4 = event_id % 3 + 1 then (event_id % 4)::varchar else (event_id % 4) || ',' || (event_id % 3 + 1) end end as picked from events""")
+def index_lists(load):
+    s = lambda x: x.cast("string")
+    raw = F.array(s(F.col("event_id") % 4), F.lit("9"), s(F.col("event_id") % 3 + 1))
+    picked = text.index_list(F.concat(raw, F.array(F.lit("no"))), F.lit(5), 3)
+    return load("events").select("event_id", F.array_join(raw, ",").alias("raw"), F.array_join(picked, ",").alias("picked"))
+
+
+@query("select event_id, json_extract_string(props, '$.ref') as ref, json_extract_string(props, '$.k') as k from events")
+def json_salvage(load):
+    fenced = F.concat(F.lit("Result: "), F.lit("`" * 3), F.regexp_replace("props", r"\\}$", ",}"), F.lit(" done"))
+    found = text.json_object_in(fenced)
+    return load("events").select("event_id", F.get_json_object(found, "$.ref").alias("ref"), F.get_json_object(found, "$.k").alias("k"))
+
+
+@query()
+def text_similarity(load):
+    return load("part").select("p_partkey", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))

@@ -69,11 +69,12 @@ def subtask_status(load):
 
 
 @query("""
-select d.doc_id, b.item_id, regexp_replace(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), '', '') = lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) as equal, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) as contained from documents d join benchmark b on d.doc_id % 40 = b.item_id % 40""")
+with n as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)
+select doc_id, count(*) over (partition by t) as n_equal, min(doc_id) over (partition by t) as first_equal, length(t) as n_chars from n""")
 def text_match(load):
-    b = load("benchmark").select("item_id", text.normalise("text").alias("b"), (F.col("item_id") % 40).alias("k"))
-    d = load("documents").select("doc_id", text.normalise("text").alias("d"), (F.col("doc_id") % 40).alias("k"))
-    return d.join(b, "k").select("doc_id", "item_id", (F.col("d") == F.col("b")).alias("equal"), F.contains("d", "b").alias("contained"))
+    docs = load("documents").select("doc_id", text.normalise("text").alias("t"))
+    same = docs.groupBy("t").agg(F.count("*").alias("n_equal"), F.min("doc_id").alias("first_equal"))
+    return docs.join(same, "t").select("doc_id", "n_equal", "first_equal", F.length("t").cast("long").alias("n_chars"))
 
 
 @query("""select conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(text, '(https?://[^\\s<>"'']+)', 1), lambda u: regexp_replace(u, '[.,;:!?)\\]}]+$', '')), lambda u: regexp_matches(u, '^https?://[^/?#]+')), ' ') as urls from conversations""")
