@@ -59,15 +59,15 @@ def stability_score(load):
 
 
 @query("""
-with c as (select l_suppkey, l_orderkey as record, case l_linenumber % 3 when 0 then 'id' when 1 then 'testid' else 'data-attr' end as strategy, '/x/' || case l_linenumber % 3 when 1 then 0 else l_partkey % 5 end as xpath from lineitem),
-n as (select l_suppkey, count(distinct record) as records from c group by 1),
-v as (select c.l_suppkey, strategy, xpath, count(distinct record) as have, case strategy when 'id' then 1 when 'testid' then 2 else 5 end as rank from c group by all)
-select l_suppkey, strategy, xpath from (select v.*, row_number() over (partition by v.l_suppkey order by rank, xpath) as k from v join n on v.l_suppkey = n.l_suppkey where have = records) where k = 1""")
+with c as (select l_orderkey, l_linenumber as record, case l_linenumber % 3 when 0 then 'id' when 1 then 'testid' else 'data-attr' end as strategy, '/x/' || case l_linenumber % 3 when 1 then 0 else l_partkey % 5 end as xpath from lineitem),
+n as (select l_orderkey, count(distinct record) as records from c group by 1),
+v as (select c.l_orderkey, strategy, xpath, count(distinct record) as have, case strategy when 'id' then 1 when 'testid' then 2 else 5 end as rank from c group by all)
+select l_orderkey, strategy, xpath from (select v.*, row_number() over (partition by v.l_orderkey order by rank, xpath) as k from v join n on v.l_orderkey = n.l_orderkey where have = records) where k = 1""")
 def strategy_consensus(load):
     s = F.when(F.col("l_linenumber") % 3 == 0, "id").when(F.col("l_linenumber") % 3 == 1, "testid").otherwise("data-attr")
     x = F.concat(F.lit("/x/"), F.when(F.col("l_linenumber") % 3 == 1, 0).otherwise(F.col("l_partkey") % 5).cast("string"))
-    rows = load("lineitem").select("l_suppkey", F.col("l_orderkey").alias("record"), s.alias("strategy"), x.alias("xpath"))
-    return votes.by_strategy(rows, ["l_suppkey"], "record", "strategy", "xpath")
+    rows = load("lineitem").select("l_orderkey", F.col("l_linenumber").alias("record"), s.alias("strategy"), x.alias("xpath"))
+    return votes.by_strategy(rows, ["l_orderkey"], "record", "strategy", "xpath")
 
 
 @query("""
