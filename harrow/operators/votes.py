@@ -44,24 +44,31 @@ def segment_consensus(rows: DataFrame, by: list[str], xpath: str, pos: str, majo
 
     Two aggregations, by step and by key; ``majority`` = 1 and ``accept`` = 0.6 give the strict form for links.
     """
-    named = rows.withColumn("__s", xpaths.segments(F.trim(F.col(xpath)))).where(F.size("__s") > 0).withColumn("__n", F.size("__s"))
-    depth = named.groupBy(*by, "__n").agg(F.count("*").alias("__votes"), F.min(pos).alias("__first"))
-    depth = depth.groupBy(*by).agg(F.min_by("__n", F.struct((-F.col("__votes")).alias("v"), "__first")).alias("__n"), F.sum("__votes").alias("__total"))
-    kept = named.join(depth.select(*by, "__n"), [*by, "__n"])
-    steps = kept.select(*by, pos, F.posexplode("__s").alias("__i", "__x"))
-    indexes = steps.groupBy(*by, "__i", F.col("__x.index").alias("__at")).agg(F.count("*").alias("__votes"), F.min(pos).alias("__first"))
-    index = indexes.groupBy(*by, "__i").agg(
-        F.max_by("__at", F.struct("__votes", (-F.col("__first")).alias("f"))).alias("__at"), F.max("__votes").alias("__top"), F.sum("__votes").alias("__rows"), F.count_if(F.col("__at").isNull()).alias("__none")
+    paths = rows.groupBy(*by, F.trim(F.col(xpath)).alias("__p")).agg(F.count("*").alias("__w"), F.min(pos).alias("__f"))  # each different path once, with its weight
+    named = paths.withColumn("__s", xpaths.segments("__p")).where(F.size("__s") > 0).withColumn("__n", F.size("__s"))
+    depth = named.groupBy(*by, "__n").agg(F.sum("__w").alias("__votes"), F.min("__f").alias("__first"))
+    depth = depth.groupBy(*by).agg(F.min_by("__n", F.struct((-F.col("__votes")).alias("v"), "__first")).alias("__n"))
+    kept = named.join(depth, [*by, "__n"])
+    steps = kept.select(*by, "__w", "__f", F.posexplode("__s").alias("__i", "__x"))
+    indexes = steps.groupBy(*by, "__i", F.col("__x.index").alias("__at")).agg(F.sum("__w").alias("__votes"), F.min("__f").alias("__first"), F.min("__x.tag").alias("__low"), F.max("__x.tag").alias("__high"), F.min_by("__x", "__f").alias("__x"))
+    merged = indexes.groupBy(*by, "__i").agg(
+        F.max_by("__at", F.struct("__votes", (-F.col("__first")).alias("f"))).alias("__at"),
+        F.max("__votes").alias("__top"),
+        F.sum("__votes").alias("__rows"),
+        F.count_if(F.col("__at").isNull()).alias("__none"),
+        (F.min("__low") != F.max("__high")).alias("__mixed"),
+        F.min_by("__x", "__first").alias("__x"),
     )
-    has = steps.select(*by, "__i", F.explode("__x.attributes").alias("__p"), pos).distinct().groupBy(*by, "__i", "__p").agg(F.count("*").alias("__votes"))
-    merged = steps.groupBy(*by, "__i").agg(F.count_distinct("__x.tag").alias("__tags"), F.min_by("__x", pos).alias("__x")).join(index, [*by, "__i"])
-    shared = has.join(index.select(*by, "__i", "__rows"), [*by, "__i"]).where(F.col("__votes") == F.col("__rows")).groupBy(*by, "__i").agg(F.array_join(F.array_sort(F.collect_list("__p")), "").alias("__shared"))
+    has = steps.select(*by, "__i", F.explode(F.array_distinct("__x.attributes")).alias("__q"), "__w").groupBy(*by, "__i", "__q").agg(F.sum("__w").alias("__votes"))
+    shared = has.join(merged.select(*by, "__i", "__rows"), [*by, "__i"]).where(F.col("__votes") == F.col("__rows")).groupBy(*by, "__i").agg(F.array_join(F.array_sort(F.collect_list("__q")), "").alias("__shared"))
     merged = merged.join(shared, [*by, "__i"], "left")
     keep = (F.col("__none") == 0) & (F.col("__top") / F.col("__rows") >= majority)
     step = F.concat(F.col("__x.separator"), F.col("__x.tag"), F.when(keep, F.concat(F.lit("["), F.col("__at").cast("string"), F.lit("]"))).otherwise(""), F.coalesce("__shared", F.lit("")))
-    pattern = merged.withColumn("__e", step).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "__e"))).alias("__all"), F.max("__tags").alias("__tags"))
-    pattern = pattern.where("__tags = 1").select(*by, F.array_join(F.transform("__all", lambda s: s["__e"]), "").alias("pattern"))
-    scored = kept.join(pattern, by).groupBy(*by, "pattern").agg(F.round(confidence(F.col(xpath), F.col("pattern")), 4).alias("confidence"), F.count("*").alias("support"))
+    pattern = merged.withColumn("__e", step).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "__e"))).alias("__all"), F.bool_or("__mixed").alias("__mixed"))
+    pattern = pattern.where("not __mixed").select(*by, F.array_join(F.transform("__all", lambda s: s["__e"]), "").alias("pattern"))
+    exact, shape = F.col("__p") == F.col("pattern"), xpaths.strip_index("__p") == xpaths.strip_index("pattern")
+    share = lambda hit: F.sum(F.when(hit, F.col("__w")).otherwise(0)) / F.sum("__w")
+    scored = kept.join(pattern, by).groupBy(*by, "pattern").agg(F.round(0.7 * share(exact) + 0.3 * share(shape), 4).alias("confidence"), F.sum("__w").alias("support"))
     return scored.where(F.col("confidence") >= accept)
 
 
