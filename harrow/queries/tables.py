@@ -97,7 +97,7 @@ def plan_tree(load):
 
 
 @query("""
-select n.n_nationkey, s.names as siblings, len(s.names) >= 2 as switches from nation n join (select n_regionkey, list_sort(list(distinct n_name)) as l, array_to_string(list_sort(list(distinct n_name)), ',') as names from nation group by 1) x on n.n_regionkey = x.n_regionkey join (select n_regionkey, array_to_string(list_sort(list(distinct n_name)), ',') as j, list_sort(list(distinct n_name)) as names from nation group by 1) s on s.n_regionkey = n.n_regionkey""".replace("s.names as siblings", "s.j as siblings"))
+select n.n_nationkey, s.j as siblings, len(s.names) >= 2 as switches from nation n join (select n_regionkey, list_sort(list(distinct n_name)) as l, array_to_string(list_sort(list(distinct n_name)), ',') as names from nation group by 1) x on n.n_regionkey = x.n_regionkey join (select n_regionkey, array_to_string(list_sort(list(distinct n_name)), ',') as j, list_sort(list(distinct n_name)) as names from nation group by 1) s on s.n_regionkey = n.n_regionkey""")
 def sibling_registry(load):
     sets = tree.sibling_sets(load("nation"), "n_regionkey", "n_name")
     both = load("nation").join(sets, "n_regionkey")
