@@ -60,12 +60,12 @@ def capped_candidates(load):
 
 
 @query("""
-with c as (select l_orderkey, case l_returnflag when 'A' then '//*[@id="a"]' when 'N' then '/n[1]' else '/r' end as x, l_linenumber * 10000000000 + l_suppkey * 1000000 + l_partkey as pos, l_linestatus = 'O' as ok, case l_returnflag when 'A' then 3.5 when 'N' then -0.2 else 0.0 end as s from lineitem),
+with c as (select l_orderkey, case l_returnflag when 'A' then '//*[@id="a"]' when 'N' then '/n[1]' else '/r' end as x, l_extendedprice as pos, l_linestatus = 'O' as ok, case l_returnflag when 'A' then 3.5 when 'N' then -0.2 else 0.0 end as s from lineitem),
 o as (select *, row_number() over (partition by l_orderkey, x order by pos) as k from c)
 select l_orderkey, x as xpath from (select *, row_number() over (partition by l_orderkey order by s desc, pos) as n from o where k = 1 and ok) where n = 1""")
 def best_verified(load):
     x = F.when(F.col("l_returnflag") == "A", '//*[@id="a"]').when(F.col("l_returnflag") == "N", "/n[1]").otherwise("/r")
-    rows = load("lineitem").select("l_orderkey", x.alias("x"), (F.col("l_linenumber") * 10000000000 + F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("pos"), (F.col("l_linestatus") == "O").alias("ok"))
+    rows = load("lineitem").select("l_orderkey", x.alias("x"), F.col("l_extendedprice").alias("pos"), (F.col("l_linestatus") == "O").alias("ok"))
     return fields.best_verified(rows, "l_orderkey", "x", "pos", F.col("ok")).select("l_orderkey", F.col("x").alias("xpath"))
 
 
