@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+    """Cut the lineage: a Parquet table in the shared checkpoint folder.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only where the
-    setting is missing (tests on one machine) a temporary folder is used.
+    setting is missing (tests on one machine) a temporary folder is used. Unlike a
+    checkpoint() the table has its own statistics: those of a checkpointed plan
+    are products over all joins before it and outgrow the driver in an iteration.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="harrow-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder}/harrow/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="harrow-")
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -62,26 +69,20 @@ def packed(docs: DataFrame, **named: str) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for every node of the links.
 
-    Each round points every node at the neighbour of least priority, drawn anew
-    each round, and contracts the links; a component of any shape, paths and
-    stars too, loses a constant share of its nodes a round. Sums of links are
-    aggregated before they are shuffled; nothing is collected.
+    Each round points every node at the least of itself and its neighbours and
+    contracts the links: in the first round by value, which settles stars around
+    their least node, then by a hash drawn anew each round, so that
+    components of any shape, paths too, lose a constant share of their nodes. Links
+    are aggregated before they are shuffled; nothing is collected.
     """
     edges = materialise(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    first, steps, k = edges, [], 0
-    while not edges.isEmpty():
-        both = edges.union(edges.select("v", "u"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
-        step = both.groupBy("u").agg(F.least(F.min(rank("v")), F.first(rank("u"))).alias("to")).select("u", F.col("to.n").alias("to"))
-        step = materialise(step)
-        steps.append(step)
-        left, right = step.withColumnsRenamed({"to": "x"}), step.withColumnsRenamed({"u": "v", "to": "y"})
-        edges = edges.join(left, "u").join(right, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        edges, k = materialise(edges), k + 1
-    if not steps:
-        return first.select(F.col("u").alias("node"), F.col("u").alias("root"))
-    at = steps[0].withColumnsRenamed({"u": "node", "to": "at"})
-    for step in steps[1:]:
-        at = at.join(step.withColumnsRenamed({"u": "at"}), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+    at, k = None, 0
+    while at is None or not edges.isEmpty():
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.col(c)).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
+        both = edges.select("u", rank("v").alias("r")).union(edges.select("v", rank("u").alias("r")))
+        step = materialise(both.groupBy("u").agg(F.min("r").alias("r")).select("u", F.least("r", rank("u"))["n"].alias("to")))
+        at = step.toDF("node", "at") if at is None else at.join(step.toDF("at", "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        moved = edges.join(step.toDF("u", "x"), "u").join(step.toDF("v", "y"), "v").where("x <> y")
+        edges, k = materialise(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()), k + 1
     at = materialise(at)
-    return at.join(at.groupBy("at").agg(F.min("node").alias("root")), "at").select("node", "root")
+    return materialise(at.join(at.groupBy("at").agg(F.min("node").alias("root")), "at").select("node", "root"))

@@ -215,7 +215,8 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
 
     pieces = materialise(docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("body")).mapInArrow(place, _SCHEMA))
     done = [pieces.where("not open")]
-    left, parts = pieces.where("open"), pieces.rdd.getNumPartitions()
+    left = pieces.where("open")
+    parts = (left.agg(F.max("part").alias("n")).first().n or 0) + 1
     while True:
         last = parts <= fan_in
         merged = left.withColumn("part", F.expr(f"part div {fan_in}").cast("int")).withColumn("last", F.lit(last))
