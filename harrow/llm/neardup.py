@@ -5,7 +5,9 @@ signatures is the number of positions that differ. The positions are split
 into ``chunks``: of signatures at distance d <= ``radius``, some chunk differs in at
 most radius // chunks positions (pigeonhole). So each chunk is indexed once
 for every choice of that many positions to leave out, and all pairs within the
-radius meet under an equal key. Links are then confirmed on the full sets.
+radius meet under an equal key. Links are then confirmed on the full sets; before
+that, pairs are dropped whose parity sketches (of each of _LANES * 64 groups of
+shingles, whether the set holds an odd number) differ in more places than the sets may.
 
 At similarity s a position differs with probability 1 - s; the radius is the
 least that a pair at the wanted similarity exceeds with a probability under ``MISS``.
@@ -28,6 +30,7 @@ from .common import components, lookup, materialise, only, table
 
 _BITS = 16
 MISS = 1e-5
+_LANES = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROTATE = np.uint64(29)
 
@@ -77,6 +80,11 @@ class Signer:
         return least.astype(np.uint16).tobytes()
 
 
+def parities(grams: np.ndarray) -> list[int]:
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (_LANES * 64), minlength=_LANES * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def masks(positions: int, chunks: int, radius: int) -> list[list[int]]:
     """The positions that each key is made of."""
     edges = [positions * i // chunks for i in range(chunks + 1)]
@@ -113,7 +121,7 @@ class NearDuplicates:
         self.positions, self.masks = positions, masks(positions, chunks or self.radius // 2 + 1, self.radius)
 
     def signatures(self) -> DataFrame:
-        """doc_id, n_shingles, row (hash of the row), same (digest of the set, null for an empty set), sig."""
+        """doc_id, n_shingles, row (hash of the row), same (digest of the set, null for an empty set), sig, parity."""
         width, positions = self.width, self.positions
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +129,17 @@ class NearDuplicates:
             for batch in batches:
                 for start, n in _batches(batch.column(2)):
                     part = batch.slice(start, n)
-                    sizes, same, sigs = [], [], []
+                    sizes, same, sigs, odd = [], [], [], []
                     for t in part.column(2):
                         grams = shingles(words.of(t.as_py()), width)
                         sizes.append(len(grams))
                         same.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                         sigs.append(signer(grams) if len(grams) else None)
-                    yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), part.column(1), pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "row", "same", "sig"])
+                        odd.append(parities(grams))
+                    yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), part.column(1), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "row", "same", "sig", "parity"])
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        return self.docs.select("doc_id", self._row(), "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, row long, same binary, sig binary")
+        return self.docs.select("doc_id", self._row(), "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, row long, same binary, sig binary, parity array<long>")
 
     @staticmethod
     def _row():
@@ -152,22 +161,6 @@ class NearDuplicates:
 
         return reps.select("node", "sig").mapInArrow(index, "key long, node long")
 
-    def _within(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """a, b, far: the pairs whose signatures lie within the radius and whose set sizes allow the similarity."""
-        radius, positions = self.radius, self.positions
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, positions) for i in (2, 3))
-                    far = (s != t).sum(axis=1).astype(np.int32)
-                    out = pa.record_batch([batch.column(0), batch.column(1), pa.array(far)], names=["a", "b", "far"])
-                    yield out.filter(pa.array(far <= radius))
-
-        one = lambda c, s, n: reps.select(F.col("node").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
-        both = pairs.join(one("a", "s", "m"), "a").join(one("b", "t", "n"), "b").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * self.percent)
-        return both.select("a", "b", "s", "t").mapInArrow(measure, "a long, b long, far int")
-
     def _confirm(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough. Only the texts of documents in the pairs are read into sets."""
         width = self.width
@@ -192,45 +185,39 @@ class NearDuplicates:
     def links(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) between different sets, enough for the right components, and the (node, root) table.
 
-        A bucket is first tested as a star around its least node, then only
-        between parts that are still apart: no bucket has its pairs enumerated within a part.
+        First every node is tested against the hub of a bucket (the node that
+        meets most others over all its buckets) with which it shares most
+        buckets; then, in buckets that still hold several
+        parts, the nodes outside the largest part are joined with all of another part, under
+        the bound of the parity sketches: no bucket has its pairs enumerated within a part.
         """
         keys = self._keys(reps)
-        buckets = materialise(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-        stars = keys.join(buckets, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        near = materialise(self._within(stars, reps))
-        best = near.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
-        links = self._confirm(materialise(best), reps)
-        parts = materialise(components(links))
-        more = self._confirm(materialise(self._apart(near.join(links, ["a", "b"], "left_anti"), parts)), reps)
-        if not more.isEmpty():
-            links = links.union(more)
-            parts = materialise(components(links))
-        # what may still be missing: links in buckets of three and more that lie between parts
-        wide = keys.join(buckets.where("n > 2").select("key"), "key").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        wide = materialise(wide)
+        buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        keys = materialise(keys.join(buckets, "key"))
+        meets = keys.groupBy("node").agg(F.sum("n").alias("meets"))
+        hubs = keys.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", (-F.col("node")).alias("h"))).alias("hub"))
+        spokes = keys.join(hubs, "key").where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("n"))
+        best = materialise(spokes.groupBy("node").agg(F.max_by("hub", F.struct("n", (-F.col("hub")).alias("h"))).alias("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        links = self._confirm(best, reps)
+        parts = components(links)
+        wide = materialise(keys.select("key", "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
         counts = wide.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        wide = wide.join(counts.select("key", "most"), "key")
-        odd = wide.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"))
-        cross = odd.join(wide, "key").where("r <> root").select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
-        cross = materialise(self._within(cross.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps))
-        if not cross.isEmpty():
-            links = links.union(self._confirm(cross, reps))
-            parts = materialise(components(links))
+        wide = wide.join(counts.select("key", "most"), "key").join(reps.select("node", "n", "parity"), "node")
+        odd = wide.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("parity").alias("q"))
+        differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(_LANES)), F.lit(0))
+        near = differ * (100 + self.percent) <= (F.col("n") + F.col("m")) * (100 - self.percent)
+        cross = odd.join(wide, "key").where((F.col("r") != F.col("root")) & near).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+        more = materialise(cross.join(best, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(self._confirm(more, reps))
+            parts = components(links)
         return links, parts
 
-    @staticmethod
-    def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        root = lambda c, r: parts.select(F.col("node").alias(c), F.col("root").alias(r))
-        both = pairs.join(root("a", "p"), "a", "left").join(root("b", "q"), "b", "left")
-        return both.where(~F.coalesce("p", "a").eqNullSafe(F.coalesce("q", "b"))).select("a", "b")
-
     def _assigned(self) -> DataFrame:
         rows = materialise(self.signatures())
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-        reps = rows.where("same is not null").groupBy("same").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-        reps = materialise(reps.withColumn("row", F.col("first.row")))
-        reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))
+        reps = rows.where("same is not null").groupBy("same").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
+        reps = materialise(reps.withColumns({"row": F.col("first.row"), "node": F.monotonically_increasing_id()}))
         _, parts = self.links(reps)
         of = reps.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("root"), "first")
         ids = of.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_texts"))
@@ -265,3 +252,15 @@ class NearDuplicates:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents"), width=3, percent=85).classes().select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+linked as (select a, b from links union all select b, a from links),
+reach(doc, node) as (select doc_id, doc_id from documents union select r.doc, l.b from reach r join linked l on r.node = l.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from documents d left join n on d.doc_id = n.doc_id join (select doc, min(node) as component_id from reach group by 1) r on r.doc = d.doc_id"""

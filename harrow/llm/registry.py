@@ -17,4 +17,9 @@ QUERIES = {
     "op10_line_spread": linededup.query,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_round_trip": chat.ORACLE, "op10_line_spread": linededup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_prefix_decontamination": decontaminate.ORACLE,
+    "op4_multi_index_hamming": neardup.ORACLE,
+    "op7_chat_round_trip": chat.ORACLE,
+    "op10_line_spread": linededup.ORACLE,
+}
