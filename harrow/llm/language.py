@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .learning import PARTS, SAMPLE_ROWS, Ftrl, mix, sample
+from .learning import SAMPLE_ROWS, Ftrl, bucket_sums, mix, sample
 
 BUCKETS_LOG2 = 15
 TEMPERATURES = np.geomspace(0.02, 5, 56)
@@ -90,10 +90,9 @@ def _idf(rows: DataFrame) -> np.ndarray:
         at = np.append(np.flatnonzero(df), len(df))
         yield pa.record_batch([pa.array(at), pa.array(np.append(df[at[:-1]], n))], names=["k", "n"])
 
-    got = rows.select("body").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row a bucket at most
+    got = bucket_sums(rows.select("body").mapInArrow(count, "k long, n long"), "k", "n")
     df = np.zeros((1 << BUCKETS_LOG2) + 1)
-    for r in got:
-        df[r.k] = r.n
+    df[got["k"]] = got["n"]
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
@@ -110,8 +109,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         number = F.when(F.col("lang") == v, F.lit(i)).otherwise(number)
     chosen = chosen.select("body", number.alias("label"), "turn", "key")
     model = LanguageModel(labels, _idf(rows))
-    train = materialise(chosen.where("turn <> 0 or key is null").repartition(PARTS, "key").sortWithinPartitions("key").select("body", "label"))
-    mix(train, model, LanguageModel.learn, rounds)
+    mix(chosen.where("turn <> 0").select("key", "body", "label"), model, LanguageModel.learn, rounds)
     model.dense = model.ftrl.weights()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

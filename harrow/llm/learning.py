@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000  # labelled rows that a classifier is fitted on, at most (expected number)
-PARTS = 6
+PARTS, PART_ROWS = 6, 3000  # groups that learn side by side: as many as have PART_ROWS rows each, PARTS at most
 
 
 def sample(rows: DataFrame, by: str, key: Column, most: int) -> DataFrame:
@@ -46,23 +46,36 @@ class Ftrl:
 
 
 def mix(rows: DataFrame, model, learn: Callable[[object, Iterator[tuple]], int], rounds: int):
-    """``rounds`` times: every partition of ``rows`` learns on its own from the same state; the states are averaged by their rows.
+    """``rounds`` times: up to PARTS groups of rows learn on their own from the same state; the states are averaged by their rows.
 
-    ``model.arrays`` is the state; the driver sees that of each partition and no row.
+    rows: key, and what ``learn`` takes. ``model.arrays`` is the state; the driver
+    sees that of each group and no row. A group holds its share of a bounded
+    sample, whatever the number of partitions.
     """
     spark = rows.sparkSession
+    names = [c for c in rows.columns if c != "key"]
+    groups = max(1, min(PARTS, rows.count() // PART_ROWS))
+    grouped = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(groups)))
+    schema = "seen long, " + ", ".join(f"a{i} binary" for i in range(len(model.arrays)))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            seen = learn(own, (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
-            yield pa.record_batch([pa.array([seen], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in own.arrays], names=["seen", *(f"a{i}" for i in range(len(own.arrays)))])
+        def part(table):  # Arrow table to Arrow table; hints would be read as the kind of function
+            own = shared.value  # noqa: B023
+            table = table.sort_by("key").select(names)
+            seen = learn(own, (r for b in table.to_batches(500) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
+            return pa.table([pa.array([seen], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in own.arrays], names=["seen", *(f"a{i}" for i in range(len(own.arrays)))])
 
-        schema = "seen long, " + ", ".join(f"a{i} binary" for i in range(len(model.arrays)))
-        got = [r for r in rows.mapInArrow(part, schema).collect() if r.seen]  # PARTS states
+        got = [r for r in grouped.groupBy("part").applyInArrow(part, schema).collect() if r.seen]  # PARTS states at most
         total = sum(r.seen for r in got)
         for i, a in enumerate(model.arrays):
             if total:
                 a[...] = sum(np.frombuffer(r[f"a{i}"], a.dtype).reshape(a.shape) * (r.seen / total) for r in got)
+        shared.unpersist()
     return model
+
+
+def bucket_sums(counts: DataFrame, key: str, *values: str) -> dict[str, np.ndarray]:
+    """Sums of counts by bucket: a row a bucket comes to the driver, as columns."""
+    table = counts.groupBy(key).agg(*[F.sum(v).alias(v) for v in values]).toArrow()
+    return {c: table.column(c).to_numpy() for c in (key, *values)}

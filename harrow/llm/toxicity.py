@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lookup, materialise, table
-from .learning import PARTS, SAMPLE_ROWS, Ftrl, mix, sample
+from .learning import SAMPLE_ROWS, Ftrl, bucket_sums, mix, sample
 
 BUCKETS_LOG2, GRADES = 17, 3
 MARKER_ODDS = 1.5  # log odds from which a word marks toxic rows
@@ -50,7 +50,7 @@ def _sigmoid(x):
 
 
 class SeverityModel:
-    def __init__(self, alpha: float = 0.15, l1: float = 1.0, l2: float = 0.01):
+    def __init__(self, alpha: float = 0.5, l1: float = 4.0, l2: float = 0.01):
         self.ftrl = Ftrl((1 << BUCKETS_LOG2,), alpha, l1, l2)
         self.thresholds = np.array([1.0 + k for k in range(GRADES - 1)])
         self.squares = np.ones(GRADES - 1)
@@ -108,10 +108,9 @@ def _markers(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.record_batch([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["k", "clean", "toxic"])
 
-    got = rows.select("body", "toxic").mapInArrow(count, "k long, clean long, toxic long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()  # a row a bucket at most
+    got = bucket_sums(rows.select("body", "toxic").mapInArrow(count, "k long, clean long, toxic long"), "k", "clean", "toxic")
     sums = np.zeros((2, (1 << BUCKETS_LOG2) + 1))
-    for r in got:
-        sums[:, r.k] = r.clean, r.toxic
+    sums[0, got["k"]], sums[1, got["k"]] = got["clean"], got["toxic"]
     rate = (sums[:, :-1] + 0.5) / (sums[:, -1:] + 1)
     return (np.log(rate[1] / rate[0]) > MARKER_ODDS) & (sums[1, :-1] >= 5)
 
@@ -126,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     marks = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(F.col(toxic).cast("int")) > 0).cast("int").alias("toxic"))
     marks = materialise(sample(marks.withColumn("all", F.lit(1)), "all", F.col("key"), sample_rows).drop("all"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).join(lookup(marks), "key")
-    rows = materialise(rows.repartition(PARTS, "key").sortWithinPartitions(F.xxhash64("key")))
+    rows = materialise(rows)
     if rows.select("toxic").distinct().count() < 2:
         return None
     shared = spark.sparkContext.broadcast(_markers(rows))
@@ -140,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     graded = materialise(rows.withColumn("share", F.when(F.col("toxic") == 1, F.pandas_udf(density, "double")("body"))))
     median = graded.agg(F.percentile_approx("share", 0.5).alias("m")).first().m
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("share") < median, 1).otherwise(2)
-    model = mix(graded.select("body", grade.cast("int").alias("grade")), SeverityModel(), SeverityModel.learn, rounds)
+    model = mix(graded.select(F.xxhash64("key", "body").alias("key"), "body", grade.cast("int").alias("grade")), SeverityModel(), SeverityModel.learn, rounds)
     model.dense = model.ftrl.weights()
     return model
 
