@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,19 +25,21 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 VOCABULARY = "byte_bpe_50k.json"
-# White space other than space and newline: texts that hold any are not cut at spaces.
-_RARE_SPACE = re.compile("[%s]" % "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+# The split of the byte-level vocabulary, written out for U+0000 to U+024F: contractions, letters, numbers, other signs, white space.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_BEYOND = re.compile("[^\x00-\x1b\x20-ɏ]")  # beyond that range, or a separator that only Python takes as white space
 
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, by ``tokenizers``.
 
-    The vocabulary splits a text into words before it merges bytes, and no word
-    reaches over a lone space that stands between two other characters. So the
-    ids of such stretches can be kept and joined; ``limit`` bounds what is kept.
+    The vocabulary splits a text into words before it merges bytes, so the ids
+    of words can be kept and joined; ``limit`` bounds what is kept. Texts with characters
+    whose class is not written out above go to the tokenizer whole.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 400_000):
+    def __init__(self, path: str | None = None, limit: int = 700_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -45,21 +50,21 @@ class Encoder:
         self.limit = limit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in found:
+                a.byteswap()
+        return [a.tobytes() for a in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            odd = not t or t[0] == " " or t[-1] == " " or "  " in t or "\n " in t or " \n" in t or _RARE_SPACE.search(t)
-            cut.append(None if odd else t.split(" "))
+        cut = [None if _BEYOND.search(t) else _SPLIT.findall(t) for t in texts]
         if len(self.kept) > self.limit:
             self.kept.clear()
-        new = {w for words in cut if words for w in words[1:]} - self.kept.keys()
-        new_list = list(new)
-        self.kept.update(zip(new_list, self._encode([f" {w}" for w in new_list]), strict=True))
-        first = iter(self._encode([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)]))
+        new = list(set(chain.from_iterable(words for words in cut if words)) - self.kept.keys())
+        self.kept.update(zip(new, self._encode(new), strict=True))
+        whole = iter(self._encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
         of = self.kept.__getitem__
-        return [next(first) if words is None else next(first) + b"".join(map(of, words[1:])) for words in cut]
+        return [next(whole) if words is None else b"".join(map(of, words)) for words in cut]
 
 
 class OpenWindows:
