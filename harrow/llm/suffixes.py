@@ -5,7 +5,10 @@ retained at minimisers: of any ``least`` = 50 consecutive words, the position wh
 21-word gram has the smallest hash of the 30 grams in it. A passage of 50 words that repeats
 retains the same position in each occurrence, with at least 21 words to its right.
 Retained suffixes whose gram repeats are sorted all over the cluster, each is
-compared with its neighbours and every match is extended left and right.
+compared with its neighbours and every match is extended left and right. That
+is all of them where a gram stands at no more than NEIGHBOURS + 1 places. Beyond,
+partners may stand anywhere in the group: there the windows of ``least`` words whose
+minimiser is the gram are hashed, and those that repeat are counted by hash.
 """
 
 from __future__ import annotations
@@ -43,16 +46,28 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _least_grams(h: np.ndarray, span: int) -> np.ndarray:
+    """For each start of a window of ``span`` grams the position of its smallest hash."""
+    return np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1)
+
+
 def minimisers(words: np.ndarray, least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The retained positions and their grams."""
     if len(words) < least:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = grams(words, size)
-    span = least - size + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1))
+    at = np.unique(_least_grams(h, least - size + 1))
     return at, h[at]
 
 
+def windows(words: np.ndarray, ats: list[int], least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``least`` words whose minimiser is one of ``ats``: each window of a text has one."""
+    chosen = np.zeros(len(words), bool)
+    chosen[ats] = True
+    starts = np.flatnonzero(chosen[_least_grams(grams(words, size), least - size + 1)])
+    return starts, grams(words, least)[starts]
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
 
@@ -83,12 +98,11 @@ def _matches(rows: pd.DataFrame, least: int) -> pd.DataFrame:
 def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per row of docs: kept (the row as a struct), n_words, passages (array of word positions [start, stop)).
 
-    A word is in a passage if it lies in a match of at least ``least`` words between
-    its document's retained suffix and one of the NEIGHBOURS next to it in the
-    suffix array, in another text or elsewhere in this one; a text with exact
+    A word is in a passage if it lies in a run of at least ``least`` words that stands
+    in another text too or elsewhere in this one; a text with exact
     copies of ``least`` words or more is one passage. Null, empty and shorter texts have
-    none. Texts are told apart by a 64-bit hash, words by 32 bits at each place of a match. An
-    empty table gives no row.
+    none. Texts are told apart by a 64-bit hash, words by 32 bits at each place of a match,
+    windows under a frequent gram by a 64-bit hash. An empty table gives no row.
     """
     spark = docs.sparkSession
     docs = packed(docs, body=text).withColumn("of", F.xxhash64("body"))
@@ -105,10 +119,25 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
 
     marks = materialise(docs.where("body is not null").select("of", "body").mapInArrow(retain, "of long, at int, gram long"))
     place = F.xxhash64("of", "at")
-    twice = materialise(marks.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"))
-    hits = materialise(marks.join(lookup(twice), "gram").groupBy("of").agg(F.collect_set("at").alias("ats")))  # at most the positions of one text
+    often = F.count("*") > NEIGHBOURS + 1  # copies of a text count too: then its gram goes the exact way without need
+    twice = materialise(marks.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), often.alias("often")).where("a <> b").select("gram", "often"))
+    ats = lambda often: F.collect_set(F.when(F.col("often") == often, F.col("at")))
+    hits = materialise(marks.join(lookup(twice), "gram").groupBy("of").agg(ats(False).alias("ats"), ats(True).alias("hot")))  # at most the positions of one text
     texts = docs.select("of", "body").join(lookup(hits.select("of")), "of", "left_semi").dropDuplicates(["of"]).join(hits, "of")
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for start, n in _batches(batch.column(1), 1 << 20):
+                part = batch.slice(start, n)
+                found = [windows(words.of(t), ats, least, size) for t, ats in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                of = np.repeat(part.column(0).to_numpy(), [len(a) for a, _ in found])
+                yield pa.record_batch([pa.array(of), pa.array(np.concatenate([a for a, _ in found]).astype(np.int32)), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["of", "start", "window"])
+
+    hot = materialise(texts.where(F.size("hot") > 0).select("of", "body", "hot").mapInArrow(hashed, "of long, start int, window long"))
+    again = materialise(hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
+    frequent = hot.join(lookup(again), "window").select("of", "start", (F.col("start") + least).alias("stop"))
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
@@ -127,7 +156,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
 
     kind = "of long, at int, gram long, right binary, left binary"
     order = ["gram", "right", "left", "of", "at"]
-    array = texts.mapInArrow(suffixes, kind).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    array = texts.where(F.size("ats") > 0).select("of", "body", "ats").mapInArrow(suffixes, kind).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
     names = ["of", "start", "stop", "at", "gram", "right", "left"]
 
     def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +177,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
     found = materialise(array.mapInPandas(neighbours, "of long, start int, stop int, at int, gram long, right binary, left binary"))
     edges = found.where("start is null").select(*kind.replace(" long", "").replace(" int", "").replace(" binary", "").split(", ")).distinct()  # a few rows for each partition
     across = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: _matches(f.sort_values(order), least), "of long, start int, stop int")
-    spans = found.where("start is not null").select("of", "start", "stop").union(across).groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    spans = found.where("start is not null").select("of", "start", "stop").union(across).union(frequent).groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def join(texts_spans: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in texts_spans:

@@ -53,6 +53,20 @@ def test_near_copies(spark):
     assert sum(map(len, got)) >= 0.99 * sum(map(len, want))
 
 
+def test_partners_behind_a_hot_run(spark):
+    rng = random.Random(3)
+    hot = [f"hot{i}" for i in range(40)]
+    docs = []
+    for i in range(150):
+        own = [f"own{i}x{j}" for j in range(15)]
+        for side in "ab":
+            mine = own + hot if i % 2 else hot + own
+            docs.append([f"{side}{i}y{j}" for j in range(20)] + mine + [f"{side}{i}z{rng.randrange(10**6)}" for _ in range(20)])
+    texts = [" ".join(d) for d in docs]
+    texts += texts[:1] * 6 + [" ".join(hot), " ".join(hot * 3)]
+    assert run(spark, texts) == brute(texts)
+
+
 def test_real_documents(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got, want = run(spark, texts), brute(texts)
