@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers need no copy of the package
 
 
 def over(by: str, *order: str) -> WindowSpec:
@@ -28,32 +37,66 @@ def loops(rows: DataFrame, by: str, order: list[str], mark: Column) -> DataFrame
     return rows.withColumn("loop", (n >= 4) & F.coalesce(abab | abcabc | aaa, F.lit(False)))
 
 
-def _sorted(rows: DataFrame, by: str, order: list[str], value: Column) -> DataFrame:
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("__v")))).alias("__all"))
+def ordered_fold(rows: DataFrame, by: str, order: list[str | Column], values: list[Column], start: list, step: Callable[..., None], kind: str) -> DataFrame:
+    """One row per key: ``by`` and the state after all its rows, with the columns of ``kind``.
+
+    ``step`` changes the state, a list that begins as ``start``, by the values of one row. Rows come in
+    ``order``, ties by their values, nulls first. A key's rows meet in one task but stream through it: only the state
+    is kept from batch to batch, so a log may be of any length.
+    """
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]
+    picked = rows.select(F.col(by).alias("k"), *keys, *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    log = picked.repartition("k").sortWithinPartitions(*picked.columns).select("k", *[f"v{i}" for i in range(len(values))])
+    fields = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, type_ = None, None, None
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            return pa.record_batch([pa.array(columns[0], type_), *[pa.array(c, f.type) for c, f in zip(columns[1:], fields, strict=True)]], names=[by, *fields.names])
+
+        for batch in batches:
+            type_, done = batch.column(0).type, []
+            for k, *v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or (k != key and (k == k or key == key)):  # NaN is one key
+                    if state is not None:
+                        done.append((key, *state))
+                    key, state = k, list(start)
+                step(state, *v)
+            if done:
+                yield out(done)
+        if state is not None:
+            yield out([(key, *state)])
+
+    return log.mapInArrow(run, StructType([StructField(by, rows.schema[by].dataType), *StructType.fromDDL(kind)]))
 
 
 def rate_level(rows: DataFrame, by: str, order: list[str], penalty: Column, most: int = 3, credit: int = 5, base: float = 1.0, factor: float = 1.5) -> DataFrame:
     """The level of delay after all rows of a key: up on a penalty, down after ``credit`` successes in a row."""
 
-    def step(acc: Column, r: Column) -> Column:
-        streak = acc["streak"] + 1
-        full = streak >= credit
-        return F.when(r["__v"], F.struct(F.least(acc["level"] + 1, F.lit(most)).alias("level"), F.lit(0).alias("streak"))).otherwise(
-            F.struct(F.when(full, F.greatest(acc["level"] - 1, F.lit(0))).otherwise(acc["level"]).alias("level"), F.when(full, 0).otherwise(streak).alias("streak"))
-        )
+    def step(s: list, bad: bool | None) -> None:
+        if bad:
+            s[0], s[1] = min(s[0] + 1, most), 0
+        elif s[1] + 1 >= credit:
+            s[0], s[1] = max(s[0] - 1, 0), 0
+        else:
+            s[1] += 1
 
-    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("streak"))
-    out = _sorted(rows, by, order, penalty).withColumn("__s", F.aggregate("__all", start, step))
-    return out.select(by, F.col("__s.level").alias("level"), F.col("__s.streak").alias("streak"), F.round(base * F.pow(F.lit(factor), F.col("__s.level")), 6).alias("delay"))
+    out = ordered_fold(rows, by, order, [penalty], [0, 0], step, "level int, streak int")
+    return out.select(by, "level", "streak", F.round(base * F.pow(F.lit(factor), F.col("level")), 6).alias("delay"))
 
 
 def strikes(rows: DataFrame, by: str, seconds: Column, idle: int = 120, base: float = 3.0, most: float = 60.0) -> DataFrame:
     """Strikes against a domain after its last event: one less for an idle time, one more for the event; the back-off doubles."""
-    events = rows.groupBy(by).agg(F.array_sort(F.collect_list(seconds.cast("double"))).alias("__all"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("at"))
-    step = lambda acc, t: F.struct((F.when(t - acc["at"] > idle, F.greatest(acc["n"] - 1, F.lit(0))).otherwise(acc["n"]) + 1).alias("n"), t.alias("at"))
-    out = events.withColumn("__s", F.aggregate("__all", start, step))
-    return out.select(by, F.col("__s.n").alias("strikes"), F.least(F.lit(most), base * F.pow(F.lit(2.0), F.col("__s.n") - 1)).alias("backoff"))
+
+    def step(s: list, t: float | None) -> None:
+        if t is not None:
+            rested = s[1] is not None and not t - s[1] <= idle  # NaN is the largest number, as in Spark
+            s[0], s[1] = (max(s[0] - 1, 0) if rested else s[0]) + 1, t
+
+    out = ordered_fold(rows, by, [], [seconds.cast("double")], [0, None], step, "strikes int, at double")
+    return out.select(by, "strikes", F.least(F.lit(most), base * F.pow(F.lit(2.0), F.col("strikes") - 1)).alias("backoff"))
 
 
 def running(rows: DataFrame, by: str, order: list[str], **marks: Column) -> DataFrame:

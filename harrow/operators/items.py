@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 _START = {"claim_state": "pending", "durability_state": "staged", "worker": "", "attempts": 0, "success": False, "refused": 0}
+_KIND = "claim_state string, durability_state string, worker string, attempts int, success boolean, refused int"
 
 
 def replay(log: DataFrame, item: str, op: str, worker: str, order: list[str]) -> DataFrame:
@@ -13,31 +16,29 @@ def replay(log: DataFrame, item: str, op: str, worker: str, order: list[str]) ->
 
     A claim is refused while another worker holds the item and does nothing once it is final; commit and fail make it
     durable; an ack is refused before that; a release counts only from the worker that holds the staged item. Steps of an
-    item are folded in order; an item's log is one row of the aggregation.
+    item are folded in order, as they stream through its task.
     """
 
-    def step(s: Column, e: Column) -> Column:
-        o, by = e["op"], e["worker"]
-        durable = s["durability_state"] == "durable"
-        final = durable | s["claim_state"].isin("committed", "acked", "failed")
-        held = s["claim_state"] == "claimed"
-        taken = (o == "claim") & ~final & held & (s["worker"] != by)
-        claims = (o == "claim") & ~final & ~taken
-        commits, fails = (o == "commit") & ~final, (o == "fail") & ~final
-        acks, early = (o == "ack") & durable, (o == "ack") & ~durable
-        frees = (o == "release") & held & (s["worker"] == by) & ~durable
-        return F.struct(
-            F.when(claims, "claimed").when(commits, "committed").when(fails, "failed").when(acks, "acked").when(frees, "pending").otherwise(s["claim_state"]).alias("claim_state"),
-            F.when(commits | fails, "durable").otherwise(s["durability_state"]).alias("durability_state"),
-            F.when(claims | commits | fails, by).when(frees, "").otherwise(s["worker"]).alias("worker"),
-            (s["attempts"] + claims.cast("int")).alias("attempts"),
-            F.when(commits, True).when(fails, False).otherwise(s["success"]).alias("success"),
-            (s["refused"] + (taken | early).cast("int")).alias("refused"),
-        )
-
-    start = F.struct(*[F.lit(v).alias(k) for k, v in _START.items()])
-    logs = log.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(op).alias("op"), F.col(worker).alias("worker")))).alias("all"))
-    return logs.withColumn("s", F.aggregate("all", start, step)).select(item, "s.*")
+    def step(s: list, o: str | None, by: str | None) -> None:
+        durable = s[1] == "durable"
+        final = durable or s[0] in ("committed", "acked", "failed")
+        held = s[0] == "claimed"
+        if o == "claim" and not final:
+            if held and s[2] != by:
+                s[5] += 1
+            else:
+                s[0], s[2], s[3] = "claimed", by, s[3] + 1
+        elif o in ("commit", "fail") and not final:
+            s[0], s[1], s[2], s[4] = "committed" if o == "commit" else "failed", "durable", by, o == "commit"
+        elif o == "ack":
+            if durable:
+                s[0] = "acked"
+            else:
+                s[5] += 1
+        elif o == "release" and held and s[2] == by and not durable:
+            s[0], s[2] = "pending", ""
+
+    return ordered_fold(log, item, order, [F.col(op), F.col(worker)], list(_START.values()), step, _KIND)
 
 
 def resume_page(listed: DataFrame, known: DataFrame, page: str, pos: str, url: str) -> DataFrame:

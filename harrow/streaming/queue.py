@@ -7,42 +7,29 @@ dead letters), release (back to the queue, no failure counted), recover (deliver
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import ordered_fold
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers need no copy of the package
+
 STATE = "state string, retries int, delivered int, acked int, dead int, pushed int"
 _FIELDS = ["state", "retries", "delivered", "acked", "dead", "pushed"]
 
 
 def replay(log: DataFrame, item: str, op: str, order: list[str], most: int = 3) -> DataFrame:
-    """The state of each item after its log, natively."""
-
-    def step(s: Column, e: Column) -> Column:
-        o = e["op"]
-        push = (o == "push") & (s["state"] == "absent")
-        fetch = (o == "fetch") & (s["state"] == "queued")
-        held = s["state"] == "pending"
-        ack, fail, release, recover = (o == "ack") & held, (o == "fail") & held, (o == "release") & held, (o == "recover") & held
-        dies = fail & (s["retries"] >= most)
-        return F.struct(
-            F.when(push | release, "queued").when(fetch, "pending").when(ack | dies, "absent").otherwise(s["state"]).alias("state"),
-            F.when(push | ack | dies, 0).when(fail, s["retries"] + 1).otherwise(s["retries"]).alias("retries"),
-            (s["delivered"] + (fetch | recover).cast("int")).alias("delivered"),
-            (s["acked"] + ack.cast("int")).alias("acked"),
-            (s["dead"] + dies.cast("int")).alias("dead"),
-            (s["pushed"] + push.cast("int")).alias("pushed"),
-        )
-
-    start = F.struct(F.lit("absent").alias("state"), *[F.lit(0).alias(f) for f in _FIELDS[1:]])
-    logs = log.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(op).alias("op")))).alias("all"))
-    return logs.withColumn("s", F.aggregate("all", start, step)).select(item, "s.*")
-
-
-def _apply(s: list, op: str, most: int) -> None:
+    """The state of each item after its log, which streams through the item's task."""
+    return ordered_fold(log, item, order, [F.col(op)], ["absent", 0, 0, 0, 0, 0], lambda s, o: _apply(s, o, most), STATE)
+
+
+def _apply(s: list, op: str | None, most: int) -> None:
     state = s[0]
     if op == "push" and state == "absent":
         s[0], s[1], s[5] = "queued", 0, s[5] + 1
