@@ -39,3 +39,19 @@ def test_as_sql(spark):
     own = next(r for r in got if r[0] == -1)
     text = "</s>[INST] ok [/INST]"
     assert own[1:5] == (2, hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_query_reads_the_loss_under_the_mask(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    right = {r.conv_id: r for r in chat.query(spark, d).collect()}
+    formatted = chat.format_chats
+
+    def one_off(*args, **more):
+        nudge = lambda m: m.withField("train", F.when(m["train"] > 0, m["train"] - 1).otherwise(0)).withField("after", F.when(m["train"] > 0, m["after"] + 1).otherwise(m["after"]))
+        return formatted(*args, **more).withColumn("mask", F.transform("mask", nudge))
+
+    monkeypatch.setattr(chat, "format_chats", one_off)
+    wrong = {r.conv_id: r for r in chat.query(spark, d).collect()}
+    trained = {k for k, r in right.items() if r.loss_chars}
+    assert -1 in trained and all(wrong[k].loss_chars < right[k].loss_chars and wrong[k].loss_sha256 != right[k].loss_sha256 for k in trained)
+    assert all(wrong[k].turns_sha256 == right[k].turns_sha256 for k in right)
