@@ -54,7 +54,8 @@ def eligible_path(path: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """The second-level sections of a markdown text: array of (title, text)."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n## +"), 2, 10_000)
+    parts = F.split(F.concat(F.lit("\n"), body), r"\n## +")
+    parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
     return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text")))
 
 
@@ -89,7 +90,10 @@ def write_traces(rows: DataFrame, path: str, most: int = 4000) -> None:
     rows.withColumns(cut).write.mode("append").json(path)
 
 
-def report(scenarios: DataFrame) -> str:
-    """A markdown table of a small result: one row a scenario."""
+def report(scenarios: DataFrame, most: int = 1000) -> str:
+    """A markdown table of a small result: one row a scenario. More than ``most`` rows are an error."""
     lines = ["| " + " | ".join(scenarios.columns) + " |", "|" + "---|" * len(scenarios.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(str, r)) + " |" for r in scenarios.orderBy(scenarios.columns[0]).limit(1000).collect()]) + "\n"
+    rows = scenarios.orderBy(scenarios.columns[0]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} scenarios in a report")
+    return "\n".join(lines + ["| " + " | ".join(map(str, r)) + " |" for r in rows]) + "\n"
