@@ -13,7 +13,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,42 +28,90 @@ VOCABULARY = "byte_bpe_50k.json"
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _BEYOND = re.compile("[^\x00-\x1b\x20-ɏ]")  # beyond that range, or a separator that only Python takes as white space
+_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")  # runs of white space, or others than blank and line feed
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(256 + other.index(b)) if b in other else chr(b) for b in range(256)]
+
+
+class _Words(dict):
+    """Ids of the vocabulary's words, as bytes; merged by the tokenizer's model, which spares its offsets."""
+
+    def __init__(self, model):
+        self.tokenize, self.letters = model.tokenize, dict(enumerate(_byte_letters()))
+
+    def merge(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.merge(word)
+        return found
+
+
+class _Fields(dict):
+    """Ids of what stands between blanks, with the blank before it, or from a line feed on."""
+
+    def __init__(self, words: _Words):
+        self.words = words
+
+    def __missing__(self, field: str) -> bytes:
+        if field.isalpha():
+            found = self.words.merge(" " + field)
+        elif field[:-1].isalpha():  # letters and one other sign
+            found = self[field[:-1]] + self.words[field[-1]]
+        else:
+            found = b"".join(map(self.words.__getitem__, _SPLIT.findall(field if field[0] == "\n" else " " + field)))
+        self[field] = found
+        return found
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, by ``tokenizers``.
+    """Little-endian unsigned 32-bit ids of texts, by ``tokenizers`` with add_special_tokens=False.
 
-    The vocabulary splits a text into words before it merges bytes, so the ids
-    of words can be kept and joined; ``limit`` bounds what is kept. Texts with characters
-    whose class is not written out above go to the tokenizer whole.
+    The vocabulary splits a text into words before it merges bytes, and no word
+    reaches from a sign into the white space after it, so the ids of words and
+    of what stands between blanks can be kept and joined; ``limit`` bounds how many of each
+    are kept. Texts with characters whose class is not written out above, or with the
+    content of an added token such as an end mark, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 700_000):
+    def __init__(self, path: str | None = None, limit: int = 600_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = _Words(self.tokenizer.model)
+        self.fields = _Fields(self.words)
         self.limit = limit
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
         if sys.byteorder == "big":
-            for a in found:
-                a.byteswap()
-        return [a.tobytes() for a in found]
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _BEYOND.search(t) else _SPLIT.findall(t) for t in texts]
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        new = list(set(chain.from_iterable(words for words in cut if words)) - self.kept.keys())
-        self.kept.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        of = self.kept.__getitem__
-        return [next(whole) if words is None else b"".join(map(of, words)) for words in cut]
+        return [self.one(t) for t in texts]
+
+    def one(self, text: str) -> bytes:
+        for kept in (self.words, self.fields):
+            if len(kept) > self.limit:
+                kept.clear()
+        if _BEYOND.search(text) or any(x in text for x in self.added):
+            return self._whole(text)
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD_SPACE):
+            return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
+        first, *more = text.replace("\n", " \n").split(" ")
+        return b"".join([*map(self.words.__getitem__, _SPLIT.findall(first)), *map(self.fields.__getitem__, more)])
 
 
 class OpenWindows:
@@ -115,7 +162,7 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 _SCHEMA = "row_key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part int, ids binary"
 
 
-def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary: str | None = None, end_id: int = 0, text: str = "text", key: str = "doc_id", keep_ids: bool = True, fan_in: int = 32) -> DataFrame:
+def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary: str | None = None, end_id: int = 0, text: str = "text", key: str = "doc_id", keep_ids: bool = True, fan_in: int = 8) -> DataFrame:
     """A row for each piece of a document's ids: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document's ids are those of its text and ``end_id``; whole windows are
@@ -147,9 +194,10 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
             rows.clear()
             return out
 
-        def run(keys: list, texts: list[str]) -> None:
-            for k, ids in zip(keys, encode(texts), strict=True):
-                ids += end
+        weight = 0
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                k, ids = k.as_py(), encode.one(t.as_py() or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, width):
                     own = ids[4 * start : 4 * (start + width)]
@@ -159,21 +207,10 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
                         close([piece], False)
                     elif closed := windows.add(n, [piece]):
                         close(closed, False)
-
-        for batch in batches:
-            keys, texts, weight = [], [], 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(k)
-                texts.append(t.as_py() or "")
-                weight += len(texts[-1])
-                if weight > 2 << 20:
-                    run(keys, texts)
-                    keys, texts, weight = [], [], 0
-                    if rows:
-                        yield flush()
-            run(keys, texts)
-            if rows:
-                yield flush()
+                weight += total
+                if weight > 1 << 20 and rows:
+                    yield flush()
+                    weight = 0
         for window in windows.rest():
             close(window, True)
         if rows:

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -7,13 +8,16 @@ from tokenizers import Tokenizer
 
 from harrow.llm import packing
 
-ODD = ["", None, " ", "a  b", " lead", "trail ", "new\n line\n\n x", "tab\tx y", "a b c", "it's  I'll we've", "é à ü 日本 語", "word " * 3000 + "end", "<|endoftext|> is text", "a b", "a b"]
+ODD = ["", None, " ", "a  b", " lead", "trail ", "new\n line\n\n x", "tab\tx y", "a b c", "it's  I'll we've", "é à ü 日本 語", "word " * 3000 + "end", "<|endoftext|> is text", "a <|endoftext|> b", "\nlead\nlines", "crlf\r\nline", "end\n", "a.\nB 12,5%! (x) 'll don't", "\x85x\xa0y\xad¡", "a b", "a b"]
+
+
+@cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
 
 def whole(text):
-    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, docs):
@@ -63,3 +67,13 @@ def test_encoder_forgets_and_stays_right():
     encode = packing.Encoder(limit=3)
     for t in ["one two three four five six", "one two seven eight", "nine ten one two"]:
         assert encode([t])[0] == np.array(whole(t)[:-1], "<u4").tobytes()
+
+
+def test_encoder_as_the_plain_call():
+    import random
+
+    draw, signs = random.Random(5), ["a", "bé", "ß", "Z9", "'s", "'", ".", ",", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "½", "ǆ", "語", "\x1c", "<|endoftext|>"]
+    texts = ["".join(draw.choices(signs, [8, 8, 4, 4, 3, 2, 4, 4, 20, 1, 4, 1, 1, 1, 0.2, 1, 1, 0.1, 0.1, 0.1], k=draw.randrange(60))) for _ in range(3000)]
+    encode = packing.Encoder()
+    for t in texts:
+        assert encode.one(t) == np.array(whole(t)[:-1], "<u4").tobytes(), repr(t)
