@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,18 @@ def normalise(x: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(c(x), SPACE, " ")))
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else re.sub(r"\s+", " ", re.sub("[\u200b-\u200d\ufeff]", "", unicodedata.normalize("NFKC", t))).strip().casefold())
+
+
+def normalise_loose(x: Column | str) -> Column:
+    """Compatibility forms, case and white space folded, zero-width characters dropped. Plain ASCII stays in the JVM."""
+    v = c(x)
+    plain = v.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(F.trim(F.regexp_replace(v, SPACE, " ")))).otherwise(_folded(F.when(~plain, v)))
+
+
 def no_space(x: Column | str) -> Column:
     return F.lower(F.regexp_replace(c(x), SPACE, ""))
 
@@ -68,13 +81,15 @@ def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
+def similarity(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
     """1 if equal, 0.95 if one contains the other, else the matching-blocks ratio. The
-    ratio needs Python; the cases before it are settled natively and give it empty strings."""
+    ratio needs Python; the cases before it are settled natively and give it empty strings.
+    So do pairs whose lengths, 2 * min / (a + b), bound the ratio below ``least``: they are 0."""
     x, y = normalise(a), normalise(b)
+    short = 2 * F.least(F.length(x), F.length(y)) < least * (F.length(x) + F.length(y))
     settled = (x == "") | (y == "") | (x == y) | F.contains(x, y) | F.contains(y, x)
-    rest = _ratio(F.when(settled, "").otherwise(x), F.when(settled, "").otherwise(y))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(settled, 0.95).otherwise(rest)
+    rest = _ratio(F.when(settled | short, "").otherwise(x), F.when(settled | short, "").otherwise(y))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(settled, 0.95).when(short, 0.0).otherwise(rest)
 
 
 def safe_divide(a: Column, b: Column) -> Column:
@@ -104,8 +119,10 @@ def semantic_type_ok(value: Column | str, kind: Column, longest: int | None = No
     """url, number or date by form; other kinds by length. Blank is never valid."""
     v, k = F.trim(F.coalesce(c(value), F.lit(""))), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
     url = v.startswith("/") | v.rlike(r"^(?i:https?)://[^/?#]+")
-    number = v.rlike(r"^[^\d\-+]*[-+]?\d[\d,.\s]*[^\d]*$")
-    date = v.rlike(r"\d{4}[-/年]\d{1,2}([-/月]\d{1,2}日?)?") | v.rlike(r"\d{1,2}[-/]\d{1,2}([-/]\d{2,4})?")
+    head, core = F.regexp_extract(v, r"^\D*", 0), F.regexp_extract(v, r"\d(?:.*\d)?", 0)
+    signs = F.substring(head, F.lit(1), F.length(head) - 1)  # a sign may stand right before the first digit only
+    number = (core != "") & (F.regexp_replace(core, r"[\d,.\s]", "") == "") & (F.translate(signs, "+-", "") == signs)
+    date = v.rlike(r"\d[-/]\d") | v.rlike(r"\d{4}年\d")
     other = F.lit(True) if longest is None else F.length(v) <= longest
     return (v != "") & F.when(k == "url", url).when(k == "number", number).when(k == "date", date).otherwise(other)
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,26 +79,38 @@ def links(found: DataFrame, pages: DataFrame, key: str, url: str) -> DataFrame:
     return a.join(pages.select(key, F.col(url).alias("__base")), key).select(key, "pos", "path", urls.join("__base", F.element_at("attributes", F.lit("href"))).alias("target"), F.trim("text").alias("text"))
 
 
+_MARKS = r"(?:\{[^}]*\})*"
+
+
+def _predicate(p: str) -> tuple[str, str]:
+    """A predicate of the subset as (index or '', mark or '')."""
+    name, sign, value = (x.strip() for x in p.removesuffix(")").removeprefix("contains(").partition("," if p.startswith("contains(") else "="))
+    if p.isdigit():
+        return rf"\[{p}\]", ""
+    if name not in ("@id", "@class") or not sign or len(value) < 2 or value[0] not in "'\"" or value[-1] != value[0]:
+        raise ValueError(f"predicate outside the subset: {p}")
+    loose = "[^}]*" if p.startswith("contains(") else ""
+    return "", rf"{_MARKS}\{{{name[1:]}={loose}{re.escape(value[1:-1])}{loose}\}}{_MARKS}"
+
+
 def step_regex(xpath: str) -> str:
     """A path of the subset (/, //, *, [n], [@id='x'], [contains(@class,'x')], union) as a pattern over marked paths."""
-    parts = []
+    paths = []
     for one in xpath.split("|"):
-        out = ""
-        for sep, tag, predicates in re.findall(r"(//?)([a-zA-Z*][\w-]*)((?:\[[^\]]+\])*)", one.strip()):
-            index, marks = r"\[\d+\]", r"(?:\{[^}]*\})*"
-            for p in re.findall(r"\[([^\]]+)\]", predicates):
-                if p.strip().isdigit():
-                    index = rf"\[{p.strip()}\]"
-                elif m := re.fullmatch(r"\s*@(id|class)\s*=\s*['\"](.*)['\"]\s*", p):
-                    marks = rf"(?:\{{[^}}]*\}})*\{{{m[1]}={re.escape(m[2])}\}}(?:\{{[^}}]*\}})*"
-                elif m := re.fullmatch(r"\s*contains\(\s*@(id|class)\s*,\s*['\"](.*)['\"]\s*\)\s*", p):
-                    marks = rf"(?:\{{[^}}]*\}})*\{{{m[1]}=[^}}]*{re.escape(m[2])}[^}}]*\}}(?:\{{[^}}]*\}})*"
-                else:
-                    raise ValueError(f"predicate outside the subset: {p}")
-            name = r"[\w-]+" if tag == "*" else re.escape(tag)
-            out += ("(?:/[^/]+)*/" if sep == "//" else "/") + name + index + marks
-        parts.append(out)
-    return "^(?:" + "|".join(parts) + ")$"
+        out, deep = "", False
+        for part in re.split(r"/(?![^\[\]]*\])", one.strip())[1:]:
+            if not part:
+                deep = True
+                continue
+            tag, *predicates = (x.rstrip("] ").strip() for x in part.split("["))
+            index, marks = r"\[\d+\]", _MARKS
+            for p in predicates:
+                at, mark = _predicate(p)
+                index, marks = at or index, mark or marks
+            out += ("(?:/[^/]+)*/" if deep else "/") + (r"[\w-]+" if tag == "*" else re.escape(tag)) + index + marks
+            deep = False
+        paths.append(out)
+    return "^(?:" + "|".join(paths) + ")$"
 
 
 def evaluate(found: DataFrame, key: str, xpath: str, kind: str = "text", most: int = 8) -> DataFrame:
@@ -110,13 +122,22 @@ def evaluate(found: DataFrame, key: str, xpath: str, kind: str = "text", most: i
 
 
 def search(found: DataFrame, target: Column, how: str = "strict", threshold: float = 0.8) -> DataFrame:
-    """Nodes whose text matches: strict, prefix, or fuzzy with its similarity."""
+    """Nodes whose text matches: strict, prefix, or fuzzy with its similarity; ``ranks`` orders those of a page.
+
+    Fuzzy compares only texts whose length allows a ratio of ``threshold``.
+    """
     texts = found.where(F.trim("text") != "")
     if how == "strict":
         return texts.where(T.strict_match("text", target))
     if how == "prefix":
         return texts.where(T.prefix_match("text", target))
-    return texts.withColumn("similarity", T.similarity(F.col("text"), target)).where(F.col("similarity") >= threshold)
+    return texts.withColumn("similarity", T.similarity(F.col("text"), target, threshold)).where(F.col("similarity") >= threshold)
+
+
+def ranks(matches: DataFrame, key: str, fuzzy: bool = False) -> DataFrame:
+    """The place of each match on its page: the most similar first for fuzzy matches, else by position, longer texts first."""
+    order = [F.col("similarity").desc(), F.col("pos")] if fuzzy else [F.col("pos"), F.length("text").desc()]
+    return matches.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def search_url(found: DataFrame, target: Column, threshold: float = 0.7) -> DataFrame:
