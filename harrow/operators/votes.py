@@ -42,33 +42,38 @@ def segment_consensus(rows: DataFrame, by: list[str], xpath: str, pos: str, majo
     """One pattern from the paths of the commonest depth: tags must agree, positions stay where a
     share of ``majority`` has the same, predicates where all have them.
 
-    Two aggregations, by step and by key; ``majority`` = 1 and ``accept`` = 0.6 give the strict form for links.
+    Different paths carry weights, so rows are aggregated before anything is parsed. Votes for positions and
+    predicates are counted in one aggregation, patterns made for every depth, and the depth chosen last;
+    ``majority`` = 1 and ``accept`` = 0.6 give the strict form for links.
     """
-    paths = rows.groupBy(*by, F.trim(F.col(xpath)).alias("__p")).agg(F.count("*").alias("__w"), F.min(pos).alias("__f"))  # each different path once, with its weight
-    named = paths.withColumn("__s", xpaths.segments("__p")).where(F.size("__s") > 0).withColumn("__n", F.size("__s"))
-    depth = named.groupBy(*by, "__n").agg(F.sum("__w").alias("__votes"), F.min("__f").alias("__first"))
-    depth = depth.groupBy(*by).agg(F.min_by("__n", F.struct((-F.col("__votes")).alias("v"), "__first")).alias("__n"))
-    kept = named.join(depth, [*by, "__n"])
-    steps = kept.select(*by, "__w", "__f", F.posexplode("__s").alias("__i", "__x"))
-    indexes = steps.groupBy(*by, "__i", F.col("__x.index").alias("__at")).agg(F.sum("__w").alias("__votes"), F.min("__f").alias("__first"), F.min("__x.tag").alias("__low"), F.max("__x.tag").alias("__high"), F.min_by("__x", "__f").alias("__x"))
-    merged = indexes.groupBy(*by, "__i").agg(
-        F.max_by("__at", F.struct("__votes", (-F.col("__first")).alias("f"))).alias("__at"),
-        F.max("__votes").alias("__top"),
-        F.sum("__votes").alias("__rows"),
-        F.count_if(F.col("__at").isNull()).alias("__none"),
+    paths = rows.groupBy(*by, F.trim(F.col(xpath)).alias("__p")).agg(F.count("*").alias("__w"), F.min(pos).alias("__f"))
+    named = paths.withColumn("__s", xpaths.segments("__p")).withColumn("__n", F.size("__s")).where("__n > 0")
+    place = [*by, "__n", "__i"]
+    votes = F.transform(F.array_distinct("__x.attributes"), lambda q: F.struct(F.lit(True).alias("named"), q.alias("value")))
+    position = F.array(F.struct(F.lit(False).alias("named"), F.col("__x.index").cast("string").alias("value")))
+    ballots = named.select(*by, "__n", "__w", "__f", F.posexplode("__s").alias("__i", "__x")).select(*place, "__w", "__f", "__x", F.explode(F.concat(position, votes)).alias("__v"))
+    counted = ballots.groupBy(*place, "__v").agg(F.sum("__w").alias("__votes"), F.min("__f").alias("__first"), F.min("__x.tag").alias("__low"), F.max("__x.tag").alias("__high"), F.min_by("__x", "__f").alias("__x"))
+    at, is_at = F.col("__v.value"), ~F.col("__v.named")
+    counted = counted.withColumn("__rows", F.sum(F.when(is_at, F.col("__votes"))).over(Window.partitionBy(*place)))
+    step = counted.groupBy(*place).agg(
+        F.max_by(at, F.when(is_at, F.struct("__votes", (-F.col("__first")).alias("f")))).alias("__at"),
+        F.max(F.when(is_at, F.col("__votes"))).alias("__top"),
+        F.first("__rows").alias("__rows"),
+        F.min("__first").alias("__first"),
+        F.bool_or(is_at & at.isNull()).alias("__none"),
         (F.min("__low") != F.max("__high")).alias("__mixed"),
         F.min_by("__x", "__first").alias("__x"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~is_at & (F.col("__votes") == F.col("__rows")), at))), "").alias("__shared"),
     )
-    has = steps.select(*by, "__i", F.explode(F.array_distinct("__x.attributes")).alias("__q"), "__w").groupBy(*by, "__i", "__q").agg(F.sum("__w").alias("__votes"))
-    shared = has.join(merged.select(*by, "__i", "__rows"), [*by, "__i"]).where(F.col("__votes") == F.col("__rows")).groupBy(*by, "__i").agg(F.array_join(F.array_sort(F.collect_list("__q")), "").alias("__shared"))
-    merged = merged.join(shared, [*by, "__i"], "left")
-    keep = (F.col("__none") == 0) & (F.col("__top") / F.col("__rows") >= majority)
-    step = F.concat(F.col("__x.separator"), F.col("__x.tag"), F.when(keep, F.concat(F.lit("["), F.col("__at").cast("string"), F.lit("]"))).otherwise(""), F.coalesce("__shared", F.lit("")))
-    pattern = merged.withColumn("__e", step).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "__e"))).alias("__all"), F.bool_or("__mixed").alias("__mixed"))
-    pattern = pattern.where("not __mixed").select(*by, F.array_join(F.transform("__all", lambda s: s["__e"]), "").alias("pattern"))
+    keep = ~F.col("__none") & (F.col("__top") / F.col("__rows") >= majority)
+    text = F.concat("__x.separator", "__x.tag", F.when(keep, F.concat(F.lit("["), "__at", F.lit("]"))).otherwise(""), "__shared")
+    depths = step.groupBy(*by, "__n").agg(F.array_sort(F.collect_list(F.struct("__i", text.alias("text")))).alias("__all"), F.bool_or("__mixed").alias("__mixed"), F.max("__rows").alias("__rows"), F.min("__first").alias("__first"))
+    best = depths.groupBy(*by).agg(F.max_by(F.struct("__n", "__all", "__mixed"), F.struct("__rows", (-F.col("__first")).alias("f"))).alias("__b"))
+    pattern = best.where("not __b.__mixed").select(*by, "__b.__n", F.array_join(F.transform("__b.__all", lambda s: s["text"]), "").alias("pattern"))
     exact, shape = F.col("__p") == F.col("pattern"), xpaths.strip_index("__p") == xpaths.strip_index("pattern")
     share = lambda hit: F.sum(F.when(hit, F.col("__w")).otherwise(0)) / F.sum("__w")
-    scored = kept.join(pattern, by).groupBy(*by, "pattern").agg(F.round(0.7 * share(exact) + 0.3 * share(shape), 4).alias("confidence"), F.sum("__w").alias("support"))
+    own = paths.withColumn("__n", F.size(xpaths.steps("__p")))
+    scored = own.join(pattern, [*by, "__n"]).groupBy(*by, "pattern").agg(F.round(0.7 * share(exact) + 0.3 * share(shape), 4).alias("confidence"), F.sum("__w").alias("support"))
     return scored.where(F.col("confidence") >= accept)
 
 

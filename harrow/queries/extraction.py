@@ -34,19 +34,54 @@ def index_free_mode(load):
     return votes.index_free_mode(_paths(load), ["l_suppkey"], "xpath", "pos", 0.3)
 
 
-@query()
+_MOSTLY = """select l_suppkey as k, l_orderkey * 100 + l_linenumber as pos, '/html/body/' || case when l_orderkey % 10 = 0 then 'main/' else '' end || 'div[' || case when l_suppkey % 5 = 0 or l_partkey % 10 < 8 then 1 else 2 end || ']/'
+  || case when l_suppkey % 4 = 0 and l_returnflag = 'R' then 'p' else 'a' end || case when l_suppkey % 3 = 0 then '[' || l_linenumber || ']' else '[@class="x"]' end as x from lineitem"""
+
+
+def _mostly(load):
+    """Paths of which most agree; suppliers divisible by 4 mix tags, those by 3 positions, and only those by 5 agree in all."""
+    k = F.col("l_suppkey")
+    deep = F.when(F.col("l_orderkey") % 10 == 0, "main/").otherwise("")
+    at = F.when((k % 5 == 0) | (F.col("l_partkey") % 10 < 8), 1).otherwise(2).cast("string")
+    tag = F.when((k % 4 == 0) & (F.col("l_returnflag") == "R"), "p").otherwise("a")
+    last = F.when(k % 3 == 0, F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("]"))).otherwise('[@class="x"]')
+    path = F.concat(F.lit("/html/body/"), deep, F.lit("div["), at, F.lit("]/"), tag, last)
+    return load("lineitem").select(k.alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), path.alias("x"))
+
+
+def _consensus_sql(majority: float, accept: float) -> str:
+    return f"""
+with p as (select k, x, count(*) as w, min(pos) as f from ({_MOSTLY}) group by all),
+s as (select *, string_split(substr(x, 2), '/') as st, len(string_split(substr(x, 2), '/')) as n from p),
+d as (select k, n, row_number() over (partition by k order by sum(w) desc, min(f)) as r from s group by k, n),
+kept as (select s.* from s join d on s.k = d.k and s.n = d.n and d.r = 1),
+steps as (select k, w, f, i, regexp_extract(step, '^[^\\[]+') as tag, regexp_extract(step, '\\[(\\d+)\\]', 1) as idx, regexp_extract(step, '(\\[@[^\\]]*\\])', 1) as att from (select k, w, f, unnest(st) as step, generate_subscripts(st, 1) as i from kept)),
+v as (select k, i, idx, sum(w) as votes, row_number() over (partition by k, i order by sum(w) desc, min(f)) as r from steps group by k, i, idx),
+t as (select k, i, sum(w) as total, bool_or(idx = '') as none, count(distinct tag) > 1 as mixed, min(tag) as tag, case when count(distinct att) = 1 then min(att) else '' end as att from steps group by k, i),
+e as (select t.*, '/' || tag || case when not none and votes / total >= {majority} then '[' || idx || ']' else '' end || att as text from t join v on t.k = v.k and t.i = v.i and v.r = 1),
+pattern as (select k, string_agg(text, '' order by i) as pattern from e group by k having not bool_or(mixed)),
+c as (select k, pattern, round(0.7 * sum(case when x = pattern then w else 0 end) / sum(w) + 0.3 * sum(case when regexp_replace(x, '\\[\\d+\\]', '', 'g') = regexp_replace(pattern, '\\[\\d+\\]', '', 'g') then w else 0 end) / sum(w), 4) as confidence, sum(w)::bigint as support from kept join pattern using (k) group by all)
+select * from c where confidence >= {accept}"""
+
+
+@query(_consensus_sql(0.67, 0.5))
 def segment_consensus(load):
-    return votes.segment_consensus(_paths(load).where(F.contains("xpath", F.lit("/a["))), ["l_suppkey"], "xpath", "pos", accept=0.1)
+    return votes.segment_consensus(_mostly(load), ["k"], "x", "pos")
 
 
-@query()
+@query(_consensus_sql(1.0, 0.6))
 def strict_link_consensus(load):
-    return votes.segment_consensus(_paths(load).where(F.contains("xpath", F.lit("/a["))), ["l_suppkey"], "xpath", "pos", majority=1.0, accept=0.1)
+    return votes.segment_consensus(_mostly(load), ["k"], "x", "pos", majority=1.0, accept=0.6)
 
 
-@query()
+@query(f"""
+with s as (select k, list_reverse(list_transform(string_split(substr(x, 2), '/'), lambda t: regexp_extract(t, '^[^\\[]+'))) as tags from ({_MOSTLY})),
+n as (select k, count(*) as paths from s group by 1),
+l as (select k, i, count(*) as n, min(tag) as tag, count(distinct tag) as kinds from (select k, unnest(tags) as tag, generate_subscripts(tags, 1) as i from s) group by all),
+b as (select l.*, max(case when kinds > 1 or n <> paths then 1 else 0 end) over (partition by l.k order by i) as broken from l join n on l.k = n.k)
+select k, '//' || string_agg(tag, '/' order by i desc) as pattern from b where broken = 0 group by 1 having count(*) >= 2""")
 def suffix_consensus(load):
-    return votes.suffix_consensus(_paths(load).where(F.contains("xpath", F.lit("/a["))), ["l_suppkey"], "xpath")
+    return votes.suffix_consensus(_mostly(load), ["k"], "x")
 
 
 @query(f"""
