@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -80,10 +84,102 @@ def write_if_changed(rows: DataFrame, path: str, ignore: tuple[str, ...] = ()) -
             return False
     except AnalysisException:
         pass
-    rows.write.mode("overwrite").parquet(path)
+    replace_table(rows, path)
     return True
 
 
+def promote(spark: SparkSession, staged: str, final: str) -> None:
+    """Put a written table in the place of another: the old one is moved aside, the staged one renamed, then the old one deleted.
+
+    Any file system that Spark reads will do; where renames are atomic readers see the old or the new files.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, place, old = path(staged), path(final), path(f"{final.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(new):
+        raise OSError(f"{staged} is not there")
+    if place.getParent() is not None:
+        fs.mkdirs(place.getParent())
+    had = fs.exists(place)
+    if had and not fs.rename(place, old):
+        raise OSError(f"{final} can't be moved aside")
+    if not fs.rename(new, place):
+        if had:
+            fs.rename(old, place)
+        raise OSError(f"{staged} can't be moved to {final}")
+    if had:
+        fs.delete(old, True)
+
+
+def replace_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write aside, then switch; rows may be read from ``path`` itself."""
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.write.format(kind).save(staged)
+    promote(rows.sparkSession, staged, path)
+
+
+def write_idempotent(rows: DataFrame, path: str, identity: list[str], volatile: tuple[str, ...] = ("updated_at",), created: str = "created_at") -> bool:
+    """Replace a Parquet table unless it holds the same rows, ``volatile`` and ``created`` columns left out.
+
+    A row whose identity was there before keeps its ``created``, and all of its columns where nothing else changed.
+    """
+    spark = rows.sparkSession
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:
+        replace_table(rows, path)
+        return True
+    told = [c for c in rows.columns if c not in (*identity, *volatile, created)]
+    if set(rows.columns) != set(old.columns):
+        replace_table(rows, path)
+        return True
+    before = old.select(*[F.col(c).alias(f"__i{i}") for i, c in enumerate(identity)], F.struct(*rows.columns).alias("__old"))
+    same_identity = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__i{i}")) for i, c in enumerate(identity)])
+    joined = rows.join(before, same_identity, "left")
+    same = F.col("__old").isNotNull()
+    for c in told:
+        same = same & F.col(c).eqNullSafe(F.col(f"__old.{c}"))
+    kept = {c: F.when(same, F.col(f"__old.{c}")).otherwise(F.coalesce(F.col(f"__old.{c}"), F.col(c)) if c == created else F.col(c)) for c in (*volatile, created) if c in rows.columns}
+    counted = joined.agg(F.count("*").alias("n"), F.count_if(same).alias("same")).first()
+    if counted.n == counted.same == old.count():
+        return False
+    replace_table(joined.select(*[kept.get(c, F.col(c)).alias(c) for c in rows.columns]), path)
+    return True
+
+
+def write_merged(items: DataFrame, subtasks: DataFrame, path: str, subtask: str, order: str, pos: str) -> None:
+    """Items of all subtasks as JSON lines in order of plan and item, each with the number of its subtask; the old files are replaced."""
+    rows = items.join(subtasks.select(subtask, F.col(order).alias("plan_order")), subtask)
+    replace_table(rows.repartitionByRange("plan_order", pos).sortWithinPartitions("plan_order", pos), path, "json")
+
+
+def scenarios(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Scenario settings of YAML or JSON files: a row each, checked. Settings are few and small; they are parsed on the driver.
+
+    Every scenario needs an id and a truth file; thresholds are shares, a missing one takes its default.
+    """
+    schema = "id string, truth string, match_key string, field_matching map<string,string>, min_record_recall double, min_field_f1 double, max_steps int"
+    out = []
+    for r in spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("path")).toLocalIterator():
+        found = _settings(r.value)
+        truth, limits = found.get("ground_truth") or {}, found.get("thresholds") or {}
+        row = ((found.get("scenario") or found).get("id"), truth.get("file"), truth.get("match_key"), {str(k): str(v) for k, v in (truth.get("field_matching") or {}).items()}, float(limits.get("min_record_recall", 0.8)), float(limits.get("min_field_f1", 0.7)), int(limits.get("max_steps", 50)))
+        if not row[0] or not row[1] or not (0 <= row[4] <= 1 and 0 <= row[5] <= 1 and row[6] > 0):
+            raise ValueError(f"{r.path}: not a scenario")
+        out.append(row)
+    return spark.createDataFrame(out, schema)
+
+
+def _settings(text: str) -> dict:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        import yaml
+
+        found = yaml.safe_load(text)
+    return found if isinstance(found, dict) else {}
+
+
 def write_traces(rows: DataFrame, path: str, most: int = 4000) -> None:
     """Append trace lines, long texts cut."""
     cut = {f.name: F.when(F.length(f.name) > most, F.concat(F.substring(f.name, 1, most), F.lit("..."))).otherwise(F.col(f.name)) for f in rows.schema.fields if f.dataType.simpleString() == "string"}

@@ -90,3 +90,27 @@ def dedup_events(events: DataFrame, key: str, at: str, late: str = "1 hour") ->
 def rates(events: DataFrame, at: str, by: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Counts of a stream in tumbling windows of event time."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), by).count().select(F.col("window.start").alias("start"), by, "count")
+
+
+def sliding(events: DataFrame, at: str, by: str, width: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """Counts in windows that overlap; rows later than the watermark are dropped."""
+    return events.withWatermark(at, late).groupBy(F.window(at, width, slide), by).count().select(F.col("window.start").alias("start"), by, "count")
+
+
+def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Runs of events of a key without a pause of ``gap``."""
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by).count().select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "count")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, at: str, within: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Pairs of two streams with the same key, the right one at most ``within`` after the left one; watermarks bound the state."""
+    a = left.withWatermark(at, late).alias("a")
+    b = right.withWatermark(at, late).alias("b")
+    near = F.col(f"b.{at}").between(F.col(f"a.{at}"), F.col(f"a.{at}") + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near)
+
+
+def next_tasks(retried: DataFrame, recovered: DataFrame, fresh: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The next ``size`` tasks: those to be tried again first, then recovered ones, then those of the queue. A top-k."""
+    ranked = [rows.withColumn("source", F.lit(i)) for i, rows in enumerate((retried, recovered, fresh))]
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).orderBy("source", *order).limit(size)
