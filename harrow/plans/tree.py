@@ -11,16 +11,18 @@ def walk(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
 
     A node that comes back below itself (its key stands under several parents) is an error, and so is what Spark's limit of rows does not hold.
     """
-    spark = nodes.sparkSession
-    nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).alias("label"), F.lpad(F.col(key).cast("string"), 20, "0").alias("ord")).createOrReplaceTempView("__plan_nodes")
-    return spark.sql("""
+    named = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).alias("label"), F.lpad(F.col(key).cast("string"), 20, "0").alias("ord"))
+    return nodes.sparkSession.sql(
+        """
         with recursive tree(id, up, label, depth, path, sort_path, above) max recursion level 2147483647 as (
-          select id, up, label, 0, cast(label as string), cast(ord as string), array(id) from __plan_nodes where up is null
+          select id, up, label, 0, cast(label as string), cast(ord as string), array(id) from {named} where up is null
           union all
           select n.id, n.up, n.label, t.depth + 1, concat(t.path, ' > ', n.label), concat(t.sort_path, '/', n.ord),
             if(array_contains(t.above, n.id), raise_error('cycle in the plan tree'), array_append(t.above, n.id))
-          from __plan_nodes n join tree t on n.up = t.id
-        ) select id, up, label, depth, path, sort_path from tree""")
+          from {named} n join tree t on n.up = t.id
+        ) select id, up, label, depth, path, sort_path from tree""",
+        named=named,
+    )
 
 
 def sibling_sets(nodes: DataFrame, parent: str, leaf: str) -> DataFrame:
