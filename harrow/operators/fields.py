@@ -34,8 +34,10 @@ def template_groups(values: DataFrame, url: str, field: str, xpath: str, pos: st
     """Records grouped by their paths without positions: the first ``explore`` of a group learn, the next ``validate`` check; groups that are too small do neither."""
     part = F.struct(field, xpaths.majority_key(xpath).alias("x"))
     signed = values.groupBy(url).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: F.concat(s[field], F.lit(":"), s["x"])), "|").alias("template"), F.min(pos).alias("__p"))
-    w = Window.partitionBy("template")
-    ranked = signed.withColumns({"n": F.row_number().over(w.orderBy("__p", url)), "size": F.count("*").over(w)})
+    sizes = signed.groupBy("template").agg(F.count("*").alias("size"))
+    first = latest(signed, ["template"], [F.col("__p"), F.col(url)], explore + validate)  # a few of each template; the others only count
+    first = first.select(url, F.row_number().over(Window.partitionBy("template").orderBy("__p", url)).alias("n"))
+    ranked = signed.join(first, url, "left").join(sizes, "template")
     role = F.when(F.col("size") < explore, "waiting").when(F.col("n") <= explore, "explore").when(F.col("n") <= explore + validate, "validate").otherwise("extract")
     return ranked.select(url, "template", role.alias("role"))
 

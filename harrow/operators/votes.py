@@ -130,14 +130,17 @@ def union_chain(patterns: DataFrame, rows: DataFrame, by: list[str], pattern: st
 def mean_similarity(rows: DataFrame, by: list[str], xpath: str) -> DataFrame:
     """Mean similarity of all pairs of a key's paths.
 
-    Equal paths without positions are counted once and weighted, so a key costs the square of its different paths.
+    The similarity is the share of the longer path's steps that are equal at the same place, so the sum over
+    pairs is one over places: how many paths of each length have a step there. No pair is formed.
     """
-    bare = rows.withColumn("x", xpaths.bare(xpath)).where("x <> ''").groupBy(*by, "x").agg(F.count("*").alias("n"))
-    left, right = bare, bare.withColumnsRenamed({"x": "y", "n": "m"})
-    cross = left.join(right, by).where("x < y").groupBy(*by).agg(F.sum(F.col("n") * F.col("m") * xpaths.similarity("x", "y")).alias("s"))
-    own = bare.groupBy(*by).agg(F.sum("n").alias("k"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
+    bare = rows.withColumn("x", xpaths.bare(xpath)).where("x <> ''").groupBy(*by, "x").agg(F.count("*").alias("n")).withColumn("s", F.split("x", "/"))
+    place = [*by, "i", "v"]
+    counted = bare.select(*by, "n", F.size("s").alias("l"), F.posexplode("s").alias("i", "v")).groupBy(*place, "l").agg(F.sum("n").alias("n"))
+    shorter = F.coalesce(F.sum("n").over(Window.partitionBy(*place).orderBy("l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = (F.col("n") * shorter + F.col("n") * (F.col("n") - 1) / 2) / F.col("l")
+    sums = counted.withColumn("shares", shares).groupBy(*by).agg(F.sum("shares").alias("s"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("k"))
     pairs = F.col("k") * (F.col("k") - 1) / 2
-    return own.join(cross, by, "left").select(*by, F.when(F.col("k") == 1, 1.0).otherwise(F.round((F.col("same") + F.coalesce("s", F.lit(0.0))) / pairs, 4)).alias("stability"))
+    return sums.select(*by, F.when(F.col("k") == 1, 1.0).otherwise(F.round(F.col("s") / pairs, 4)).alias("stability"))
 
 
 def validation(rows: DataFrame, page: str, field: str, ok: Column, required: Column, field_rate: float = 0.8, page_rate: float = 0.8) -> DataFrame:
