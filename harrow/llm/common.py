@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: a Parquet table in the shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where the
-    setting is missing (tests on one machine) a temporary folder is used. Unlike a
-    checkpoint() the table has its own statistics: those of a checkpointed plan
+    Unlike a checkpoint() the table has its own statistics: those of a checkpointed plan
     are products over all joins before it and outgrow the driver in an iteration.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder}/harrow/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str = "harrow") -> str:
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    Where that setting is missing a temporary folder is used, but only if driver and executors are one process.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = _own_folder()
+    path = f"{top}/{name}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 @cache
@@ -40,6 +55,43 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="harrow-")
 
 
+def shared(spark: SparkSession, value: object):
+    """A function that gives ``value`` on the executors; its ``drop`` frees the copies there.
+
+    The value is broadcast as bytes that hold the classes of this package too; a
+    plain broadcast would look for the package on the workers.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        return cloudpickle.loads(held.value)
+
+    get.drop = held.unpersist
+    return get
+
+
+PASSAGES = "array<struct<start:int,stop:int>>"
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (start, stop) with those that overlap or touch as one."""
+
+    def join(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            out = []
+            for own in column:
+                found: list[dict] = []
+                for s in own:
+                    if found and s["start"] <= found[-1]["stop"]:
+                        found[-1]["stop"] = max(found[-1]["stop"], s["stop"])
+                    else:
+                        found.append({"start": s["start"], "stop": s["stop"]})
+                out.append(found)
+            yield pd.Series(out)
+
+    return F.pandas_udf(join, PASSAGES)(spans)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,6 +113,25 @@ def lookup(df: DataFrame, width: Column | int = 16, most: int = 16 << 20) -> Dat
     return F.broadcast(df) if size <= most else df
 
 
+def matching(rows: DataFrame, wanted: DataFrame, on: str, salt: str, salts: int = 32, most: int = 16 << 20) -> DataFrame:
+    """The rows whose ``on`` is in ``wanted`` (materialised, one column without repeats).
+
+    Where ``wanted`` is too large to broadcast, both sides are dealt by ``on``
+    and a hash of ``salt``, so that the rows of one hot value meet in ``salts`` tasks, not in one.
+    """
+    if wanted.count() * 16 <= most:
+        return rows.join(F.broadcast(wanted), on)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    return dealt.join(wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "__salt"]).drop("__salt")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def packed(docs: DataFrame, **named: str) -> DataFrame:
     """Every row as one struct ``kept`` beside the named columns, so that no column of the input can clash with an operator's."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept"), *[docs[c].alias(n) for n, c in named.items()])

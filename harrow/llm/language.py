@@ -3,6 +3,7 @@ trained by follow-the-regularised-leader with elastic net, then temperature-cali
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, packed, shared, table
 from .learning import SAMPLE_ROWS, Ftrl, bucket_sums, mix, sample
 
 BUCKETS_LOG2 = 15
@@ -37,6 +38,12 @@ class LanguageModel:
         self.ftrl = Ftrl((len(idf) + 1, len(labels)), alpha, l1, l2)  # the last row: the intercepts
         self.dense: np.ndarray | None = None
 
+    def weights_only(self) -> LanguageModel:
+        """What predictions need, without the state of the training."""
+        out = copy.copy(self)
+        out.ftrl = None
+        return out
+
     @property
     def arrays(self) -> list[np.ndarray]:
         return self.ftrl.arrays
@@ -111,13 +118,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     model = LanguageModel(labels, _idf(rows))
     mix(chosen.where("turn <> 0").select("key", "body", "label"), model, LanguageModel.learn, rounds)
     model.dense = model.ftrl.weights()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model)
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(TEMPERATURES))
+        own, total = get(), np.zeros(len(TEMPERATURES))
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shared.value.logits(t)[None, :] / TEMPERATURES[:, None]
+                s = own.logits(t)[None, :] / TEMPERATURES[:, None]
                 s = s - s.max(axis=1, keepdims=True)
                 total += np.log(np.exp(s).sum(axis=1)) - s[:, y]
         yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["t", "loss"])
@@ -128,23 +135,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language of each whole text and its calibrated probability.
+    """docs with the predicted language of each whole text and its calibrated probability (in place of input columns of these names).
 
     ``und`` at score 0 for null texts, texts without a letter and without a model. The
     prediction sees the text only; repeated rows get the same; an empty table gives none.
     """
     if model is None:
         return docs.withColumns({lang_pred: F.lit("und"), score: F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model.weights_only())
 
     def guess(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = get()
         for body in bodies:
-            yield pd.DataFrame([shared.value.predict(t or "") for t in body], columns=["lang", "score"])
+            yield pd.DataFrame([own.predict(t or "") for t in body], columns=["lang", "score"])
 
     found = F.pandas_udf(guess, "lang string, score double")
-    marked = docs.withColumn("__guess", found(F.col(text)))
-    known = has_letter(text)
-    return marked.withColumns({lang_pred: F.when(known, F.col("__guess.lang")).otherwise("und"), score: F.when(known, F.col("__guess.score")).otherwise(0.0)}).drop("__guess")
+    marked = packed(docs, body=text).withColumn("guess", found("body"))
+    known = has_letter("body")
+    kept = [F.col(f"kept.`{c}`").alias(c) for c in docs.columns if c not in (lang_pred, score)]
+    return marked.select(*kept, F.when(known, F.col("guess.lang")).otherwise("und").alias(lang_pred), F.when(known, F.col("guess.score")).otherwise(0.0).alias(score))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
+
 SAMPLE_ROWS = 20_000  # labelled rows that a classifier is fitted on, at most (expected number)
 PARTS, PART_ROWS = 6, 3000  # groups that learn side by side: as many as have PART_ROWS rows each, PARTS at most
 
@@ -58,10 +60,10 @@ def mix(rows: DataFrame, model, learn: Callable[[object, Iterator[tuple]], int],
     grouped = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(groups)))
     schema = "seen long, " + ", ".join(f"a{i} binary" for i in range(len(model.arrays)))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        get = shared(spark, model)
 
         def part(table):  # Arrow table to Arrow table; hints would be read as the kind of function
-            own = shared.value  # noqa: B023
+            own = get()  # noqa: B023
             table = table.sort_by("key").select(names)
             seen = learn(own, (r for b in table.to_batches(500) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
             return pa.table([pa.array([seen], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in own.arrays], names=["seen", *(f"a{i}" for i in range(len(own.arrays)))])
@@ -71,7 +73,7 @@ def mix(rows: DataFrame, model, learn: Callable[[object, Iterator[tuple]], int],
         for i, a in enumerate(model.arrays):
             if total:
                 a[...] = sum(np.frombuffer(r[f"a{i}"], a.dtype).reshape(a.shape) * (r.seen / total) for r in got)
-        shared.unpersist()
+        get.drop()
     return model
 
 

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise, only, table
+from .common import components, lookup, materialise, only, table, unused
+from .words import hashes
 
 _BITS = 16
 MISS = 1e-5
@@ -35,22 +36,6 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROTATE = np.uint64(29)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets when it holds ``limit`` of them."""
-
-    limit = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def _fold(columns: Iterator[np.ndarray], size: int, seed: int) -> np.ndarray:
     h = np.full(size, (seed + 1) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for c in columns:
@@ -125,13 +110,13 @@ class NearDuplicates:
         width, positions = self.width, self.positions
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, signer = WordHashes(), Signer(positions)
+            signer = Signer(positions)
             for batch in batches:
                 for start, n in _batches(batch.column(2)):
                     part = batch.slice(start, n)
                     sizes, same, sigs, odd = [], [], [], []
-                    for t in part.column(2):
-                        grams = shingles(words.of(t.as_py()), width)
+                    for words in hashes(part.column(2).to_pylist()):
+                        grams = shingles(words, width)
                         sizes.append(len(grams))
                         same.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                         sigs.append(signer(grams) if len(grams) else None)
@@ -168,15 +153,14 @@ class NearDuplicates:
         wanted = materialise(reps.join(nodes, "node", "left_semi").select("node", "row", "same"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
             for batch in batches:
                 for start, n in _batches(batch.column(0)):
-                    grams = [shingles(words.of(t.as_py()), width) for t in batch.column(0).slice(start, n)]
+                    grams = [shingles(words, width) for words in hashes(batch.column(0).slice(start, n).to_pylist())]
                     same = [xxhash.xxh3_128_digest(g.tobytes()) for g in grams]
                     yield pa.record_batch([pa.array(same, pa.binary()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["same", "grams"])
 
         rows = self.docs.select(self._row(), "text").join(lookup(wanted.select("row")), "row", "left_semi").select("text")
-        found = rows.mapInArrow(sets, "same binary, grams array<long>").join(lookup(wanted.select("node", "same")), "same").select("node", "grams")
+        found = materialise(rows.mapInArrow(sets, "same binary, grams array<long>").join(lookup(wanted.select("node", "same")), "same").select("node", "grams"))
         left, right = found.withColumnsRenamed({"node": "a", "grams": "x"}), found.withColumnsRenamed({"node": "b", "grams": "y"})
         shared = F.size(F.array_intersect("x", "y"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -240,14 +224,15 @@ class NearDuplicates:
     def deduplicated(self) -> DataFrame:
         """The rows of docs, with all their columns, without all but one row of each component; rows without a shingle stay."""
         rows = materialise(self._assigned().select("row", (F.col("same").isNotNull() & (F.col("row") != F.col("stays"))).alias("goes")))
-        out = self.whole.withColumn("__row", F.xxhash64(*self.names))
-        gone = materialise(rows.where("goes").select(F.col("row").alias("__row")).distinct())
-        out = out.join(lookup(gone), "__row", "left_anti")
-        twice = materialise(rows.where("not goes").groupBy(F.col("row").alias("__row")).count().where("count > 1").select("__row"))
+        mark = unused(self.whole, "row_hash")
+        out = self.whole.withColumn(mark, F.xxhash64(*self.names))
+        gone = materialise(rows.where("goes").select(F.col("row").alias(mark)).distinct())
+        out = out.join(lookup(gone), mark, "left_anti")
+        twice = materialise(rows.where("not goes").groupBy(F.col("row").alias(mark)).count().where("count > 1").select(mark))
         if not twice.isEmpty():
             twice = lookup(twice)
-            out = out.join(twice, "__row", "left_anti").unionByName(out.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
-        return out.drop("__row")
+            out = out.join(twice, mark, "left_anti").unionByName(out.join(twice, mark, "left_semi").dropDuplicates([mark]))
+        return out.drop(mark)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

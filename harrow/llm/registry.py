@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op2_prefix_decontamination": decontaminate.ORACLE,
     "op4_multi_index_hamming": neardup.ORACLE,
     "op7_chat_round_trip": chat.ORACLE,
+    "op9_sparse_suffixes": suffixes.ORACLE,
     "op10_line_spread": linededup.ORACLE,
 }

@@ -4,8 +4,8 @@ Words are runs of anything but ASCII white space, A-Z lower-cased. Suffixes are
 retained at minimisers: of any ``least`` = 50 consecutive words, the position whose
 21-word gram has the smallest hash of the 30 grams in it. A passage of 50 words that repeats
 retains the same position in each occurrence, with at least 21 words to its right.
-Retained suffixes whose gram repeats are sorted all over the cluster, each is
-compared with its neighbours and every match is extended left and right. That
+Retained suffixes whose gram repeats are sorted all over the cluster (those of one
+gram in one place), each is compared with its neighbours and every match is extended left and right. That
 is all of them where a gram stands at no more than NEIGHBOURS + 1 places. Beyond,
 partners may stand anywhere in the group: there the windows of ``least`` words whose
 minimiser is the gram are hashed, and those that repeat are counted by hash.
@@ -21,29 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, packed, shuffle_width, table
-from .neardup import WordHashes, _batches
+from .common import PASSAGES, lookup, matching, materialise, merged, packed, shuffle_width, table
+from .neardup import _batches
+from .words import hashes, powers, spread
 
 LEAST, GRAM, RIGHT, LEFT, NEIGHBOURS = 50, 21, 56, 32, 3
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base, np.uint64), dtype=np.uint64)])
-    return _POWERS
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words, from sums of words times powers of an odd base."""
     n = len(words) - size + 1
-    up, down = _powers(len(words))
+    up, down = powers(len(words))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-    h = (sums[size:] - sums[:-size]) * down[:n]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    return spread((sums[size:] - sums[:-size]) * down[:n])
 
 
 def _least_grams(h: np.ndarray, span: int) -> np.ndarray:
@@ -109,11 +99,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
     size = min(GRAM, least)
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for start, n in _batches(batch.column(1)):
                 part = batch.slice(start, n)
-                found = [minimisers(words.of(t.as_py()), least, size) for t in part.column(1)]
+                found = [minimisers(words, least, size) for words in hashes(part.column(1).to_pylist())]
                 of = np.repeat(part.column(0).to_numpy(), [len(a) for a, _ in found])
                 yield pa.record_batch([pa.array(of), pa.array(np.concatenate([a for a, _ in found]).astype(np.int32)), pa.array(np.concatenate([g for _, g in found]).view(np.int64))], names=["of", "at", "gram"])
 
@@ -122,15 +111,14 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
     often = F.count("*") > NEIGHBOURS + 1  # copies of a text count too: then its gram goes the exact way without need
     twice = materialise(marks.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), often.alias("often")).where("a <> b").select("gram", "often"))
     ats = lambda often: F.collect_set(F.when(F.col("often") == often, F.col("at")))
-    hits = materialise(marks.join(lookup(twice), "gram").groupBy("of").agg(ats(False).alias("ats"), ats(True).alias("hot")))  # at most the positions of one text
+    hits = materialise(matching(marks, twice, "gram", "of").groupBy("of").agg(ats(False).alias("ats"), ats(True).alias("hot")))  # at most the positions of one text
     texts = docs.select("of", "body").join(lookup(hits.select("of")), "of", "left_semi").dropDuplicates(["of"]).join(hits, "of")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for start, n in _batches(batch.column(1), 1 << 20):
                 part = batch.slice(start, n)
-                found = [windows(words.of(t), ats, least, size) for t, ats in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                found = [windows(words, ats, least, size) for words, ats in zip(hashes(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True)]
                 of = np.repeat(part.column(0).to_numpy(), [len(a) for a, _ in found])
                 yield pa.record_batch([pa.array(of), pa.array(np.concatenate([a for a, _ in found]).astype(np.int32)), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["of", "start", "window"])
 
@@ -139,12 +127,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
     frequent = hot.join(lookup(again), "window").select("of", "start", (F.col("start") + least).alias("stop"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for start, n in _batches(batch.column(1), 1 << 20):
                 rows: list[tuple] = []
-                for of, t, ats in zip(*(c.to_pylist() for c in batch.slice(start, n).columns), strict=True):
-                    w = words.of(t)
+                ofs, bodies, marked = (c.to_pylist() for c in batch.slice(start, n).columns)
+                for of, w, ats in zip(ofs, hashes(bodies), marked, strict=True):
                     h = grams(w, size).view(np.int64)
                     low = (w >> np.uint64(32)).astype(">u4")
                     back = low[::-1]
@@ -156,54 +143,42 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = LEAST) -
 
     kind = "of long, at int, gram long, right binary, left binary"
     order = ["gram", "right", "left", "of", "at"]
-    array = texts.where(F.size("ats") > 0).select("of", "body", "ats").mapInArrow(suffixes, kind).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
-    names = ["of", "start", "stop", "at", "gram", "right", "left"]
+    array = texts.where(F.size("ats") > 0).select("of", "body", "ats").mapInArrow(suffixes, kind).repartitionByRange(shuffle_width(spark), "gram").sortWithinPartitions(*order)
 
     def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Spans, and the first and last rows of the partition, whose other neighbours stand elsewhere."""
-        tail, first = None, True
+        """Spans of some thousand rows at a time, after the last ones of the rows before."""
+        tail = None
         for frame in frames:
             for i in range(0, len(frame), 5000):
                 part = frame.iloc[i : i + 5000]
-                if first:
-                    yield part.head(NEIGHBOURS).reindex(columns=names)
-                    first = False
                 rows = part if tail is None else pd.concat([tail, part], ignore_index=True)
-                yield _matches(rows, least).reindex(columns=names)
+                yield _matches(rows, least)
                 tail = rows.tail(NEIGHBOURS)
-        if tail is not None:
-            yield tail.reindex(columns=names)
-
-    found = materialise(array.mapInPandas(neighbours, "of long, start int, stop int, at int, gram long, right binary, left binary"))
-    edges = found.where("start is null").select(*kind.replace(" long", "").replace(" int", "").replace(" binary", "").split(", ")).distinct()  # a few rows for each partition
-    across = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: _matches(f.sort_values(order), least), "of long, start int, stop int")
-    spans = found.where("start is not null").select("of", "start", "stop").union(across).union(frequent).groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-
-    def join(texts_spans: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in texts_spans:
-            out = []
-            for spans in column:
-                merged: list[dict] = []
-                for s in spans:
-                    if merged and s["start"] <= merged[-1]["stop"]:
-                        merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
-                    else:
-                        merged.append({"start": s["start"], "stop": s["stop"]})
-                out.append(merged)
-            yield pd.Series(out)
-
-    passages = "array<struct<start:int,stop:int>>"
-    spans = materialise(spans.select("of", F.pandas_udf(join, passages)("spans").alias("spans")))
+
+    found = array.mapInPandas(neighbours, "of long, start int, stop int")  # a gram has few rows, all in one partition
+    spans = found.union(frequent).groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    spans = materialise(spans.select("of", merged("spans").alias("spans")))
     copies = materialise(docs.groupBy("of").agg(F.count("*").alias("n")).where("n > 1 and of is not null").select("of", F.lit(True).alias("copied")))
     n_words = F.coalesce(F.size(F.filter(F.split("body", r"[\x20\x09-\x0D]+"), lambda x: x != "")), F.lit(0))
     out = docs.select("kept", "of", F.when(F.col("body").isNull(), 0).otherwise(n_words).alias("n_words"))
     out = out.join(lookup(spans, 32 + 8 * F.size("spans")), "of", "left").join(lookup(copies), "of", "left")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("stop"))).cast(passages)
-    found = F.when(F.col("copied") & (F.col("n_words") >= least), whole).otherwise(F.coalesce("spans", F.array().cast(passages)))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("stop"))).cast(PASSAGES)
+    found = F.when(F.col("copied") & (F.col("n_words") >= least), whole).otherwise(F.coalesce("spans", F.array().cast(PASSAGES)))
     return out.select("kept", "n_words", found.alias("passages"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     n = F.aggregate("passages", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return found.select("kept.doc_id", F.col("n_words").cast("long").alias("n_words"), n.alias("n_repeated"), "passages", (F.size("passages") > 0).alias("repeated"))
+    told = F.array_join(F.transform("passages", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.select("kept.doc_id", F.col("n_words").cast("long").alias("n_words"), n.alias("n_repeated"), told.alias("passages"), (F.size("passages") > 0).alias("repeated"))
+
+
+ORACLE = f"""
+with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+w as (select doc_id, i, array_to_string(w[i:i + {LEAST - 1}], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - {LEAST} + 2)) as i from d where len(w) >= {LEAST})),
+again as (select s from w group by 1 having count(*) > 1),
+hits as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > {LEAST}, true) as new from w join again on w.s = again.s),
+runs as (select doc_id, min(i) - 1 as start, max(i) + {LEAST - 1} as stop from (select *, sum(new::int) over (partition by doc_id order by i) as run from hits) group by doc_id, run),
+found as (select doc_id, sum(stop - start)::bigint as n, string_agg(start || '-' || stop, ',' order by start) as passages from runs group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_repeated, coalesce(passages, '') as passages, n is not null as repeated from d left join found on d.doc_id = found.doc_id"""

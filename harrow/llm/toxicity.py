@@ -8,6 +8,7 @@ are shared by the ordered thresholds t.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, table
+from .common import lookup, materialise, shared, table
 from .learning import SAMPLE_ROWS, Ftrl, bucket_sums, mix, sample
 
 BUCKETS_LOG2, GRADES = 17, 3
@@ -60,6 +61,12 @@ class SeverityModel:
     def __getstate__(self):
         return self.__dict__ | {"words": None}
 
+    def weights_only(self) -> SeverityModel:
+        """What predictions need, without the state of the training."""
+        out = copy.copy(self)
+        out.ftrl = None
+        return out
+
     @property
     def arrays(self) -> list[np.ndarray]:
         return [*self.ftrl.arrays, self.thresholds, self.squares]
@@ -128,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     rows = materialise(rows)
     if rows.select("toxic").distinct().count() < 2:
         return None
-    shared = spark.sparkContext.broadcast(_markers(rows))
+    get = shared(spark, _markers(rows))
 
     def density(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
+        words, marks = Words(), get()
         for body in bodies:
-            found = [(sum(bool(shared.value[words[w][0]]) for w in of), len(of)) for of in (_WORD.findall((t or "").lower()) for t in body)]
+            found = [(sum(bool(marks[words[w][0]]) for w in of), len(of)) for of in (_WORD.findall((t or "").lower()) for t in body)]
             yield pd.Series([a / n if n else 0.0 for a, n in found])
 
     graded = materialise(rows.withColumn("share", F.when(F.col("toxic") == 1, F.pandas_udf(density, "double")("body"))))
@@ -145,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def severity(docs: DataFrame, model: SeverityModel | None, text: str = "text", into: str = "severity") -> DataFrame:
-    """docs with a struct ``into``: expected (grade), grade (the median of the predicted grades), toxic (P(grade > 0) >= 0.5).
+    """docs with a struct ``into`` (in place of an input column of that name): expected (grade), grade (the median of the predicted grades), toxic (P(grade > 0) >= 0.5).
 
     Null and empty texts, and all texts where there is no model, are 0, 0, false.
     Texts are read whole; repeated rows get the same; an empty table gives none.
@@ -153,11 +160,12 @@ def severity(docs: DataFrame, model: SeverityModel | None, text: str = "text", i
     kind = "expected double, grade int, toxic boolean"
     if model is None:
         return docs.withColumn(into, F.struct(F.lit(0.0).alias("expected"), F.lit(0).alias("grade"), F.lit(False).alias("toxic")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model.weights_only())
 
     def judge(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = get()
         for body in bodies:
-            p = np.array([shared.value.exceeds(t) for t in body]).reshape(-1, GRADES - 1)
+            p = np.array([own.exceeds(t) for t in body]).reshape(-1, GRADES - 1)
             yield pd.DataFrame({"expected": p.sum(axis=1), "grade": (p >= 0.5).sum(axis=1), "toxic": p[:, 0] >= 0.5})
 
     return docs.withColumn(into, F.pandas_udf(judge, kind)(F.col(text)))

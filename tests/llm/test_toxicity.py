@@ -34,3 +34,18 @@ def test_without_rows_or_labels(spark):
     assert toxicity.fit(docs, none) is None
     assert toxicity.severity(docs, None).first().severity.toxic is False
     assert toxicity.severity(docs.limit(0), None).count() == 0
+
+
+def test_held_out_labels(spark):
+    """Fitted on four fifths of the labels; precision, recall and the order of severities on the rest."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    held = labels.where("pmod(hash(doc_id), 5) = 0")
+    model = toxicity.fit(docs, labels.where("pmod(hash(doc_id), 5) <> 0"), rounds=2)
+    assert (model.dense == 0).mean() > 0.9
+    rows = [(r.toxic, r.severity) for r in toxicity.severity(docs.join(held, "doc_id"), model).select("toxic", "severity").collect()]
+    said = [(bool(t), s.toxic) for t, s in rows]
+    both = sum(t and s for t, s in said)
+    assert both / sum(t for t, _ in said) > 0.75 and both / sum(s for _, s in said) > 0.9
+    dirty, clean = [s.expected for t, s in rows if t], [s.expected for t, s in rows if not t]
+    assert sum(a > b for a in dirty for b in clean) / (len(dirty) * len(clean)) > 0.93
