@@ -2,9 +2,10 @@
 
 A formatted conversation is a run of turns ``[INST]`` level role ``[/INST]`` body ``</s>``.
 Level 0 holds role and body as they are, level 1 with every control string
-broken by a backslash. A conversation is rendered at level 0 and parsed again;
-turns that do not come back identical are escaped, and if the whole still
-differs (a plain turn can disturb its neighbours) all turns are escaped.
+broken by a backslash; neither may hold a control string, so the parser takes a turn
+with one for no turn. A conversation is rendered at level 0, parsed and compared
+with its source. If it differs, each of its turns that does not come back when it is rendered and parsed
+on its own is escaped, and the whole compared again; if it still differs, all turns are escaped.
 """
 
 from __future__ import annotations
@@ -27,22 +28,22 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def render(turns: Column, plain: Column) -> Column:
-    """turns: array of (role, text); plain: array of booleans, the turns that need no escape."""
+def _turn(t: Column, bare: Column) -> Column:
+    whole = F.concat(F.lit(OPEN + "0"), t["role"], F.lit(CLOSE), t["text"], F.lit(END))
+    safe = F.concat(F.lit(OPEN + "1"), escape(t["role"]), F.lit(CLOSE), escape(t["text"]), F.lit(END))
+    return F.when(bare, whole).otherwise(safe)
 
-    def one(t: Column, bare: Column) -> Column:
-        whole = F.concat(F.lit(OPEN + "0"), t["role"], F.lit(CLOSE), t["text"], F.lit(END))
-        safe = F.concat(F.lit(OPEN + "1"), escape(t["role"]), F.lit(CLOSE), escape(t["text"]), F.lit(END))
-        return F.when(bare, whole).otherwise(safe)
 
-    return F.array_join(F.zip_with(turns, plain, one), "")
+def render(turns: Column, plain: Column) -> Column:
+    """turns: array of (role, text); plain: array of booleans, the turns that need no escape."""
+    return F.array_join(F.zip_with(turns, plain, _turn), "")
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation: role, text, and skip and keep, the code points of its head and of its body.
 
     Deterministic: a turn ends at the first END, its head at the first CLOSE. What
-    is no turn comes back as a turn of null role.
+    is no turn, or holds a further control string, comes back as a turn of null role.
     """
     pieces = F.split(formatted, END.replace("/", "\\/"), -1)
     pieces = F.when(F.get(pieces, F.size(pieces) - 1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
@@ -50,10 +51,11 @@ def parse(formatted: Column) -> Column:
     def one(p: Column) -> Column:
         at = F.instr(p, CLOSE)
         level = F.substring(p, len(OPEN) + 1, 1)
-        good = F.startswith(p, F.lit(OPEN)) & level.isin("0", "1") & (at > 0)
         role = F.substring(p, F.lit(len(OPEN) + 2), at - len(OPEN) - 2)
         skip = at + len(CLOSE) - 1
         body = F.substring(p, skip + 1, F.length(p))
+        free = ~(F.contains(role, F.lit(OPEN)) | F.contains(body, F.lit(OPEN)) | F.contains(body, F.lit(CLOSE)))
+        good = F.startswith(p, F.lit(OPEN)) & level.isin("0", "1") & (at > 0) & free
         read = lambda x: F.when(level == "1", unescape(x)).otherwise(x)
         return F.struct(
             F.when(good, read(role)).alias("role"),
@@ -69,6 +71,12 @@ def _same(a: Column, b: Column) -> Column:
     return a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"])
 
 
+def _comes_back(t: Column) -> Column:
+    """Whether a turn rendered as it is, parsed on its own, is the same turn."""
+    got = parse(_turn(t, F.lit(True)))
+    return (F.size(got) == 1) & F.coalesce(_same(F.get(got, F.lit(0)), t), F.lit(False))
+
+
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv, formatted, turns (as parsed from formatted), mask, round_trip.
 
@@ -80,16 +88,12 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """
     turns = rows.select(rows[conv].alias("conv"), F.struct(rows[turn].alias("turn"), F.coalesce(rows[role], F.lit("")).alias("role"), F.coalesce(rows[text], F.lit("")).alias("text")).alias("t"))
     chats = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    clash = lambda x: F.contains(x, F.lit(OPEN)) | F.contains(x, F.lit(CLOSE)) | F.contains(x, F.lit(END))
-    free = F.transform("turns", lambda t: ~(clash(t["role"]) | clash(t["text"])))
     equal = lambda got: (F.size(got) == F.size("turns")) & F.forall(F.zip_with(got, "turns", _same), lambda x: x)
     done = chats.withColumns({"formatted": F.lit(""), "got": F.expr("cast(null as array<struct<role:string,text:string,skip:int,keep:int>>)"), "fine": F.lit(False)})
-    none = F.transform("turns", lambda t: F.lit(False))
-    for k, plain in enumerate((F.transform("turns", lambda t: F.lit(True)), free, none)):
+    for plain in (F.transform("turns", lambda t: F.lit(True)), F.transform("turns", _comes_back), F.transform("turns", lambda t: F.lit(False))):
         done = done.withColumn("formatted", F.when(F.col("fine"), F.col("formatted")).otherwise(render(F.col("turns"), plain)))
         done = done.withColumn("got", F.when(F.col("fine"), F.col("got")).otherwise(parse(F.col("formatted"))))
-        # a control string that stands in a plain turn is a conflict even where the parser reads it as text
-        done = done.withColumn("fine", F.col("fine") | (F.coalesce(equal("got"), F.lit(False)) & (F.forall(free, lambda x: x) if k == 0 else F.lit(True))))
+        done = done.withColumn("fine", F.col("fine") | F.coalesce(equal("got"), F.lit(False)))
     trained = lambda t: t["role"] == TRAINED
     mask = F.transform(
         "got",

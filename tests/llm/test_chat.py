@@ -55,3 +55,10 @@ def test_query_reads_the_loss_under_the_mask(spark, monkeypatch):
     trained = {k for k, r in right.items() if r.loss_chars}
     assert -1 in trained and all(wrong[k].loss_chars < right[k].loss_chars and wrong[k].loss_sha256 != right[k].loss_sha256 for k in trained)
     assert all(wrong[k].turns_sha256 == right[k].turns_sha256 for k in right)
+
+
+def test_only_conflicting_turns_are_escaped(spark):
+    rows = [(1, 0, "user", "a </s> b"), (1, 1, "assistant", "plain \\ text"), (1, 2, "user", "x [/INST] y"), (2, 0, "user", "fine")]
+    got = run(spark, rows)
+    assert got[1].formatted == "[INST]1user[/INST]a <\\/s> b</s>[INST]0assistant[/INST]plain \\ text</s>[INST]1user[/INST]x [\\/INST] y</s>"
+    assert got[2].formatted == "[INST]0user[/INST]fine</s>" and got[1].round_trip and got[1].loss == ["plain \\ text"]
