@@ -11,7 +11,9 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,12 +93,20 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
 
 
 def read_media(data: bytes) -> list[dict]:
-    """For each track: codec, timescale, duration (seconds), samples as (offset, size), keyframes as [start, end) bytes."""
+    """For each track: codec, timescale, duration (seconds), samples as (offset, size), keyframes as [start, end) bytes and
+    their times in seconds, by the sample durations less what an edit list skips. Broken media are a ValueError."""
+    try:
+        return _tracks(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"a table is cut short or points outside: {e}") from e
+
+
+def _tracks(data: bytes) -> list[dict]:
     tracks: list[dict] = []
     for path, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"codec": None, "timescale": 0, "ticks": 0, "sizes": [], "runs": [], "chunks": [], "sync": None})
+            tracks.append({"codec": None, "timescale": 0, "ticks": 0, "sizes": [], "runs": [], "chunks": [], "sync": None, "deltas": [], "skipped": 0})
         if len(path) < 2 or b"trak" not in path or kind == b"trak":
             continue
         t = tracks[-1]
@@ -104,6 +114,11 @@ def read_media(data: bytes) -> list[dict]:
             t["timescale"], t["ticks"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
         elif kind == b"stsd":
             t["codec"] = data[at + 12 : at + 16].decode("latin-1").strip()
+        elif kind == b"stts":
+            n = struct.unpack_from(">I", data, at + 4)[0]
+            t["deltas"] = [struct.unpack_from(">II", data, at + 8 + 8 * i) for i in range(n)]
+        elif kind == b"elst" and struct.unpack_from(">I", data, at + 4)[0]:
+            t["skipped"] = max(0, struct.unpack_from(">q", data, at + 16)[0] if data[at] == 1 else struct.unpack_from(">i", data, at + 12)[0])
         elif kind == b"stss":
             n = struct.unpack_from(">I", data, at + 4)[0]
             t["sync"] = struct.unpack_from(f">{n}I", data, at + 8)
@@ -127,11 +142,20 @@ def read_media(data: bytes) -> list[dict]:
             k += t["runs"][run][1]
         if len(samples) != len(t["sizes"]):
             raise ValueError("chunks and sample sizes disagree")
+        if t["deltas"] and sum(n for n, _ in t["deltas"]) != len(samples):
+            raise ValueError("sample durations and sizes disagree")
+        if any(offset + size > len(data) for offset, size in samples):
+            raise ValueError("a sample leaves the file")
         sync = range(1, len(samples) + 1) if t["sync"] is None else t["sync"]
-        t["duration"] = t.pop("ticks") / t["timescale"] if t["timescale"] else 0.0
+        if any(not 1 <= j <= len(samples) for j in sync):
+            raise ValueError("a keyframe is no sample")
+        scale, ticks = t["timescale"] or 1, t.pop("ticks") or sum(n * d for n, d in t["deltas"])
+        t["duration"] = ticks / scale if t["timescale"] else 0.0
         t["samples"] = samples
         t["keyframes"] = [(samples[j - 1][0], sum(samples[j - 1])) for j in sync]
-        for k in ("sizes", "runs", "sync"):
+        starts = list(accumulate((d for n, d in t["deltas"] for _ in range(n)), initial=0))
+        t["key_times"] = [(starts[j - 1] - t["skipped"]) / scale if t["deltas"] else None for j in sync]
+        for k in ("sizes", "runs", "sync", "deltas", "skipped"):
             t.pop(k)
     return tracks
 
@@ -147,35 +171,60 @@ def read_payload(data: bytes, track: dict) -> bytes:
     return b"".join([*parts, data[start:stop]])
 
 
-_MEDIA = pa.schema([("row_key", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("codec", pa.string()), ("duration", pa.float64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-MEDIA_COLUMNS = "row_key long, n_bytes long, media binary, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, codec string, duration double, keyframes array<struct<start:long, stop:long>>"
+_MEDIA = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("codec", pa.string()), ("duration", pa.float64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+MEDIA_COLUMNS = "n_bytes long, media binary, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, codec string, duration double, keyframes array<struct<start:long, stop:long>>"
 
 
 def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_media: bool = True) -> DataFrame:
     """Store each whole text as ISO media and describe it from its boxes, one row in, one row out.
 
     No row meets another, so nothing is shuffled, and a task holds one batch.
-    Null and empty texts are 64 zero bytes; null or repeated keys pass through.
+    Null and empty texts are 64 zero bytes; null or repeated keys, of any type, pass through; an empty table gives no row.
     """
+    kind = docs.schema[key].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
-            weight = 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            weight = start = 0
+            for i, t in enumerate(batch.column(1), 1):
                 raw = (t.as_py() or "").encode()
                 media = write_media(raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT)))
                 (track,) = read_media(media)
                 payload = read_payload(media, track)
-                held.append((k, len(raw), media if keep_media else None, len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), track["codec"], track["duration"], [{"start": a, "stop": b} for a, b in track["keyframes"]]))
+                held.append((len(raw), media if keep_media else None, len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), track["codec"], track["duration"], [{"start": a, "stop": b} for a, b in track["keyframes"]]))
                 weight += len(media)
-                if weight > 16 << 20:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _MEDIA, strict=True)], schema=_MEDIA)
-                    held, weight = [], 0
-            if held:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _MEDIA, strict=True)], schema=_MEDIA)
+                if weight > 16 << 20 or i == len(batch):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _MEDIA, strict=True)]
+                    yield pa.record_batch([batch.column(0).slice(start, i - start), *columns], names=["row_key", *_MEDIA.names])
+                    held, weight, start = [], 0, i
+
+    return docs.select(docs[key].alias("row_key"), docs[text].alias("body")).mapInArrow(store, f"row_key {kind}, {MEDIA_COLUMNS}").withColumnRenamed("row_key", key)
+
+
+_TRACKS = "tracks array<struct<codec:string, duration:double, n_samples:long, keyframes:array<struct<start:long, stop:long, at:double>>>>, error string"
+
+
+def describe(rows: DataFrame, media: str = "media") -> DataFrame:
+    """rows with a struct ``found``, in place of an input column of that name, for the containers in a binary column: tracks (codec, duration in seconds, number of
+    samples, byte ranges and seconds of keyframes) and error.
+
+    Payloads are not decoded. Null has no tracks and no error; bytes that are no
+    container, or a broken one, have an error that says what is wrong; repeated rows get the same.
+    """
 
-    return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("body")).mapInArrow(store, MEDIA_COLUMNS).withColumnRenamed("row_key", key)
+    def look(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in columns:
+            out = []
+            for data in column:
+                try:
+                    found = read_media(data) if data is not None else []
+                    out.append(([{"codec": t["codec"], "duration": t["duration"], "n_samples": len(t["samples"]), "keyframes": [{"start": a, "stop": b, "at": s} for (a, b), s in zip(t["keyframes"], t["key_times"], strict=True)]} for t in found], None))
+                except ValueError as e:
+                    out.append(([], str(e)))
+            yield pd.DataFrame(out, columns=["tracks", "error"])
+
+    return rows.withColumn("found", F.pandas_udf(look, _TRACKS)(F.col(media)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
