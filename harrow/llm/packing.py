@@ -158,8 +158,8 @@ class OpenWindows:
 
 
 _NAMES = ["row_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open", "part", "ids"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-_SCHEMA = "row_key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part int, ids binary"
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+_SCHEMA = "row_key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part int, ids binary"
 
 
 def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary: str | None = None, end_id: int = 0, text: str = "text", key: str = "doc_id", keep_ids: bool = True, fan_in: int = 8) -> DataFrame:
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
 
     A document's ids are those of its text and ``end_id``; whole windows are
     cut off first, the rest is placed best-fit. Null text counts as empty: one
-    piece with the end id. Null or repeated keys are documents of their own; an
+    piece with the end id. Null or repeated keys (of any type that a string can hold) are documents of their own; an
     empty table gives no piece. A task holds one batch, its open windows and a bounded store of word ids.
     ``fan_in`` partitions' leftovers, that is at most fan_in * open_windows
     windows, are merged in one task at a time, in as many rounds as it takes.
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
                 offset += p[2]
         return pd.DataFrame(rows, columns=_NAMES)
 
-    pieces = materialise(docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("body")).mapInArrow(place, _SCHEMA))
+    pieces = materialise(docs.select(docs[key].cast("string").alias("row_key"), docs[text].alias("body")).mapInArrow(place, _SCHEMA))
     done = [pieces.where("not open")]
     left = pieces.where("open")
     parts = (left.agg(F.max("part").alias("n")).first().n or 0) + 1
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumnRenamed("row_key", key).drop("open", "part", *([] if keep_ids else ["ids"]))
+    return out.withColumn("row_key", F.col("row_key").cast(docs.schema[key].dataType)).withColumnRenamed("row_key", key).drop("open", "part", *([] if keep_ids else ["ids"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,38 @@ def test_encoder_as_the_plain_call():
     encode = packing.Encoder()
     for t in texts:
         assert encode.one(t) == np.array(whole(t)[:-1], "<u4").tobytes(), repr(t)
+
+
+def test_keys_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("a", None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in packing.pack(df, keep_ids=False).collect()) == [("None", 2), ("a", 1), ("a", 3)]
+
+
+def test_placement_is_best_fit():
+    """Against brute force: an item goes to the open window where least room is left; none fits and all are open: the fullest closes."""
+    import random
+
+    draw = random.Random(3)
+    windows, open_, closed, want = packing.OpenWindows(100, 5), [], [], []
+    for k in range(500):
+        size = draw.randrange(1, 100)
+        if got := windows.add(size, [(k, size)]):
+            closed.append([x for x in got if x is not None])
+        fits = [w for w in open_ if w[0] >= size]
+        full = None
+        if fits:
+            w = min(fits, key=lambda w: w[0])
+        else:
+            if len(open_) >= 5:
+                full = min(open_, key=lambda w: w[0])
+                open_.remove(full)
+            w = [100, []]
+            open_.append(w)
+        w[0] -= size
+        w[1].append((k, size))
+        done = [*(full[1] if full else []), *(w[1] if not w[0] else [])]
+        if not w[0]:
+            open_.remove(w)
+        if done:
+            want.append(done)
+    assert [sum(s for _, s in c) for c in closed] == [sum(s for _, s in c) for c in want]
