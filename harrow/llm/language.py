@@ -33,7 +33,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    def __init__(self, labels: list[str], idf: np.ndarray, alpha: float = 0.5, l1: float = 1e-4, l2: float = 1e-4):
+    def __init__(self, labels: list[str], idf: np.ndarray, alpha: float = 0.5, l1: float = 0.1, l2: float = 1e-4):
         self.labels, self.idf, self.temperature = labels, idf.astype(np.float32), 1.0
         self.ftrl = Ftrl((len(idf) + 1, len(labels)), alpha, l1, l2)  # the last row: the intercepts
         self.dense: np.ndarray | None = None

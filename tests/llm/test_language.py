@@ -17,6 +17,12 @@ def test_held_out_accuracy_and_calibration(spark):
     assert abs(sum(r.score for r in held) / len(held) - right) < 0.05
 
 
+def test_most_weights_are_zero(spark):
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    seen = model.ftrl.n > 0
+    assert (model.dense[seen] == 0).mean() > 0.5
+
+
 def test_edge_cases(spark):
     texts = {"en": "the cat and the dog went home together with them", "de": "der hund und die katze gingen nach hause über"}
     rows = [(i, f"{texts[k]} {i}", k) for i in range(60) for k in texts]
