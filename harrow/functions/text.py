@@ -106,6 +106,26 @@ def positive_int(x: Column | str) -> Column:
     return F.when(n > 0, n)
 
 
+def as_bool(x: Column | str, default: Column | None = None) -> Column:
+    """true, yes, on, 1 and their opposites in any case; else the default."""
+    low = F.lower(F.trim(c(x).cast("string")))
+    return F.when(low.isin("true", "1", "yes", "y", "on"), True).when(low.isin("false", "0", "no", "n", "off"), False).otherwise(F.lit(None).cast("boolean") if default is None else default)
+
+
+def as_number(x: Column | str, default: float = 0.0) -> Column:
+    return F.coalesce(F.trim(c(x).cast("string")).try_cast("double"), F.lit(default))
+
+
+def string_list(x: Column) -> Column:
+    """The trimmed entries of an array that are not blank, in order; an empty array for null."""
+    return F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: F.coalesce(v, F.lit("")) != "")
+
+
+def first_map(*candidates: Column) -> Column:
+    """The first map that has an entry."""
+    return F.coalesce(*[F.when(F.size(m) > 0, m) for m in candidates])
+
+
 def labels(x: Column) -> Column:
     """Sorted different trimmed labels, in code point order."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v != "")))

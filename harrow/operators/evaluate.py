@@ -80,6 +80,11 @@ def field_metrics(aligned: DataFrame, strategies: dict[str, str]) -> DataFrame:
     return n.withColumns(prf(c, F.col("n_actual") - c, F.col("n_expected") - c))
 
 
+def macro_f1(fields: DataFrame) -> DataFrame:
+    """The mean of the fields' F1; 0 without fields."""
+    return fields.agg(F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("macro_f1"))
+
+
 def _both(field: str, strategy: str) -> Column:
     a, e = F.col(f"a.{field}"), F.col(f"e.{field}")
     return F.when((F.col("status") == "matched") & present(a) & present(e), field_match(a, e, strategy)).otherwise(False)

@@ -114,6 +114,12 @@ def step_counts(updates: DataFrame, by: list[str], nodes: str) -> DataFrame:
     return updates.select(*by, F.explode(nodes).alias("node", "n")).groupBy(*by, "node").agg(F.sum("n").alias("steps"))
 
 
+def step_totals(known: DataFrame, resumed: DataFrame, by: list[str], node: str = "node", steps: str = "steps") -> DataFrame:
+    """The steps of each node over a run and its resumptions."""
+    columns = [*by, node, steps]
+    return known.select(*columns).unionByName(resumed.select(*columns)).groupBy(*by, node).agg(F.sum(steps).alias(steps))
+
+
 def metrics(samples: DataFrame, name: str, kind: str, value: str, pos: str) -> DataFrame:
     """Counters summed, timings listed in order, rounded."""
     timings = F.transform(F.array_sort(F.collect_list(F.when(F.col(kind) == "timing", F.struct(pos, value)))), lambda s: F.round(s[value], 4))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_divide
+from .history import latest
 
 
 def summary(items: DataFrame, by: list[str], success: Column, durable: Column) -> DataFrame:
@@ -48,3 +49,28 @@ def token_usage(traces: DataFrame, by: list[str], prompt: Column, completion: Co
 
 def saga(completed: Column, failed: Column, total: Column) -> Column:
     return (total > 0) & (completed + failed >= total)
+
+
+def dispatch_summary(states: DataFrame, by: list[str], status: str, collected: str) -> DataFrame:
+    """Subtasks by status; failed are business and system failures together; collected counts where completed."""
+    n = lambda *names: F.count_if(F.lower(F.trim(F.col(status))).isin(*names))
+    return states.groupBy(*by).agg(
+        F.count("*").alias("total"),
+        n("completed").alias("completed"),
+        n("business_failure", "system_failure").alias("failed"),
+        n("no_data").alias("no_data"),
+        n("expanded").alias("expanded"),
+        F.coalesce(F.sum(F.when(F.lower(F.trim(F.col(status))) == "completed", F.col(collected))), F.lit(0)).alias("collected"),
+    )
+
+
+def last_states(subtasks: DataFrame, states: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Every subtask with its last runtime state; ``known`` says whether there is one."""
+    return subtasks.join(latest(states, [key], order).withColumn("known", F.lit(True)), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def merged_report(items: DataFrame, url: str, order: list[Column], included: Column) -> DataFrame:
+    """One row: items of included subtasks, different URLs, conflicts (a URL's later items), subtasks left out."""
+    kept = first_wins(items.where(included), url, order)
+    n = kept.agg(F.count("*").alias("items"), F.count_if(~F.col("conflict")).alias("unique_items"), F.count_if("conflict").alias("conflicts"))
+    return n.crossJoin(items.agg(F.count_if(~included).alias("left_out")))  # two single rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import outcomes, states, text, xpaths
-from ..operators import dispatch, planning, rollup
+from ..operators import dispatch, evaluate, fields, lookups, planning, rollup
 from .registry import query
 
 
@@ -217,3 +217,58 @@ def risky_paths(load):
     odd = xpaths.suspicious(F.when(k % 2 == 0, "/html/nav/a").otherwise("/html/main/p"), F.lit("text"), F.array().cast("array<string>"))
     return load("part").select("p_partkey", xpaths.risky(path).alias("risky"), odd.alias("suspicious"))
 
+
+@query("select round(avg(f1), 6) as macro_f1 from (select l_returnflag as field, round(l_linenumber / 10, 6) as f1 from (select l_returnflag, max(l_linenumber) as l_linenumber from lineitem group by 1))")
+def macro_field_f1(load):
+    rows = load("lineitem").groupBy(F.col("l_returnflag").alias("field")).agg(F.round(F.max("l_linenumber") / 10, 6).alias("f1"))
+    return evaluate.macro_f1(rows)
+
+
+@query("select user_id, event_type as node, count(*)::bigint + sum(event_id % 3)::bigint as steps from events group by all")
+def step_totals(load):
+    first = load("events").groupBy("user_id", F.col("event_type").alias("node")).agg(F.count("*").alias("steps"))
+    again = load("events").select("user_id", F.col("event_type").alias("node"), (F.col("event_id") % 3).alias("steps"))
+    return fields.step_totals(first, again, ["user_id"])
+
+
+@query("""
+select o_custkey, count(*) as total, count(*) filter (o_orderstatus = 'F') as completed, count(*) filter (o_orderstatus = 'O') as failed, count(*) filter (o_orderstatus = 'P') as no_data, 0::bigint as expanded, coalesce(sum(o_orderkey % 5) filter (o_orderstatus = 'F'), 0)::bigint as collected from orders group by 1""")
+def dispatch_summary(load):
+    s, odd = F.col("o_orderstatus"), F.col("o_orderkey") % 2 == 1
+    rows = load("orders").select("o_custkey", F.when(s == "F", " Completed").when((s == "O") & odd, "system_failure").when(s == "O", "business_failure").otherwise("no_data").alias("status"), (F.col("o_orderkey") % 5).alias("n"))
+    return rollup.dispatch_summary(rows, ["o_custkey"], "status", "n")
+
+
+@query("""
+select c_custkey, o_orderkey, o_orderkey is not null as known from customer left join (select o_custkey, max(o_orderkey) as o_orderkey from orders where o_custkey % 3 <> 0 group by 1) on c_custkey = o_custkey""")
+def last_runtime_states(load):
+    states_ = load("orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return rollup.last_states(load("customer").select("c_custkey"), states_, "c_custkey", [F.col("o_orderkey").desc()]).select("c_custkey", "o_orderkey", "known")
+
+
+@query("""
+with i as (select l_partkey, l_returnflag <> 'R' as ok from lineitem)
+select count(*) filter (ok) as items, count(distinct l_partkey) filter (ok) as unique_items, count(*) filter (ok) - count(distinct l_partkey) filter (ok) as conflicts, count(*) filter (not ok) as left_out from i""")
+def merged_report(load):
+    rows = load("lineitem").select(F.col("l_partkey").cast("string").alias("url"), "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    return rollup.merged_report(rows, "url", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")], F.col("l_returnflag") != "R")
+
+
+@query("""
+select c_custkey, case c_custkey % 4 when 0 then true when 1 then false when 2 then true end as flag, case when c_custkey % 2 = 0 then c_custkey::double else -1.0 end as number, c_mktsegment as list, case when c_custkey % 3 = 0 then 'second' else 'first' end as chosen from customer""")
+def lenient_values(load):
+    k = F.col("c_custkey")
+    flag = text.as_bool(F.when(k % 4 == 0, " YES").when(k % 4 == 1, "off").when(k % 4 == 3, "maybe"), F.when(k % 4 == 2, True))
+    number = text.as_number(F.when(k % 2 == 0, F.concat(F.lit(" "), k.cast("string"))).otherwise("n/a"), -1.0)
+    one = F.create_map(F.lit("k"), F.lit("first"))
+    chosen = text.first_map(F.map_filter(one, lambda a, b: k % 3 != 0), F.create_map(F.lit("k"), F.lit("second")))
+    return load("customer").select("c_custkey", flag.alias("flag"), number.alias("number"), F.array_join(text.string_list(F.array(F.lit(" "), F.concat(F.lit(" "), "c_mktsegment"), F.lit(None))), ",").alias("list"), chosen["k"].alias("chosen"))
+
+
+@query("""
+with c as (select n_regionkey, n_name as label, n_nationkey % 4 as score, n_nationkey as pos from nation)
+select n_regionkey, label, score, rank from (select *, row_number() over (partition by n_regionkey order by score desc, pos) as rank from c) where rank <= 3""")
+def candidate_ranking(load):
+    rows = load("nation").select("n_regionkey", F.col("n_name").alias("label"), (F.col("n_nationkey") % 4).alias("s"), F.col("n_nationkey").alias("pos"))
+    twice = rows.unionByName(rows.withColumns({"label": F.concat(F.lit(" "), F.lower("label")), "s": F.lit(-1).cast("long"), "pos": F.lit(99).cast(rows.schema["pos"].dataType)}))
+    return lookups.rank_candidates(twice, "n_regionkey", F.col("label"), F.col("s"), [F.col("pos")], 3).select("n_regionkey", "label", "score", F.col("rank").cast("long").alias("rank"))
