@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import PASSAGES, lookup, materialise, merged, only, shared, table
 
-BLOCK_BYTES = 8 << 20  # of benchmark text that is broadcast at once
+BLOCK_BYTES = 8 << 20  # of benchmark text whose windows are broadcast at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Words are digits, letters A-Z (lower-cased) and all beyond ASCII; the rest separates.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -46,32 +46,65 @@ def _codes(ids: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at, code
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. (n[0] of them), then those of first[1] and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Windows:
-    """The windows of one block of items, and after ``choose`` the prefix shingle of each."""
+    """The different windows of one block of items as rows of word numbers, and after ``choose`` the prefix shingle of each."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            size = min(width, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.windows = [np.array(w, np.int32) for w in found]
-        self.items = [sorted(x) for x in found.values()]
-        self.shingle_of = [min(shingle, len(w)) for w in self.windows]
-        self.lengths = sorted(set(self.shingle_of))
-        self.shingles = {s: np.unique(np.concatenate([_codes(w, s)[1] for w, k in zip(self.windows, self.shingle_of, strict=True) if k == s])) for s in self.lengths}
-
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """counts: occurrences in the corpus of (shingle length, number of the shingle)."""
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {s: {} for s in self.lengths}
-        for i, (w, s) in enumerate(zip(self.windows, self.shingle_of, strict=True)):
-            codes = _codes(w, s)[1]
-            numbers = np.searchsorted(self.shingles[s], codes)
-            at = min(range(len(codes)), key=lambda j: (counts.get((s, int(numbers[j])), 0), int(codes[j])))
-            self.prefix[s].setdefault(int(codes[at]), []).append((at, i))
-        self.shingles = {s: np.array(sorted(p), np.uint64) for s, p in self.prefix.items()}
+        texts = [words_of(t) for _, t in items]
+        flat = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in chain.from_iterable(texts)], np.int32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        length, starts = np.minimum(sizes, width), np.cumsum(sizes) - sizes
+        count = np.where(sizes > 0, sizes - length + 1, 0)
+        at, length = _ranges(starts, count), np.repeat(length, count)
+        rows = np.full((len(at), width), -2, np.int32)
+        for j in range(width):
+            inside = j < length
+            rows[inside, j] = flat[at[inside] + j]
+        self.names = sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        rank = np.array([number[i] for i, _ in items], np.int64)
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.empty(0, np.int64))
+        self.length = (self.rows >= 0).sum(axis=1)
+        # the items of each window, one after the other in order of name
+        pairs = np.unique(np.stack([which.reshape(-1), rank[np.repeat(np.arange(len(items)), count)]], axis=1), axis=0)
+        self.item, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.shingle_of = np.minimum(shingle, self.length)
+        self.lengths = sorted(set(self.shingle_of.tolist()))
+        self.shingles = {s: np.unique(self._row_codes(s)[1]) for s in self.lengths}
+
+    def _row_codes(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of prefix length s, the codes of their shingles and which of these are inside the window."""
+        own = np.flatnonzero(self.shingle_of == s)
+        n = self.rows.shape[1] - s + 1
+        codes = np.zeros((len(own), n), np.uint64)
+        for j in range(s):
+            codes = (codes ^ (self.rows[own, j : j + n].astype(np.uint64) + np.uint64(1))) * _MIX
+            codes ^= codes >> np.uint64(29)
+        inside = np.arange(n)[None, :] + s <= self.length[own, None]
+        return own, np.where(inside, codes, codes[:, :1]), inside
+
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
+        """counts: for each shingle length the occurrences of its shingles in the corpus."""
+        self.prefix: dict[int, tuple[np.ndarray, ...]] = {}
+        for s in self.lengths:
+            own, codes, inside = self._row_codes(s)
+            often = np.where(inside, counts[s][np.searchsorted(self.shingles[s], codes)], np.iinfo(np.int64).max)
+            offset = np.where(often == often.min(axis=1, keepdims=True), codes, np.iinfo(np.uint64).max).argmin(axis=1)
+            chosen = codes[np.arange(len(own)), offset]
+            order = np.argsort(chosen, kind="stable")
+            self.shingles[s], first = np.unique(chosen[order], return_index=True)
+            self.prefix[s] = own[order], offset[order], np.append(first, len(order))
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        at = _ranges(self.first[windows], self.first[windows + 1] - self.first[windows])
+        return [self.names[i] for i in np.unique(self.item[at]).tolist()]
 
     def ids(self, texts: list[list[bytes]]) -> np.ndarray:
         """Word numbers of all texts, -1 for words of no item and between texts."""
@@ -87,16 +120,23 @@ class Windows:
                 hit = table[number] == codes
                 yield s, at[hit], number[hit]
 
-    def spans(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, stop, window) of each verified occurrence of a window."""
-        found = []
+    def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, stop and window of each verified occurrence of a window."""
+        starts, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s, at, number in self.occurrences(ids):
-            for p, k in zip(at.tolist(), number.tolist(), strict=True):
-                for offset, i in self.prefix[s][int(self.shingles[s][k])]:
-                    a, b = p - offset, p - offset + len(self.windows[i])
-                    if a >= 0 and b <= len(ids) and np.array_equal(ids[a:b], self.windows[i]):
-                        found.append((a, b, i))
-        return found
+            own, offset, first = self.prefix[s]
+            n = first[number + 1] - first[number]
+            k = _ranges(first[number], n)
+            a, w = np.repeat(at, n) - offset[k], own[k]
+            good = (a >= 0) & (a + self.length[w] <= len(ids))
+            a, w = a[good], w[good]
+            for j in range(self.rows.shape[1]):
+                same = (j >= self.length[w]) | (ids[np.minimum(a + j, len(ids) - 1)] == self.rows[w, j])
+                a, w = a[same], w[same]
+            starts.append(a)
+            windows.append(w)
+        a, w = np.concatenate(starts), np.concatenate(windows)
+        return a, a + self.length[w] if len(w) else a, w
 
 
 def _slices(column: pa.Array, weight: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -112,9 +152,12 @@ def _slices(column: pa.Array, weight: int = 4 << 20) -> Iterator[tuple[int, list
         yield start, held
 
 
-def _rarity(docs: DataFrame, text: str, shared) -> dict[tuple[int, int], int]:
+def _rarity(docs: DataFrame, index: Windows) -> dict[int, np.ndarray]:
+    """How often the shingles of the windows stand in the texts (column body), for each shingle length."""
+    get = shared(docs.sparkSession, index)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = get()
         sums = {s: np.zeros(len(x), np.int64) for s, x in index.shingles.items()}
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
@@ -124,8 +167,13 @@ def _rarity(docs: DataFrame, text: str, shared) -> dict[tuple[int, int], int]:
             k = np.flatnonzero(n)
             yield pa.record_batch([pa.array(np.full(len(k), s, np.int32)), pa.array(k.astype(np.int32)), pa.array(n[k])], names=["s", "k", "n"])
 
-    found = docs.select(F.col(text)).mapInArrow(count, "s int, k int, n long").groupBy("s", "k").agg(F.sum("n").alias("n"))
-    return {(r.s, r.k): r.n for r in found.collect()}  # at most the shingles of one block
+    found = docs.select("body").mapInArrow(count, "s int, k int, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).toArrow()  # at most the shingles of one block
+    out = {s: np.zeros(len(x), np.int64) for s, x in index.shingles.items()}
+    s, k, n = (found.column(c).to_numpy() for c in "skn")
+    for size in out:
+        out[size][k[s == size]] = n[s == size]
+    get.drop()
+    return out
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -141,53 +189,86 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingle: int = 5, text: str = "text", key: str = "doc_id", item: str = "item_id", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: key, ``keep`` columns, n_words, spans (word positions [start, stop) inside windows), items.
-
-    The benchmark is read in blocks of at most about ``block_bytes`` of text
-    (a longer item is a block of its own); each block is broadcast and the
-    documents stream past it with what earlier blocks found, so nothing of the
-    documents is shuffled and a larger benchmark means more passes, not more
-    memory. Null text has no words; an item of null or no words has no window; a
+def _blocks(benchmark: DataFrame, item: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The different items in blocks whose texts have ``block_bytes`` in all, or one longer item."""
+    block, size = [], 0
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
+    for r in items.toLocalIterator():
+        n = len(r.t.encode())
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r.i, r.t))
+        size += n
+    yield block
+
+
+def _marked(rows: DataFrame, block: list[tuple[str, str]], width: int, shingle: int, only_hits: bool) -> DataFrame:
+    """rows (first column, body) with n_words, spans and items of one block of the benchmark; all rows, or those with a hit."""
+    index = Windows(block, width, shingle)
+    index.choose(_rarity(rows, index))
+    get = shared(rows.sparkSession, index)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = get()
+        for batch in batches:
+            for start, texts in _slices(batch.column("body")):
+                part = batch.slice(start, len(texts))
+                words = [words_of(t) for t in texts]
+                ends = np.cumsum([len(w) + 1 for w in words])
+                a, z, w = index.spans(index.ids(words))
+                doc = np.searchsorted(ends, a, "right")
+                spans, names = [[] for _ in texts], [[] for _ in texts]
+                for d in np.unique(doc).tolist():
+                    own, first = doc == d, int(ends[d]) - len(words[d]) - 1
+                    spans[d] = [{"start": x, "stop": y} for x, y in _union(list(zip((a[own] - first).tolist(), (z[own] - first).tolist(), strict=True)))]
+                    names[d] = index.items_of(np.unique(w[own]))
+                new = [pa.array(map(len, words), pa.int32()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))]
+                out = pa.record_batch([*part.columns, *new], names=[*part.schema.names, "n_words", "spans", "items"])
+                yield out.filter(pa.array([bool(x) for x in spans])) if only_hits else out
+
+    schema = rows.withColumns({"n_words": F.lit(0), "spans": F.lit(None).cast(PASSAGES), "items": F.lit(None).cast("array<string>")}).schema
+    return rows.mapInArrow(mark, schema)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, width: int, shingle: int, text: str, item: str, block_bytes: int) -> DataFrame:
+    """kept (the row without its text), body, n_words, spans, items."""
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c] for c in docs.columns if c != text]).alias("kept"), docs[text].alias("body"))
+    blocks = _blocks(benchmark, item, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _marked(rows, first, width, shingle, only_hits=False)
+    texts, found = rows.select(F.xxhash64("body").alias("of"), "body"), None
+    for block in chain([first, second], blocks):
+        hits = materialise(_marked(texts, block, width, shingle, only_hits=True).select("of", "spans", "items").dropDuplicates(["of"]))
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row for each block at most
+    found = materialise(found.withColumn("spans", merged(F.array_sort("spans"))))
+    n_words = F.size(F.filter(F.split("body", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != ""))
+    out = rows.withColumn("of", F.xxhash64("body")).join(lookup(found, 32 + 8 * F.size("spans") + 16 * F.size("items")), "of", "left")
+    return out.select("kept", "body", F.when(F.col("body").isNull(), 0).otherwise(n_words).alias("n_words"), F.coalesce("spans", F.array().cast(PASSAGES)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingle: int = 5, text: str = "text", key: str = "doc_id", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: key, n_words, spans (word positions [start, stop) inside windows), items.
+
+    The benchmark is read in blocks of about ``block_bytes`` of text (a longer
+    item is a block of its own); the windows of a block are broadcast and the texts
+    stream past them, so nothing of the documents is shuffled while there is one block. With more
+    blocks each is a job of its own, which holds one block's windows and writes
+    a row for each text that has some; these rows are summed up by a 64-bit hash of the text.
+    Null text has no words; an item of null or no words has no window; a
     null item_id counts as the empty string; repeated rows are taken one by
-    one; with an empty benchmark no word is hit.
+    one; with an empty benchmark no word is hit; an empty table gives no row. Further columns of docs play no part.
     """
-    spark = docs.sparkSession
-    sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-sizes // block_bytes))
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
-    kept = [F.col(c) for c in keep if c != text]
-    found = only(docs, *dict.fromkeys([key, text, *keep])).select(
-        F.col(key), F.col(text).alias("body"), F.struct(F.lit(0).alias("none"), *kept).alias("kept"), F.lit(0).cast("int").alias("n_words"), F.expr("cast(array() as array<struct<start:int, stop:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")
-    )
-    schema = found.schema
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        index = Windows([(r.i, r.t) for r in block], width, shingle)
-        index.choose(_rarity(docs, text, spark.sparkContext.broadcast(index)))
-        shared = spark.sparkContext.broadcast(index)
-
-        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for start, texts in _slices(batch.column("body")):
-                    part = batch.slice(start, len(texts))
-                    words = [words_of(t) for t in texts]
-                    ids = index.ids(words)
-                    ends = np.cumsum([len(w) + 1 for w in words])
-                    spans, names = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                    for a, z, i in index.spans(ids):
-                        d = int(np.searchsorted(ends, a, "right"))
-                        first = int(ends[d]) - len(words[d]) - 1
-                        spans[d].append({"start": a - first, "stop": z - first})
-                        names[d] += index.items[i]
-                    spans = [[{"start": x, "stop": y} for x, y in _union([(r["start"], r["stop"]) for r in s])] for s in spans]
-                    new = {"n_words": pa.array(map(len, words), pa.int32()), "spans": pa.array(spans, _SPANS), "items": pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))}
-                    yield pa.record_batch([new.get(n, part.column(n)) for n in part.schema.names], names=part.schema.names)
-
-        found = found.mapInArrow(mark, schema)
-    rest = [F.col("body").alias(text) if c == text else F.col(f"kept.{c}").alias(c) for c in keep if c != key]
-    return found.select(key, *rest, "n_words", "spans", "items")
+    found = _contaminated(only(docs, key, text), benchmark, width, shingle, text, item, block_bytes)
+    return found.select(F.col(f"kept.`{key}`").alias(key), "n_words", "spans", "items")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingle: int = 5, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no window of an item."""
+    found = _contaminated(docs, benchmark, width, shingle, text, item, block_bytes).where(F.size("spans") == 0)
+    return found.select(*[F.col("body").alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
 
 
 def n_hit(spans: str = "spans") -> Column:

@@ -64,3 +64,14 @@ def test_real_documents(spark):
     got = sorted((tuple(r) for r in decontaminate.query(spark, d).collect()), key=str)
     assert got == brute(docs, items)
     assert any(r[-1] for r in got)
+
+
+def test_many_blocks_and_any_columns(spark):
+    """Each block is a job of its own; columns named as the results stay those of the input."""
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(12))) for i in range(12)]
+    docs = [(k, f"start {items[k % 12][1]} middle {items[(k + 1) % 12][1]} end") for k in range(30)] + [(99, "clean text"), (None, None)]
+    assert run(spark, docs, items, block_bytes=100) == brute(docs, items)
+    rows = spark.createDataFrame([(k, t, 7, ["x"], k) for k, t in docs], "doc_id long, text string, n_words int, spans array<string>, kept long")
+    for size in (100, 1 << 20):
+        left = decontaminate.decontaminated(rows, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+        assert left.columns == rows.columns and sorted(map(str, left.collect())) == sorted(map(str, rows.where("coalesce(text, '') in ('clean text', '')").collect()))
