@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import decontaminate, language, linededup, neardup, packing
-from harrow.llm.common import table
+from harrow.llm.common import shared_folder, table, unused
 
 LEAST_SCORE = 0.5  # of the predicted language; documents below it, or without a letter, are rejected
 
@@ -16,9 +14,13 @@ ORACLE_SQL = None  # SQL can express neither the classifier nor the tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some confidence."""
-    marked = language.identify(docs, language.fit(docs), lang_pred="__lang", score="__score")
-    return marked.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents whose language is told with some confidence; all of them where no label is there to learn from."""
+    model = language.fit(docs)
+    if model is None:
+        return docs
+    named = dict(zip(("lang_pred", "score"), (unused(docs, c) for c in ("lang_pred", "score")), strict=True))
+    marked = language.identify(docs, model, **named)
+    return marked.where((F.col(named["lang_pred"]) != "und") & (F.col(named["score"]) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,9 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harrow-")
-    token = spark.sql("select uuid()").first()[0]
+    folder = shared_folder(spark, "corpus")
     for name, stage in STAGES:
-        path = f"{folder}/corpus-{token}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
