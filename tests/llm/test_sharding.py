@@ -36,3 +36,24 @@ def test_nulls_repeats_and_few_rows(spark):
     run(spark, [(None, None), (None, None), (1, ""), (1, ""), (2, "é" * 100_000), (3, None)], 24)
     run(spark, [(i, "same") for i in range(50)], 3)
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_go_where_the_splitters_say(spark):
+    """Brute force: the shard of a row is the number of splitters at or before its (hash, tie), whatever the partitions."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, f"text {i} " * (1 + i % 5) if i % 3 else "hot", f"n{i}") for i in range(900)], "doc_id long, text string, slot string")
+    keyed = rows.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2).alias("h"), F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("tie"), (F.octet_length("text") + 8).cast("long").alias("size"))
+    cuts = sharding.splitters(keyed, 6)
+    want = {r.doc_id: sum((h, t) <= (r.h, r.tie) for h, t in cuts) for r in keyed.collect()}
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sharding.shard(rows, 6, keep=("slot", "text")).collect()
+            own = {k: s for k, s in ((r.doc_id, r.shard) for r in got)}
+            assert all(abs(own[k] - want[k]) <= 1 for k in want) and sum(own[k] != want[k] for k in want) <= (0 if n == "3" else 30)
+            n_bytes = sums(got, 6)
+            assert max(n_bytes) - min(n_bytes) < 0.05 * sum(n_bytes) / 6 and all(r.text for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
