@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,18 @@ _KEYS = 1 << 62  # keys are hashes cut to 62 bits, so cell arithmetic can't over
 _CELLS = 4096  # of all shards at most, unless there are more shards
 
 
+def _small(spark: SparkSession, lines: list[dict], schema: str) -> DataFrame:
+    """Sums and cuts of the driver as a table, from one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), f"array<struct<{schema}>>")))
+
+
 def _cells(rows: DataFrame, key: str, within: Column, spans: list[tuple[int, int, int]], fanout: int) -> dict[int, dict[int, int]]:
     """Exact bytes in each of ``fanout`` equal cells of the disjoint key spans (value of ``within``, lo, hi): one aggregation.
 
     Only sums come to the driver, at most spans x fanout of them.
     """
-    spark = rows.sparkSession
-    table_ = spark.createDataFrame([(i, w, lo, hi, max(1, -(-(hi - lo) // fanout))) for i, (w, lo, hi) in enumerate(spans)], "i int, w long, lo long, hi long, step long")
+    lines = [{"i": i, "w": w, "lo": lo, "hi": hi, "step": max(1, -(-(hi - lo) // fanout))} for i, (w, lo, hi) in enumerate(spans)]
+    table_ = _small(rows.sparkSession, lines, "i: int, w: long, lo: long, hi: long, step: long")
     inside = (within == F.col("w")) & (F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))
     got = rows.join(F.broadcast(table_), inside).groupBy("i", F.expr(f"({key} - lo) div step").alias("c")).agg(F.sum("size").alias("b"))
     out: dict[int, dict[int, int]] = {}
@@ -91,9 +98,9 @@ def _cell(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
         inside.setdefault(h >> 50, []).append((h, t))
     lines, before = [], 0
     for b in range(4096):
-        lines.append((b, before, inside.get(b, [])))
+        lines.append({"bucket": b, "base": before, "cuts": [{"h": h, "tie": t} for h, t in inside.get(b, [])]})
         before += len(inside.get(b, []))
-    table_ = rows.sparkSession.createDataFrame(lines, "bucket long, base int, cuts array<struct<h:long, tie:long>>")
+    table_ = _small(rows.sparkSession, lines, "bucket: long, base: int, cuts: array<struct<h: long, tie: long>>")
     passed = F.filter("cuts", lambda c: (c["h"] < F.col("h")) | ((c["h"] == F.col("h")) & (c["tie"] <= F.col("tie"))))
     found = rows.withColumn("bucket", F.shiftright("h", 50)).join(F.broadcast(table_), "bucket")
     return found.withColumn("cell", F.col("base") + F.size(passed)).drop("bucket", "base", "cuts")
