@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, lookup, materialise, only, table, unused
@@ -57,12 +57,12 @@ class Signer:
     def __init__(self, positions: int):
         self.factors = (np.random.default_rng(7).integers(0, 2**32, positions, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 
-    def __call__(self, grams: np.ndarray) -> bytes:
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
         least = np.full(len(self.factors), 0xFFFFFFFF, np.uint32)
         low = (grams >> np.uint64(17)).astype(np.uint32)
         for i in range(0, len(low), 4096):
             np.minimum(least, (low[i : i + 4096] * self.factors).min(axis=1), out=least)
-        return least.astype(np.uint16).tobytes()
+        return np.pad(least.astype("<u2"), (0, -len(least) % 4)).view(np.int64)
 
 
 def parities(grams: np.ndarray) -> list[int]:
@@ -70,13 +70,15 @@ def parities(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def chunk_masks(positions: int, chunks: int, radius: int) -> list[tuple[range, list[list[int]]]]:
+    """For each chunk its positions, and the positions that each of its keys is made of."""
+    edges = [positions * i // chunks for i in range(chunks + 1)]
+    return [(range(a, b), [list(x) for x in combinations(range(a, b), max(1, b - a - radius // chunks))]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def masks(positions: int, chunks: int, radius: int) -> list[list[int]]:
     """The positions that each key is made of."""
-    edges = [positions * i // chunks for i in range(chunks + 1)]
-    out = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        out += [list(x) for x in combinations(range(a, b), max(1, b - a - radius // chunks))]
-    return out
+    return [m for _, own in chunk_masks(positions, chunks, radius) for m in own]
 
 
 def radius_for(percent: int, positions: int, miss: float = MISS) -> int:
@@ -103,7 +105,9 @@ class NearDuplicates:
         self.whole, self.names, self.width, self.percent = docs, (key, text), width, percent
         self.docs = only(docs, key, text).toDF("doc_id", "text")
         self.radius = radius_for(percent, positions) if radius is None else radius
-        self.positions, self.masks = positions, masks(positions, chunks or self.radius // 2 + 1, self.radius)
+        self.positions, self.chunks = positions, chunk_masks(positions, chunks or self.radius // 2 + 1, self.radius)
+        self.masks = [m for _, own in self.chunks for m in own]
+        self.bits = max(1, (len(self.masks) - 1).bit_length())  # the last bits of a key are the number of its mask
 
     def signatures(self) -> DataFrame:
         """doc_id, n_shingles, row (hash of the row), same (digest of the set, null for an empty set), sig, parity."""
@@ -119,33 +123,42 @@ class NearDuplicates:
                         grams = shingles(words, width)
                         sizes.append(len(grams))
                         same.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                        sigs.append(signer(grams) if len(grams) else None)
+                        sigs.append(signer(grams) if len(grams) else None)  # four minima in a number
                         odd.append(parities(grams))
-                    yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), part.column(1), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "row", "same", "sig", "parity"])
+                    yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), part.column(1), pa.array(same, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "row", "same", "sig", "parity"])
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        return self.docs.select("doc_id", self._row(), "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, row long, same binary, sig binary, parity array<long>")
+        return self.docs.select("doc_id", self._row(), "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, row long, same binary, sig array<long>, parity array<long>")
 
     @staticmethod
     def _row():
         return F.xxhash64("doc_id", "text").alias("row")
 
     def _keys(self, reps: DataFrame) -> DataFrame:
-        chosen, positions = self.masks, self.positions
+        chosen, positions, bits = self.masks, self.positions, np.uint64(self.bits)
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not len(batch):
                     continue
                 node = batch.column(0).to_numpy()
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, positions).astype(np.uint64)
+                sig = batch.column(1).flatten().to_numpy().view("<u2").reshape(len(node), -1)[:, :positions].astype(np.uint64)
                 for start in range(0, len(node), 2000):
                     part = sig[start : start + 2000]
-                    keys = [_fold((part[:, p] for p in kept), len(part), 100 + i).view(np.int64) for i, kept in enumerate(chosen)]
+                    keys = [(_fold((part[:, p] for p in kept), len(part), 100 + i) << bits | np.uint64(i)).view(np.int64) for i, kept in enumerate(chosen)]
                     yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.tile(node[start : start + 2000], len(keys)))], names=["key", "node"])
 
         return reps.select("node", "sig").mapInArrow(index, "key long, node long")
 
+    def _first_chunk(self, a: str, b: str) -> Column:
+        """The number of the first chunk in which two signatures share a key."""
+        equal = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(-(-self.positions // 4))]
+        differs = lambda p: (F.shiftright(equal[p // 4], 16 * (p % 4)).bitwiseAND(0xFFFF) != 0).cast("int")
+        first = F.lit(None).cast("int")
+        for k, (own, keys) in reversed(list(enumerate(self.chunks))):
+            first = F.when(sum(map(differs, own), F.lit(0)) <= len(own) - len(keys[0]), k).otherwise(first)
+        return first
+
     def _confirm(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough. Only the texts of documents in the pairs are read into sets."""
         width = self.width
@@ -173,7 +186,8 @@ class NearDuplicates:
         meets most others over all its buckets) with which it shares most
         buckets; then, in buckets that still hold several
         parts, the nodes outside the largest part are joined with all of another part, under
-        the bound of the parity sketches: no bucket has its pairs enumerated within a part.
+        the bound of the parity sketches: no bucket has its pairs enumerated within a part, and
+        a pair comes only from the first chunk in which it shares a key, not from each of its keys.
         """
         keys = self._keys(reps)
         buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,11 +200,13 @@ class NearDuplicates:
         parts = components(links)
         wide = materialise(keys.select("key", "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
         counts = wide.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        wide = wide.join(counts.select("key", "most"), "key").join(reps.select("node", "n", "parity"), "node")
-        odd = wide.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("parity").alias("q"))
+        wide = wide.join(counts.select("key", "most"), "key").join(reps.select("node", "n", "parity", "sig"), "node")
+        odd = wide.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("parity").alias("q"), F.col("sig").alias("s"))
         differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(_LANES)), F.lit(0))
         near = differ * (100 + self.percent) <= (F.col("n") + F.col("m")) * (100 - self.percent)
-        cross = odd.join(wide, "key").where((F.col("r") != F.col("root")) & near).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+        of_key = F.get(F.array(*[F.lit(k) for k, (_, own) in enumerate(self.chunks) for _ in own]), F.col("key").bitwiseAND((1 << self.bits) - 1).cast("int"))
+        once = (F.col("root") == F.col("most")) | (F.col("u") < F.col("node"))  # two nodes outside the largest part meet twice
+        cross = odd.join(wide, "key").where((F.col("r") != F.col("root")) & once & near & (of_key == self._first_chunk("s", "sig"))).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
         more = materialise(cross.join(best, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.union(self._confirm(more, reps))

@@ -87,3 +87,22 @@ def test_every_pair_within_the_radius_shares_a_key():
     for _ in range(200):
         differ = set(rng.sample(range(64), 23))
         assert any(not differ & set(k) for k in kept)
+
+
+def test_each_pair_comes_from_the_first_chunk_it_shares(spark):
+    import numpy as np
+
+    found = neardup.NearDuplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, 64, np.uint64).astype("<u2")
+        b = a.copy()
+        at = rng.permutation(64)[: rng.integers(0, 40)]
+        b[at] ^= rng.integers(1, 1 << 16, len(at)).astype("<u2")
+        shared = [k for k, (_, keys) in enumerate(found.chunks) if any(np.array_equal(a[m], b[m]) for m in keys)]
+        rows.append((a.view(np.int64).tolist(), b.view(np.int64).tolist(), min(shared, default=None)))
+        assert shared or (a != b).sum() > found.radius
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int")
+    assert [r for r in df.select("want", found._first_chunk("a", "b").alias("got")).collect() if r.want != r.got] == []
+    assert len({r[2] for r in rows}) > 3
