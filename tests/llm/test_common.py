@@ -12,7 +12,7 @@ from harrow.llm import common, decontaminate, language, toxicity, words
 
 
 def test_values_need_no_package_on_workers(tmp_path):
-    model = language.LanguageModel(["de", "en"], np.ones(1 << language.BUCKETS_LOG2))
+    model = language.LanguageModel(["de", "en"], np.ones(1 << language.BUCKETS_LOG2), l1=0.0)
     model.learn(iter([("the cat", 1), ("die katze", 0)]))
     model.dense = model.ftrl.weights()
     severity = toxicity.SeverityModel(l1=0.0)
@@ -55,6 +55,6 @@ def test_word_hashes_whatever_the_pieces(monkeypatch):
 
 
 def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "local-cluster[2,1,1024]"))
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(spark)
