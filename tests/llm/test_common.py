@@ -54,7 +54,10 @@ def test_word_hashes_whatever_the_pieces(monkeypatch):
     assert words.hashes([]) == []
 
 
-def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda name, default=None: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_folder(spark)
+        common.shared_folder(cluster)
