@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linededup, media, neardup, packing, sharding, suffixes, toxicity
+from . import alignment, chat, decontaminate, language, linededup, media, neardup, packing, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ordinal_toxicity": toxicity.query,
     "op9_sparse_suffixes": suffixes.query,
     "op10_line_spread": linededup.query,
+    "op11_dangling_suffix": alignment.query,
 }
 
 ORACLES: dict[str, str] = {
