@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, decontaminate, language, linededup, media, neardup, packing, sharding, suffixes, toxicity
+from . import alignment, chat, decontaminate, language, linededup, media, negatives, neardup, packing, search, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_histogram_sharding": sharding.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sparse_suffixes": suffixes.query,
     "op10_line_spread": linededup.query,
     "op11_dangling_suffix": alignment.query,
+    "op12_pivot_negatives": negatives.query,
+    "op13_adaptive_scan": search.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_round_trip": chat.ORACLE,
     "op9_sparse_suffixes": suffixes.ORACLE,
     "op10_line_spread": linededup.ORACLE,
+    "op12_pivot_negatives": negatives.ORACLE,
 }
