@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from . import scans
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers need no copy of the package
 
 
@@ -73,29 +75,46 @@ def ordered_fold(rows: DataFrame, by: str, order: list[str | Column], values: li
 
 
 def rate_level(rows: DataFrame, by: str, order: list[str], penalty: Column, most: int = 3, credit: int = 5, base: float = 1.0, factor: float = 1.5) -> DataFrame:
-    """The level of delay after all rows of a key: up on a penalty, down after ``credit`` successes in a row."""
-
-    def step(s: list, bad: bool | None) -> None:
-        if bad:
-            s[0], s[1] = min(s[0] + 1, most), 0
-        elif s[1] + 1 >= credit:
-            s[0], s[1] = max(s[0] - 1, 0), 0
-        else:
-            s[1] += 1
+    """The level of delay after all rows of a key: up on a penalty, down after ``credit`` successes in a row.
 
-    out = ordered_fold(rows, by, order, [penalty], [0, 0], step, "level int, streak int")
+    Only penalties are steps, each after the drops that the successes since the last one bring. A hot key is cut into
+    stretches that are worked on apart; see ``scans``.
+    """
+    log = scans.stretches(rows, by, order, bad=F.coalesce(penalty, F.lit(False)))
+    bad_pos = F.when(F.col("bad"), F.col("pos"))
+    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(bad_pos, ignorenulls=True).over(before.partitionBy("k", "stretch"))
+    drops = F.coalesce(F.floor((F.col("pos") - last - 1) / credit), F.lit(0))
+    step = {"add": 1 - drops, "low": F.lit(min(1, most)), "high": F.lit(most)}
+    steps = log.select("k", "stretch", "pos", bad_pos.alias("bad_pos"), *[F.when(F.col("bad"), c).otherwise(scans.SAME[n]).cast("long").alias(n) for n, c in step.items()])
+    parts = scans.clamped(steps, ["k", "stretch"], "pos", n=F.count(F.lit(1)), first=F.min("bad_pos"), last=F.max("bad_pos"))
+    # Places in the whole log of a key, to count the successes from one stretch to the next.
+    earlier = Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    parts = parts.select("*", (start + F.col("first")).alias("from"), (start + F.col("last")).alias("to"))
+    drops = F.floor((F.col("from") - F.coalesce(F.last("to", ignorenulls=True).over(earlier), F.lit(0)) - 1) / credit)
+    parts = parts.withColumn("drops", drops).withColumns({n: F.when(F.col("from").isNull(), F.col(n)).otherwise(c) for n, c in scans.lowered(F.col("drops")).items()})
+    whole = scans.clamped(parts, ["k"], "stretch", n=F.sum("n"), last=F.max("to"))
+    after = F.col("n") - F.coalesce("last", F.lit(0))
+    level = F.greatest(scans.at_zero() - F.floor(after / credit), F.lit(0)).cast("int")
+    out = whole.select(F.col("k").alias(by), level.alias("level"), (after % credit).cast("int").alias("streak"))
     return out.select(by, "level", "streak", F.round(base * F.pow(F.lit(factor), F.col("level")), 6).alias("delay"))
 
 
 def strikes(rows: DataFrame, by: str, seconds: Column, idle: int = 120, base: float = 3.0, most: float = 60.0) -> DataFrame:
-    """Strikes against a domain after its last event: one less for an idle time, one more for the event; the back-off doubles."""
+    """Strikes against a domain after its last event: one less for an idle time, one more for the event; the back-off doubles.
 
-    def step(s: list, t: float | None) -> None:
-        if t is not None:
-            rested = s[1] is not None and not t - s[1] <= idle  # NaN is the largest number, as in Spark
-            s[0], s[1] = (max(s[0] - 1, 0) if rested else s[0]) + 1, t
-
-    out = ordered_fold(rows, by, [], [seconds.cast("double")], [0, None], step, "strikes int, at double")
+    Events without a time change nothing; NaN is the largest number. A hot key is cut into stretches; see ``scans``.
+    """
+    log = scans.stretches(rows, by, [], at=seconds.cast("double"))
+    last = F.lag("at").over(Window.partitionBy("k", "stretch").orderBy("pos"))
+    step = {"add": 1 - F.when(F.col("at") - last > idle, 1).otherwise(0), "low": F.lit(1), "high": F.lit(scans.FAR)}
+    steps = log.select("k", "stretch", "pos", "at", *[F.when(F.col("at").isNotNull(), c).otherwise(scans.SAME[n]).cast("long").alias(n) for n, c in step.items()])
+    parts = scans.clamped(steps, ["k", "stretch"], "pos", first=F.min("at"), last=F.max("at"))
+    rested = F.col("first") - F.lag("last").over(Window.partitionBy("k").orderBy("stretch")) > idle
+    parts = parts.withColumn("rested", F.coalesce(rested, F.lit(False))).withColumns({n: F.when(F.col("rested"), c).otherwise(F.col(n)) for n, c in scans.lowered(F.lit(1)).items()})
+    strikes = F.greatest(scans.at_zero(), F.lit(0)).cast("int")
+    out = scans.clamped(parts, ["k"], "stretch").select(F.col("k").alias(by), strikes.alias("strikes"))
     return out.select(by, "strikes", F.least(F.lit(most), base * F.pow(F.lit(2.0), F.col("strikes") - 1)).alias("backoff"))
 
 
