@@ -9,10 +9,12 @@ compared once for each of them, and whole closed runs between blanks are kept as
 from __future__ import annotations
 
 import hashlib
+import os
 import sys
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialise, only, table
-from .packing import _BEYOND, _ODD_SPACE, Encoder, _byte_letters
+from .packing import _BEYOND, _ODD_SPACE, VOCABULARY, _byte_letters
 
 PIECES = "piece_bpe_32k.model"
 BLANK = "▁"
 B_BITS = 16  # of a link's number: the A id, then the B id
 HOT_PAIRS = 500_000  # id pairs that are broadcast at most, 24 bytes each
-KEPT = 300_000  # memoised transitions, and closed runs, of one worker
+KEPT = 250_000  # memoised transitions of one worker, and closed runs in each of its two stores
+TOGETHER = 2_000_000  # characters of texts that are tokenized at once, or one text
 
 
 class _State(dict):
@@ -92,7 +95,10 @@ class Transducer:
                     links.append(token << B_BITS | b[j - 1])
                 state = state[token]
                 if state is start:
-                    groups.append(",".join([names_a[x] for x in a[i0:i]]) + "|" + ",".join([names_b[x] for x in b[j0:j]]))
+                    if i - i0 == j - j0 == 1:
+                        groups.append(names_a[a[i0]] + "|" + names_b[token])
+                    else:
+                        groups.append(",".join([names_a[x] for x in a[i0:i]]) + "|" + ",".join([names_b[x] for x in b[j0:j]]))
                     i0, j0 = i, j
                 elif state is None:
                     return None
@@ -100,73 +106,87 @@ class Transducer:
             return None
 
 
-class _Runs(dict):
-    """What stands between blanks, with the blank before it, or from a line feed on -> n_a, n_b, groups, links; None where bytes differ.
+class Aligner:
+    """Aligns texts; A by ``tokenizers`` with a blank before the text, B by ``sentencepiece``, which adds it.
 
-    Pieces of B never reach from another character into a blank or over a line feed, words of A neither, so such a field is segmented alike wherever it stands.
+    Pieces of B reach neither from another character into a blank nor over a line feed, words of A neither; so what stands between blanks,
+    with the blank before it, or from a line feed on, is segmented alike wherever it stands. The closed run of such a field is kept:
+    of two stores of ``limit`` fields the older goes when the newer is full, and a field met again moves to the newer.
     """
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
-
-    def __missing__(self, field: str) -> tuple | None:
-        by = self.aligner
-        whole = field[0] != "\n"
-        b = by.pieces.encode(field)
-        self[field] = found = by.aligned(" " + field if whole else field, b if whole else b[1:])
-        return found
-
-
-class Aligner:
-    """Aligns texts; A by ``tokenizers`` with a blank before the text, B by ``sentencepiece``, which adds it."""
-
     def __init__(self, a_path: str | None = None, b_path: str | None = None, limit: int = KEPT):
         import public_tokenizers
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-        self.encoder = Encoder(a_path)
-        self.encoder.tokenizer.encode_special_tokens = True  # their strings are plain text
-        self.pieces = SentencePieceProcessor(model_file=b_path or public_tokenizers.path(PIECES), num_threads=1)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.words = Tokenizer.from_file(a_path or public_tokenizers.path(VOCABULARY))
+        self.words.encode_special_tokens = True  # their strings are plain text
+        self.pieces = own = SentencePieceProcessor(model_file=b_path or public_tokenizers.path(PIECES), num_threads=1)
         letters = {c: b for b, c in enumerate(_byte_letters())}
-        vocabulary = self.encoder.tokenizer
-        special = set(vocabulary.get_added_tokens_decoder())
-        a_bytes = [(vocabulary.id_to_token(i) or "") for i in range(vocabulary.get_vocab_size())]
+        special = set(self.words.get_added_tokens_decoder())
+        a_bytes = [(self.words.id_to_token(i) or "") for i in range(self.words.get_vocab_size())]
         a_bytes = [t.encode() if i in special else bytes(letters[c] for c in t) for i, t in enumerate(a_bytes)]
-        own = self.pieces
-        b_bytes = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace(BLANK, " ").encode() for i in range(own.get_piece_size())]
-        self.machine, self.runs, self.limit = Transducer(a_bytes, b_bytes), _Runs(self), limit
-        # Fields stand for themselves only where no piece goes over a blank or a line feed, and a blank alone is a piece of its own.
-        inner = [t for t in map(own.id_to_piece, range(own.get_piece_size())) if "\n" in t or BLANK in t.lstrip(BLANK)]
-        self.by_fields = not inner and own.encode("\n")[:1] == [own.piece_to_id(BLANK)]
-
-    def aligned(self, text: str, b: list[int]) -> tuple | None:
-        ids = array("I", self.encoder.one(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        a = ids.tolist()
-        if b"".join([self.machine.a_bytes[i] for i in a]) != text.encode():
+        names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
+        b_bytes = [bytes([int(t[3:5], 16)]) if own.is_byte(i) else t.replace(BLANK, " ").encode() for i, t in enumerate(names)]
+        self.machine, self.limit = Transducer(a_bytes, b_bytes), limit
+        self.newer: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+        self.by_fields = not any("\n" in t or BLANK in t.lstrip(BLANK) for t in names) and own.encode("\n")[:1] == [own.piece_to_id(BLANK)]
+
+    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, bytes, tuple[int, ...]] | None:
+        """n_a, n_b, n_groups, the groups and the links' numbers; None where the joined bytes of A or B are not the text."""
+        own = self.machine.a_bytes
+        if b"".join([own[i] for i in a]) != text.encode():
             return None
         found = self.machine.run(a, b)
-        return found and (len(a), len(b), found[0].count(";") + 1 if a else 0, *found)
+        return found and (len(a), len(b), found[0].count(";") + 1, found[0].encode(), tuple(found[1]))
 
-    def __call__(self, text: str | None) -> tuple[int, int, int, bytes, Counter] | None:
-        """n_a, n_b, n_groups, the groups and each link's number with its occurrences; None where there are no tokens."""
-        if not text:
-            return None
-        if len(self.runs) > self.limit:
-            self.runs.clear()
+    def _fields(self, text: str) -> list[str] | None:
         if not self.by_fields or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD_SPACE) or _BEYOND.search(text):
-            found = self.aligned(" " + text, self.pieces.encode(text))
-            return found and (*found[:3], found[3].encode(), Counter(found[4]))
-        fields = text.replace("\n", " \n").split(" ")
-        runs = list(map(self.runs.__getitem__, fields))
-        if None in runs:
             return None
-        links: Counter = Counter()
-        for field, times in Counter(fields).items():
-            for link in self.runs[field][4]:
-                links[link] += times
-        return sum([r[0] for r in runs]), sum([r[1] for r in runs]), sum([r[2] for r in runs]), ";".join([r[3] for r in runs]).encode(), links
+        return text.replace("\n", " \n").split(" ")
+
+    def _learn(self, fields: set[str]) -> None:
+        newer, older, new = self.newer, self.older, []
+        for f in fields:
+            if f not in newer:
+                if f in older:
+                    newer[f] = older[f]
+                else:
+                    new.append(f)
+        if new:
+            whole = [f if f[0] == "\n" else " " + f for f in new]
+            for f, text, a, b in zip(new, whole, self.words.encode_batch_fast(whole, add_special_tokens=False), self.pieces.encode(new, num_threads=1), strict=True):
+                newer[f] = self._aligned(text, a.ids, b[1:] if f[0] == "\n" else b)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, int, bytes, Counter] | None]:
+        """Of each text n_a, n_b, n_groups, the groups and each link's number with its occurrences; None where it has no tokens."""
+        if len(self.newer) > self.limit:
+            self.newer, self.older = {}, self.newer
+        split = [self._fields(t) if t else None for t in texts]
+        self._learn(set().union(*[f for f in split if f]))
+        runs, out = self.newer, []
+        for text, fields in zip(texts, split, strict=True):
+            if fields is None:
+                found = self._aligned(" " + text, self.words.encode(" " + text, add_special_tokens=False).ids, self.pieces.encode(text)) if text else None
+                out.append(found and (*found[:4], Counter(found[4])))
+                continue
+            own = [runs[f] for f in fields]
+            if None in own:
+                out.append(None)
+                continue
+            a, b, n, groups, links = zip(*own, strict=True)
+            out.append((sum(a), sum(b), sum(n), b";".join(groups), Counter(chain.from_iterable(links))))
+        return out
+
+
+def _worker(a_path: str | None, b_path: str | None) -> Aligner:
+    """One for all tasks of a worker process: what it has learnt does not change its answers."""
+    kept = sys.modules.setdefault("harrow_kept", ModuleType("harrow_kept")).__dict__
+    if (a_path, b_path) not in kept:
+        kept[a_path, b_path] = Aligner(a_path, b_path)
+    return kept[a_path, b_path]
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -186,9 +206,10 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a_path: str
     schema = f"{schema}, {', '.join(f'{n} long' for n in NUMBERS)}, groups_sha256 string, pairs array<long>, times array<int>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_path, b_path)
+        aligner = _worker(a_path, b_path)
 
-        def out(keys: pa.Array, found: list[tuple | None]) -> pa.RecordBatch:
+        def out(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+            found = aligner(texts)
             numbers = np.array([(x[0], x[1], x[2], x[0] + x[1] - x[2]) if x else (0, 0, 0, 0) for x in found], np.int64)
             ends = np.cumsum([0, *[len(x[4]) if x else 0 for x in found]]).astype(np.int32)
             pairs = np.fromiter((k for x in found if x for k in x[4]), np.int64, ends[-1])
@@ -198,17 +219,16 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a_path: str
             return pa.record_batch([keys.cast(fields[0][1]), *map(pa.array, numbers.T), digests, *lists], names=[n for n, _ in fields])
 
         for batch in batches:
-            found: list[tuple | None] = []
+            texts: list[str | None] = []
             done = weight = 0
             for text in batch.column(1):
-                own = aligner(text.as_py())
-                found.append(own)
-                weight += len(own[3]) if own else 1
-                if weight > 8 << 20:
-                    yield out(batch.column(0)[done : done + len(found)], found)
-                    done, weight, found = done + len(found), 0, []
-            if found:
-                yield out(batch.column(0)[done:], found)
+                texts.append(text.as_py())
+                weight += len(texts[-1] or "") + 16
+                if weight > TOGETHER:
+                    yield out(batch.column(0)[done : done + len(texts)], texts)
+                    done, weight, texts = done + len(texts), 0, []
+            if texts:
+                yield out(batch.column(0)[done:], texts)
 
     linked = docs.select(docs[key].alias("key"), docs[text].alias("body")).mapInArrow(rows, schema)
     return materialise(linked.select(F.monotonically_increasing_id().alias("row"), "*"))
