@@ -21,7 +21,7 @@ from .history import latest
 # Fixed values of HTML: elements without an end tag, and those whose text is no content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template"}
-NODE = "array<struct<pos:int, tag:string, path:string, marked:string, text:string, attributes:map<string,string>>>"
+NODE = "array<struct<pos:int, stop:int, up:int, level:int, tag:string, path:string, marked:string, text:string, attributes:map<string,string>>>"
 
 
 class _Nodes(HTMLParser):
@@ -38,6 +38,7 @@ class _Nodes(HTMLParser):
         safe = lambda v: re.sub(r"[/{}]", "_", v)
         marks = "".join(f"{{{k}={safe(own[k])}}}" for k in ("id", "class") if k in own)
         row = {"pos": len(self.rows), "tag": tag, "path": f"{up[1]}/{tag}[{n}]", "marked": f"{up[2]}/{tag}[{n}]{marks}", "text": "", "attributes": own}
+        row |= {"up": up[4]["pos"] if up[4] else -1, "level": len(self.open), "stop": row["pos"]}
         self.rows.append(row)
         if tag not in VOID:
             self.open.append([tag, row["path"], row["marked"], {}, row])
@@ -45,13 +46,24 @@ class _Nodes(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if self.open and tag not in VOID:
-            self.open.pop()
+            self.leave()
+
+    def leave(self) -> str:
+        """Close the innermost element: what came since it began lies in it."""
+        tag, *_, row = self.open.pop()
+        row["stop"] = len(self.rows) - 1
+        return tag
 
     def handle_endtag(self, tag: str) -> None:
         if any(o[0] == tag for o in self.open):
-            while self.open.pop()[0] != tag:
+            while self.leave() != tag:
                 pass
 
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.leave()
+
     def handle_data(self, data: str) -> None:
         if self.open and not any(o[0] in HIDDEN for o in self.open):
             self.open[-1][4]["text"] += data
@@ -69,7 +81,7 @@ def _parse(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """A row for each element: key, pos, tag, path, marked (path with ids and classes), text, attributes."""
+    """A row for each element: key, pos, stop (pos of the last element in it), up (pos of its parent, -1 for none), level, tag, path, marked (path with ids and classes), text, attributes."""
     return pages.select(key, F.explode(F.pandas_udf(_parse, NODE)(F.col(html))).alias("n")).select(key, "n.*")
 
 

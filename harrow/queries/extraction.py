@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import pages, votes
+from ..operators import pages, paths, votes
 from .registry import query
 
 _PATHS = "select l_suppkey, l_orderkey * 100 + l_linenumber as pos, '/html/body/div[' || (l_partkey % 3 + 1) || ']/' || case when l_returnflag = 'R' then 'p' else 'a' end || case when l_linestatus = 'O' then '[@class=\"x\"]' else '[' || l_linenumber || ']' end as xpath from lineitem"
@@ -141,3 +142,63 @@ def xpath_eval(load):
 def xpath_candidates(load):
     found = pages.nodes(load("pages"), "page_id", "html")
     return pages.xpath_candidates(found.where("tag in ('a', 'div', 'p')")).select("page_id", "pos", "priority", "strategy", "xpath")
+
+
+_PATHS_ON_PAGES = {  # path -> kind of value
+    "//nav/ul/li[2]/a": "url",
+    "//nav//li[last()]/a": "url",
+    "//li/following-sibling::li/a": "url",
+    "//a[starts-with(@href,'/t')]/ancestor::nav": "text",
+    "//li[1]/following-sibling::li/a[contains(@href,'n')]": "url",
+    "/html/head/title | //article/h1": "text",
+    "//article/preceding-sibling::div[@class='ad']": "text",
+}
+_LINKS = """regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href="([^"]*)">', 1)"""
+_PLAIN = "trim(replace(regexp_extract(html, '{}', 1, 's'), '&amp;', '&'))"
+_ON_PAGES = f"""(
+select page_id, links, links[2:] as rest, {_PLAIN.format("<title>(.*?)</title>")} as title, {_PLAIN.format("<h1>(.*?)</h1>")} as h1, {_PLAIN.format('</nav>.*?<div class="ad">(.*?)</div>')} as ad from (select *, {_LINKS} as links from pages))"""
+
+
+@query(f"""
+with p as {_ON_PAGES},
+v as (
+  select page_id, '//nav/ul/li[2]/a' as path, [links[2]] as found from p where len(links) >= 2
+  union all select page_id, '//nav//li[last()]/a', [links[len(links)]] from p where len(links) >= 1
+  union all select page_id, '//li/following-sibling::li/a', rest from p where len(rest) > 0
+  union all select page_id, '//a[starts-with(@href,''/t'')]/ancestor::nav', [''] from p where len(list_filter(links, lambda x: starts_with(x, '/t'))) > 0
+  union all select page_id, '//li[1]/following-sibling::li/a[contains(@href,''n'')]', list_filter(rest, lambda x: contains(x, 'n')) from p where len(list_filter(rest, lambda x: contains(x, 'n'))) > 0
+  union all select page_id, '/html/head/title | //article/h1', [title, h1] from p
+  union all select page_id, '//article/preceding-sibling::div[@class=''ad'']', [ad] from p)
+select page_id, path, len(found)::bigint as matches, array_to_string(list_filter(found[:8], lambda x: x <> ''), chr(10)) as "values" from v""")
+def path_values(load):
+    """Values on pages along paths with positions, siblings, ancestors and tests of attributes."""
+    found = pages.nodes(load("pages"), "page_id", "html")
+    out = None
+    for path, kind in _PATHS_ON_PAGES.items():
+        own = paths.evaluate(found, "page_id", path, kind).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
+        first = F.sort_array(F.collect_list(F.when((F.col("place") <= 8) & (F.col("value") != ""), F.struct("pos", "value"))))
+        own = own.groupBy("page_id").agg(F.count("*").alias("matches"), F.array_join(F.transform(first, lambda x: x["value"]), "\n").alias("values")).select("page_id", F.lit(path).alias("path"), "matches", "values")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""
+with p as {_ON_PAGES},
+v as (
+  select page_id, '//article//h1' as path, 1 as matches, [h1] as found, title as expected from p
+  union all select page_id, '//nav//a', len(links), links[:6], null from p where len(links) > 0
+  union all select page_id, '//nav//li[1]/a', 1, [links[1]], null from p where len(links) > 0
+  union all select page_id, '//html | //html//head | //html//body//nav', 3, [], null from p),
+m as (select *, list_distinct(list_transform(list_filter(found, lambda x: x <> '' and (expected is null or lower(x) = lower(expected))), lambda x: lower(x))) as different from v)
+select page_id, path, matches::bigint as matches, len(different) = 1 and matches between 1 and 20 as ok, case when len(different) = 1 and matches between 1 and 20 then found[1] end as value from m""")
+def path_verification(load):
+    """Whether paths hold on each page: the headline against the title, links without an expected value, nodes without text."""
+    found = pages.nodes(load("pages"), "page_id", "html")
+    titles = paths.evaluate(found, "page_id", "/html/head/title").select("page_id", F.col("value").alias("expected"))
+    out = None
+    for path, kind in (("//article//h1", "text"), ("//nav//a", "url"), ("//nav//li[1]/a", "url"), ("//html | //html//head | //html//body//nav", "text")):
+        own = paths.evaluate(found, "page_id", path, kind).select("page_id", "pos", "tag", "value").join(titles, "page_id", "left")
+        wanted = F.col("expected") if path.endswith("h1") else F.lit(None).cast("string")
+        own = paths.verified(own, ["page_id"], wanted, F.lit("text")).select("page_id", F.lit(path).alias("path"), "matches", "ok", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
