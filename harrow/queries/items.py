@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dispatch, fields, items, lookups
+from ..operators import dispatch, fields, items, lookups, prefixes
 from .registry import query
 
 _OP = "case event_type when 'view' then 'claim' when 'click' then 'commit' when 'purchase' then 'ack' when 'error' then 'fail' else 'release' end"
@@ -97,3 +97,14 @@ def longest_prefix(load):
     marks = n.select("n_regionkey", F.col("n_nationkey").alias("mark"), F.col("n_name").alias("mark_text"))
     found = lookups.longest_prefix(n.select("n_nationkey", "n_regionkey", F.replace("n_name", F.lit(" "), F.lit("")).alias("text")), marks, "n_regionkey", "text", "mark_text", "mark", least=1)
     return found.select("n_nationkey", "mark", F.col("shared").cast("long").alias("shared"))
+
+
+@query("""
+with t as (select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as a from documents),
+m as (select item_id, lower(regexp_replace(text, '\\s+', '', 'g')) as b from benchmark),
+s as (select doc_id, item_id, coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))), 0) as shared from t, m where a <> '' and b <> '')
+select doc_id, shared::integer as shared, count(*) as marks, min(item_id) as mark from s
+where shared >= 1 and shared = (select max(shared) from s x where x.doc_id = s.doc_id) group by all""")
+def shared_beginnings(load):
+    """For each document the benchmark items that begin most like it."""
+    return prefixes.longest_shared(load("documents"), load("benchmark"), "doc_id", "text", "item_id", "text", least=1, share=0.0)
