@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, fields, folds, functions, history, items, planning, tables
+from . import extraction, fields, folds, functions, history, items, payloads, planning, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "extraction", "fields", "folds", "functions", "history", "items", "planning", "tables"]
+__all__ = ["ORACLES", "QUERIES", "extraction", "fields", "folds", "functions", "history", "items", "payloads", "planning", "tables"]
