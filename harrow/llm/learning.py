@@ -57,6 +57,7 @@ def mix(rows: DataFrame, model, learn: Callable[[object, Iterator[tuple]], int],
     spark = rows.sparkSession
     names = [c for c in rows.columns if c != "key"]
     groups = max(1, min(PARTS, rows.count() // PART_ROWS))
+    model.ftrl.l1 /= groups  # z grows with the rows of a group, and the penalty with it
     grouped = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(groups)))
     schema = "seen long, " + ", ".join(f"a{i} binary" for i in range(len(model.arrays)))
     for _ in range(rounds):
