@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def walk(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
-    """Every node below a root, however deep, with its depth and path, by a recursive query; a depth-first reading orders by ``sort_path``.
+    """Every node below a root, however deep, with its depth and path; a depth-first reading orders by ``sort_path``.
 
-    A node that comes back below itself (its key stands under several parents) is an error, and so is what Spark's limit of rows does not hold.
+    Each node points to an ancestor and holds the path from below it. In a round it takes over where its ancestor points,
+    so the steps double: the rounds are the logarithm of the depth. Nodes below an unknown parent are left out; one that comes
+    back below itself (its key may stand under several parents) is an error. A key under several parents has a row for each path.
     """
-    named = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).alias("label"), F.lpad(F.col(key).cast("string"), 20, "0").alias("ord"))
-    return nodes.sparkSession.sql(
-        """
-        with recursive tree(id, up, label, depth, path, sort_path, above) max recursion level 2147483647 as (
-          select id, up, label, 0, cast(label as string), cast(ord as string), array(id) from {named} where up is null
-          union all
-          select n.id, n.up, n.label, t.depth + 1, concat(t.path, ' > ', n.label), concat(t.sort_path, '/', n.ord),
-            if(array_contains(t.above, n.id), raise_error('cycle in the plan tree'), array_append(t.above, n.id))
-          from {named} n join tree t on n.up = t.id
-        ) select id, up, label, depth, path, sort_path from tree""",
-        named=named,
-    )
+    ord_ = F.lpad(F.col(key).cast("string"), 20, "0")
+    named = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).alias("label"))
+    state = cut(named.select("*", F.col("up").alias("at"), F.lit(0).alias("depth"), F.col("label").cast("string").alias("path"), ord_.alias("sort_path")))
+    most, reach = state.count(), 1
+    # A pointer of None has passed the root; one that no node answers is dropped.
+    while not state.where("at is not null").isEmpty():
+        if reach > most:
+            raise ValueError("cycle in the plan tree")
+        above = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("d"), F.col("path").alias("p"), F.col("sort_path").alias("s"))
+        joined = state.where("at is not null").join(above, "at")
+        moved = joined.select("id", "up", "label", F.col("next").alias("at"), (F.col("depth") + F.col("d") + 1).alias("depth"), F.concat("p", F.lit(" > "), "path").alias("path"), F.concat("s", F.lit("/"), "sort_path").alias("sort_path"))
+        state, reach = cut(state.where("at is null").select(*moved.columns).union(moved)), reach * 2
+    return state.select("id", "up", "label", "depth", "path", "sort_path")
 
 
 def sibling_sets(nodes: DataFrame, parent: str, leaf: str) -> DataFrame:
