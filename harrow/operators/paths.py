@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import cut
 from .history import latest
+from .pages import nodes as parse
 
 URL_ATTRIBUTES = ("href", "src", "data-href")  # fixed values, in this order
 AXES = ("child", "descendant", "parent", "ancestor", "self", "following-sibling", "preceding-sibling")
@@ -23,6 +25,11 @@ _STEP = re.compile(rf"""(//?)(?:([a-z-]+)::)?(\.\.|\.|\*|[A-Za-z][\w-]*)((?:\[(?
 _TEST = re.compile(rf"""(?:(contains|starts-with)\(\s*(@[\w-]+|text\(\)|\.)\s*,\s*({_QUOTED})\s*\)|(@[\w-]+|text\(\)|normalize-space\((?:text\(\)|\.)?\)|\.)(?:\s*=\s*({_QUOTED}))?)""")
 
 
+def table(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The nodes of each page with what paths need, parsed once: a table in the shared folder."""
+    return cut(parse(pages, key, html).select(key, "pos", "stop", "up", "tag", "text", "attributes"))
+
+
 @dataclass
 class Step:
     axis: str

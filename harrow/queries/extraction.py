@@ -172,7 +172,7 @@ v as (
 select page_id, path, len(found)::bigint as matches, array_to_string(list_filter(found[:8], lambda x: x <> ''), chr(10)) as "values" from v""")
 def path_values(load):
     """Values on pages along paths with positions, siblings, ancestors and tests of attributes."""
-    found = pages.nodes(load("pages"), "page_id", "html")
+    found = paths.table(load("pages"), "page_id", "html")
     out = None
     for path, kind in _PATHS_ON_PAGES.items():
         own = paths.evaluate(found, "page_id", path, kind).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
@@ -193,7 +193,7 @@ m as (select *, list_distinct(list_transform(list_filter(found, lambda x: x <> '
 select page_id, path, matches::bigint as matches, len(different) = 1 and matches between 1 and 20 as ok, case when len(different) = 1 and matches between 1 and 20 then found[1] end as value from m""")
 def path_verification(load):
     """Whether paths hold on each page: the headline against the title, links without an expected value, nodes without text."""
-    found = pages.nodes(load("pages"), "page_id", "html")
+    found = paths.table(load("pages"), "page_id", "html")
     titles = paths.evaluate(found, "page_id", "/html/head/title").select("page_id", F.col("value").alias("expected"))
     out = None
     for path, kind in (("//article//h1", "text"), ("//nav//a", "url"), ("//nav//li[1]/a", "url"), ("//html | //html//head | //html//body//nav", "text")):
