@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c
+from .text import c, positive_int, string_list
 
 # Texts by which a failure is told, in the order in which they are tried.
 FAILURE_HINTS = {
@@ -135,3 +135,23 @@ def backtracks(current: Column, candidate: Column) -> Column:
 
 def rate_limited(text: Column | str, url: Column | str) -> Column:
     return _low(text).rlike("too many requests|rate limit|访问频繁|请求过于频繁") | _low(url).rlike("429|ratelimit|too-many")
+
+
+# The known groupings and ways to find categories.
+GROUPINGS, DISCOVERIES = ("none", "category"), ("auto", "manual")
+
+
+def grouping(group_by: Column, discovery: Column, per_group: Column, total: Column, requested: Column, examples: Column) -> Column:
+    """Grouping settings in normal form. Without grouping all but the total is cleared; manual without categories is auto; auto clears what is requested."""
+    known = lambda x, names: F.when(F.lower(F.trim(x)).isin(*names), F.lower(F.trim(x))).otherwise(names[0])
+    own, none = known(group_by, GROUPINGS), F.array().cast("array<string>")
+    on, wanted = own == "category", string_list(requested)
+    manual = on & (known(discovery, DISCOVERIES) == "manual") & (F.size(wanted) > 0)
+    return F.struct(
+        own.alias("group_by"),
+        F.when(on, positive_int(per_group)).alias("per_group_target_count"),
+        positive_int(total).alias("total_target_count"),
+        F.when(manual, "manual").otherwise("auto").alias("category_discovery_mode"),
+        F.when(manual, wanted).otherwise(none).alias("requested_categories"),
+        F.when(on, string_list(examples)).otherwise(none).alias("category_examples"),
+    )

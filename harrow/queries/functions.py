@@ -103,3 +103,21 @@ def xpath_functions(load):
     middle = F.when(F.col("l_returnflag") == "A", '//*[@id="m"]').when(F.col("l_returnflag") == "N", '/ul[@class="popup"]').otherwise("")
     p = F.concat(F.lit("//div["), F.col("l_linenumber").cast("string"), F.lit("]"), middle, F.lit("/a["), (F.col("l_partkey") % 9).cast("string"), F.lit("]"))
     return load("lineitem").select("l_orderkey", "l_linenumber", xpaths.bare(p).alias("bare"), xpaths.stability(p).alias("stability"), xpaths.over_broad(p).alias("broad"))
+
+
+_ASKED = "case o_orderstatus when 'F' then ' Category' when 'O' then 'none' else o_orderpriority end as asked"
+_HOW = "case when substr(o_orderpriority, 1, 1) in ('1', '2', '5') then 'MANUAL ' else o_orderpriority end as how"
+
+
+@query(f"""
+with o as (select *, {_ASKED}, {_HOW} from orders),
+n as (select o_orderkey, o_custkey % 4 as per, o_orderkey - 100 as total, lower(trim(asked)) = 'category' as grouped, list_filter(list_transform(string_split(o_orderpriority, '-'), lambda x: trim(x)), lambda x: x <> '' and x <> '5') as wanted, lower(trim(how)) = 'manual' as manual, substr(o_orderpriority, 1, 1) = '5' as bare from o)
+select o_orderkey, case when grouped then 'category' else 'none' end as group_by, case when grouped and per > 0 then per end::integer as per_group_target_count, case when total > 0 then total end::integer as total_target_count,
+  case when grouped and manual and not bare then 'manual' else 'auto' end as category_discovery_mode, case when grouped and manual and not bare then array_to_string(wanted, ',') else '' end as requested_categories from n""")
+def grouping_rules(load):
+    """Grouping settings of orders in normal form: those of open orders are cleared, manual ones without categories become auto."""
+    o = load("orders").selectExpr("*", _ASKED, _HOW)
+    bare = F.substring("o_orderpriority", 1, 1) == "5"
+    requested = F.when(bare, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.split("o_orderpriority", "-"))
+    g = outcomes.grouping(F.col("asked"), F.col("how"), (F.col("o_custkey") % 4).cast("string"), (F.col("o_orderkey") - 100).cast("string"), requested, requested)
+    return o.select("o_orderkey", g.alias("g")).select("o_orderkey", "g.group_by", "g.per_group_target_count", "g.total_target_count", "g.category_discovery_mode", F.array_join("g.requested_categories", ",").alias("requested_categories"))
