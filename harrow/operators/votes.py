@@ -119,6 +119,21 @@ def prefers_union(union: Column, current: Column) -> Column:
     return (union >= 0.75) & (union >= current + 0.25)
 
 
+def union_choice(rows: DataFrame, by: list[str], xpath: str, pos: str) -> DataFrame:
+    """by, pattern, current, preferred, main, other: for keys whose paths are two, of two shapes, whether 'a | b' is better than the more frequent one alone.
+
+    The union covers all rows of such a key, so its confidence is 1; that of one path is its share, as it alone has its shape.
+    ``main`` is the path with more support, or else the more stable, or else the earlier one.
+    """
+    once = rows.where(F.trim(xpath) != "").groupBy(*by, xpath).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+    rank, seen = F.struct(-F.col("n"), -xpaths.stability(xpath), "first", xpath), F.struct("first", xpath)
+    two = once.groupBy(*by).agg(
+        F.count("*").alias("paths"), F.count_distinct(xpaths.strip_index(xpath)).alias("shapes"), (F.max("n") / F.sum("n")).alias("current"),
+        F.min_by(xpath, seen).alias("a"), F.max_by(xpath, seen).alias("b"), F.min_by(xpath, rank).alias("main"), F.max_by(xpath, rank).alias("other"),
+    )
+    return two.where("paths = 2 and shapes = 2").select(*by, F.concat_ws(" | ", "a", "b").alias("pattern"), F.round("current", 4).alias("current"), prefers_union(F.lit(1.0), F.col("current")).alias("preferred"), "main", "other")
+
+
 def union_chain(patterns: DataFrame, rows: DataFrame, by: list[str], pattern: str, xpath: str) -> DataFrame:
     """A union's parts by how often the key's paths are that part: the main one and the others."""
     parts = patterns.select(*by, F.posexplode(F.split(pattern, r" \| ")).alias("i", xpath))

@@ -106,6 +106,19 @@ def strategy_consensus(load):
     return votes.by_strategy(rows, ["l_orderkey"], "record", "strategy", "xpath")
 
 
+@query("""
+with p as (select l_orderkey, l_orderkey * 100 + l_linenumber as pos, '/html/body/' || case l_returnflag when 'N' then 'main' else 'aside' end || '/div[' || (l_orderkey % 4 + 1) || ']/a' as x from lineitem where l_discount <> 0.05
+  union all select l_orderkey, l_orderkey * 100 + l_linenumber, ' ' from lineitem where l_discount = 0.05),
+o as (select l_orderkey, x, count(*) as n, min(pos) as first from p where trim(x) <> '' group by all),
+t as (select l_orderkey, count(*) as paths, count(distinct regexp_replace(x, '\\[\\d+\\]', '', 'g')) as shapes, max(n) / sum(n) as current, list(x order by first, x) as seen, list(x order by n desc, first, x) as ranked from o group by 1)
+select l_orderkey, seen[1] || ' | ' || seen[2] as pattern, round(current, 4) as current, 1.0 >= 0.75 and 1.0 >= current + 0.25 as preferred, ranked[1] as main, ranked[2] as other from t where paths = 2 and shapes = 2""")
+def union_preference(load):
+    """Orders whose paths are two: the union where neither is much more frequent."""
+    path = F.concat(F.lit("/html/body/"), F.when(F.col("l_returnflag") == "N", "main").otherwise("aside"), F.lit("/div["), (F.col("l_orderkey") % 4 + 1).cast("string"), F.lit("]/a"))
+    rows = load("lineitem").select("l_orderkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_discount") == 0.05, " ").otherwise(path).alias("x"))
+    return votes.union_choice(rows, ["l_orderkey"], "x", "pos")
+
+
 @query("""
 with f as (select l_linenumber, round(avg((l_returnflag <> 'R')::int), 4) as rate, bool_or(l_linenumber = 1) as required from lineitem group by 1),
 p as (select round(avg(good::int), 4) as page_rate from (select bool_and(l_returnflag <> 'R' or l_linenumber <> 1) as good from lineitem group by l_orderkey))
