@@ -120,11 +120,12 @@ def union_preference(load):
 
 
 @query("""
-with f as (select l_linenumber, round(avg((l_returnflag <> 'R')::int), 4) as rate, bool_or(l_linenumber = 1) as required from lineitem group by 1),
-p as (select round(avg(good::int), 4) as page_rate from (select bool_and(l_returnflag <> 'R' or l_linenumber <> 1) as good from lineitem group by l_orderkey))
-select f.*, rate >= 0.5 as validated, page_rate, page_rate >= 0.5 and (select bool_and(rate >= 0.5 or not required) from f) as accepted from f, p""")
+with l as (select *, round(l_discount * 100) >= l_linenumber as ok from lineitem),
+f as (select l_linenumber, round(avg(ok::int), 4) as rate, bool_or(l_linenumber = 1) as required from l group by 1),
+p as (select round(avg(good::int), 4) as page_rate from (select bool_and(ok or l_linenumber <> 1) as good from l group by l_orderkey))
+select f.*, rate >= 0.8 as validated, page_rate, page_rate >= 0.8 and (select bool_and(rate >= 0.8 or not required) from f) as accepted from f, p""")
 def field_validation(load):
-    return votes.validation(load("lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") != "R", F.col("l_linenumber") == 1, 0.5, 0.5)
+    return votes.validation(load("lineitem"), "l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 100) >= F.col("l_linenumber"), F.col("l_linenumber") == 1)
 
 
 @query()

@@ -109,11 +109,11 @@ def xpath_stat_ranking(load):
 
 
 @query("""
-select o_orderkey, case when o_orderkey % 4 = 1 and o_orderkey % 12 <> 1 then 'late' else o_orderstatus end as o_orderstatus, case when o_orderkey % 4 = 1 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders where o_orderkey % 4 in (0, 1, 2)""")
+select o_orderkey, case when o_orderkey % 2 = 1 and o_orderkey % 12 <> 1 then 'late' else o_orderstatus end as o_orderstatus, case when o_orderkey % 2 = 1 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders""")
 def upsert_last_nonempty(load):
     orders = load("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    known = orders.where("o_orderkey % 4 in (0, 1, 2)")
-    incoming = orders.where("o_orderkey % 4 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 1, "").otherwise("late").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    known = orders.where("o_orderkey % 4 <> 3")  # the others are new
+    incoming = orders.where("o_orderkey % 2 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 1, "").otherwise("late").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
     return merge.upsert(known, incoming, ["o_orderkey"], [F.col("o_totalprice")], keep=("o_orderstatus",))
 
 
@@ -172,10 +172,10 @@ def task_identity(load):
 
 
 @query("""
-select coalesce(h.o_orderkey, c.o_orderkey) as o_orderkey, coalesce(h.place, c.place) as place from (select o_orderkey, 'hot' as place from orders where o_orderstatus = 'F') h full join (select o_orderkey, 'cold' as place from orders where o_orderkey % 2 = 0) c on h.o_orderkey = c.o_orderkey""")
+select coalesce(h.o_orderkey, c.o_orderkey) as o_orderkey, coalesce(h.place, c.place) as place from (select o_orderkey, 'hot' as place from orders where o_orderstatus = 'F') h full join (select o_orderkey, 'cold' as place from orders) c on h.o_orderkey = c.o_orderkey""")
 def hot_cold_overlay(load):
     orders = load("orders")
-    return H.overlay(orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("hot").alias("place")), orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("cold").alias("place")), "o_orderkey")
+    return H.overlay(orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("hot").alias("place")), orders.select("o_orderkey", F.lit("cold").alias("place")), "o_orderkey")
 
 
 @query("""

@@ -32,12 +32,12 @@ def first_per_state(load):
 
 @query("""
 with e as (select user_id, event_id as pos, case when event_id % 5 = 0 then 'runtime_' || user_id || '_' || event_id else event_type end as entry_id, event_id % 3 as phase from events),
-known as (select * from e where pos % 2 = 0 and pos % 5 <> 0), fresh as (select *, row_number() over (partition by user_id, entry_id, phase order by pos) as n from e where pos % 2 = 1)
+known as (select * replace (case when pos % 5 = 0 then '' else entry_id end as entry_id) from e where pos % 2 = 0), fresh as (select *, row_number() over (partition by user_id, entry_id, phase order by pos) as n from e where pos % 2 = 1)
 select user_id, pos, entry_id, phase::varchar as phase from known union all
 select user_id, pos, entry_id, phase::varchar from fresh f where n = 1 and not exists (select 1 from known k where k.user_id = f.user_id and k.entry_id = f.entry_id and k.phase = f.phase)""")
 def journal_merge(load):
     e = load("events").select("user_id", F.col("event_id").alias("pos"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")).alias("entry_id"), (F.col("event_id") % 3).cast("string").alias("phase"), F.lit("a").alias("action"), F.lit("").alias("created_at"))
-    return planning.merge_journal(e.where("pos % 2 = 0 and pos % 5 <> 0"), e.where("pos % 2 = 1"), ["user_id"], "pos").select("user_id", "pos", "entry_id", "phase")
+    return planning.merge_journal(e.where("pos % 2 = 0"), e.where("pos % 2 = 1"), ["user_id"], "pos").select("user_id", "pos", "entry_id", "phase")
 
 
 @query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) where n <= 3")
