@@ -88,19 +88,27 @@ def text_match_prefix(load):
     return both.select("n_nationkey", text.common_prefix("n_name", "r_name").cast("long").alias("shared"), text.prefix_match("n_name", "r_name").alias("matches"))
 
 
-@query("select c_custkey, c_custkey % 3 = 0 as strict from customer")
+_PHRASES = {"english": "In  the", "spanish": "de la", "inner": "nd th"}
+
+
+@query("""
+with t as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as a from documents)
+select doc_id, regexp_matches(a, '(^|[^a-z0-9])in the($|[^a-z0-9])') as english, regexp_matches(a, '(^|[^a-z0-9])de la($|[^a-z0-9])') as spanish, regexp_matches(a, '(^|[^a-z0-9])nd th($|[^a-z0-9])') as "inner" from t""")
 def text_match_strict(load):
-    target = F.when(F.col("c_custkey") % 3 == 0, F.upper("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.concat("c_mktsegment", F.lit("x"))).otherwise(F.substring("c_mktsegment", 1, 3))
-    return load("customer").select("c_custkey", text.strict_match(F.concat(F.lit("the  "), "c_mktsegment", F.lit(", of")), target).alias("strict"))
+    """Phrases at word boundaries in whole documents."""
+    return load("documents").select("doc_id", *[text.strict_match("text", F.lit(p)).alias(n) for n, p in _PHRASES.items()])
 
 
 @query("""
-select page_id, rtrim('https://h.org/a/' || page_id, '') as a, 'https://h.org/x/' || page_id as b, 'https://h.org/a/y?k=1' as c, 'https://o.org/z' as d, 'https://h.org/q' as e from pages""")
+with p as (select page_id, url, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) as root, regexp_replace(url, '#.*$', '') as bare, regexp_extract(html, '<a href="([^"]*)"', 1) as href from pages),
+q as (select *, regexp_replace(regexp_extract(bare, '^[a-z]+://[^/?#]*([^?]*)', 1), '[^/]*$', '') as folder from p)
+select page_id, root || href as a, root || case when folder = '' then '/' else folder end || page_id || '.html' as b, regexp_replace(bare, '\\?.*$', '') || '?k=' || page_id as c, scheme || '://o.org' || href as d,
+  root || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || 'up' as e, bare || '#f' as f from q""")
 def url_join(load):
-    base = F.lit("https://h.org/a/b?p=2#f")
-    j = lambda h: urls.join(base, h)
-    pid = F.col("page_id").cast("string")
-    return load("pages").select("page_id", j(pid).alias("a"), j(F.concat(F.lit("/x/"), pid)).alias("b"), j(F.lit("./y?k=1")).alias("c"), j(F.lit("//o.org/z")).alias("d"), j(F.lit("../q")).alias("e"))
+    """Links of pages against the pages' own addresses."""
+    href, pid = F.regexp_extract("html", '<a href="([^"]*)"', 1), F.col("page_id").cast("string")
+    found = {"a": href, "b": F.concat(pid, F.lit(".html")), "c": F.concat(F.lit("?k="), pid), "d": F.concat(F.lit("//o.org"), href), "e": F.lit("../up"), "f": F.lit(" #f ")}
+    return load("pages").select("page_id", *[urls.join("url", h).alias(n) for n, h in found.items()])
 
 
 @query("""

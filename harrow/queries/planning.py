@@ -196,17 +196,20 @@ def small_values(load):
 
 
 @query("""
-with t as (select o_orderkey as ticket_id, o_orderkey % 4 as attempts from orders)
-select ticket_id, case when attempts < 3 then 'queued' else 'failed' end as status, attempts from t""")
+with t as (select o_custkey as ticket_id, count(*) filter (o_orderstatus = 'F') as attempts from orders group by 1)
+select ticket_id, case when attempts < 8 then 'queued' else 'failed' end as status, attempts from t""")
 def retry_or_fail(load):
-    rows = load("orders").select(F.col("o_orderkey").alias("ticket_id"), (F.col("o_orderkey") % 4).alias("attempts"))
-    return rows.select("ticket_id", dispatch.after_failure(F.col("attempts"), F.lit(3)).alias("status"), "attempts")
+    """Customers as tickets, their finished orders as attempts."""
+    rows = load("orders").groupBy(F.col("o_custkey").alias("ticket_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("attempts"))
+    return rows.select("ticket_id", dispatch.after_failure(F.col("attempts"), F.lit(8)).alias("status"), "attempts")
 
 
-@query("select o_orderkey, o_orderstatus in ('F', 'O') as done from orders")
+@query("""
+select l_orderkey, count(*) filter (l_linestatus = 'F') + count(*) filter (l_linestatus = 'O' and l_returnflag = 'R') >= count(*) as done from lineitem group by 1""")
 def saga_done(load):
-    s = F.col("o_orderstatus")
-    return load("orders").select("o_orderkey", rollup.saga(F.when(s == "F", 3).otherwise(1), F.when(s == "O", 2).otherwise(0), F.lit(3)).alias("done"))
+    """Orders as sagas of their lines."""
+    n = load("lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("completed"), F.count_if((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).alias("failed"), F.count("*").alias("total"))
+    return n.select("l_orderkey", rollup.saga(F.col("completed"), F.col("failed"), F.col("total")).alias("done"))
 
 
 @query("""
