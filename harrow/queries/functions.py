@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import outcomes, signatures, text, urls, xpaths
-from .registry import query
+from .registry import ORACLES, query
 
 _NETLOC = "lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1))"
 _PATH = "coalesce(nullif(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', ''), ''), '/')"
@@ -121,3 +121,30 @@ def grouping_rules(load):
     requested = F.when(bare, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.split("o_orderpriority", "-"))
     g = outcomes.grouping(F.col("asked"), F.col("how"), (F.col("o_custkey") % 4).cast("string"), (F.col("o_orderkey") - 100).cast("string"), requested, requested)
     return o.select("o_orderkey", g.alias("g")).select("o_orderkey", "g.group_by", "g.per_group_target_count", "g.total_target_count", "g.category_discovery_mode", F.array_join("g.requested_categories", ",").alias("requested_categories"))
+
+
+@query("""
+select page_id, case when regexp_matches(url, '[?&]page=') then regexp_replace(url, '([?&]page=)[^&#]*', '\\1' || page_id) else url end as renumbered from pages""")
+def page_numbers(load):
+    """Addresses of pages with their page parameter set to another number."""
+    return load("pages").select("page_id", urls.with_page("url", F.col("page_id")).alias("renumbered"))
+
+
+@query(f"""
+select n.page_id, n.normalized as normalized_url, trim(regexp_extract(p.html, '<html lang="([^"]*)"', 1)) as page_state_signature, coalesce(nullif(trim(regexp_extract(p.html, '<a href="([^"]*)"', 1)), '/the'), '') as anchor_url, '' as variant_label
+from ({ORACLES["url_normalize"]}) n join pages p on p.page_id = n.page_id""")
+def lookup_keys(load):
+    """The identity of each page: normal address, state, anchor and variant, blank where there is none."""
+    anchor = F.nullif(F.concat(F.lit(" "), F.regexp_extract("html", '<a href="([^"]*)"', 1)), F.lit(" /the"))
+    key = urls.lookup_key(F.col("url"), F.regexp_extract("html", '<html lang="([^"]*)"', 1), anchor, F.lit(None).cast("string"))
+    return load("pages").select("page_id", key.alias("k")).select("page_id", "k.*")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_linestatus = 'F' and l_returnflag <> 'N' and l_shipmode not in ('AIR', 'RAIL') as reliable from (select *, case l_linenumber % 4 when 0 then 'AIR' when 1 then 'RAIL' else 'SHIP' end as l_shipmode from lineitem)""")
+def reliable_lines(load):
+    """Lines as results: completed, durable, and neither empty nor expanded."""
+    execution = F.when(F.col("l_linestatus") == "F", " Completed").otherwise("running")
+    durability = F.when(F.col("l_returnflag") != "N", "DURABLE").otherwise("staged")
+    outcome = F.when(F.col("l_linenumber") % 4 == 0, "no_data ").when(F.col("l_linenumber") % 4 == 1, "expanded").otherwise("success")
+    return load("lineitem").select("l_orderkey", "l_linenumber", outcomes.reliable(execution, durability, outcome).alias("reliable"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, lookups
+from ..operators import dispatch, evaluate, lookups
 from ..plans import tree
 from .registry import query
 
@@ -141,3 +141,20 @@ with n as (select l_orderkey, count(*) filter (l_returnflag = 'R') as a, min(l_l
 select l_orderkey, case when a = 1 then 'tier_0' when a > 1 then 'ambiguous' when b = 1 then 'tier_1' when b > 1 then 'ambiguous' else 'not_found' end as status, case when a = 1 then x when a = 0 and b = 1 then y end as l_linenumber from n""")
 def mark_resolution(load):
     return lookups.unique_tier(load("lineitem"), "l_orderkey", [F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"], "l_linenumber")
+
+
+@query("select event_id, ts from events order by ts desc, event_id desc limit 1000")
+def trimmed_stream(load):
+    """The newest thousand events, as a trimmed stream keeps them."""
+    return dispatch.trim(load("events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 1000)
+
+
+@query("""
+select c_custkey, case when c_acctbal > 0 then c_name else c_mktsegment end as url, coalesce(n, 0) as links, case when coalesce(n, 0) = 0 then 'list_page' else 'category' end as page_type
+from customer left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey""")
+def page_models(load):
+    """Customers as nodes of a plan, their orders as subtasks."""
+    orders = load("orders").select(F.col("o_custkey").alias("c_custkey"))
+    has = orders.distinct().withColumn("has", F.lit(True))
+    nodes = load("customer").join(has, "c_custkey", "left").withColumn("own", F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise(" "))
+    return tree.page_models(nodes, orders, "c_custkey", F.col("has").isNull(), "own", "c_mktsegment")
