@@ -47,15 +47,20 @@ def align(actual: DataFrame, expected: DataFrame, key: str, pos: str) -> DataFra
     Keys are trimmed; the first expected row of a key counts; each matches the first actual row of it; rows without a key and further actual rows stay unmatched.
     """
 
-    def numbered(rows: DataFrame, name: str) -> DataFrame:
-        k = F.nullif(_value(F.col(key)), F.lit(""))
-        whole = rows.select(k.alias("key"), F.struct(*rows.columns).alias(name), F.col(pos).alias("p"))
-        return whole.withColumn("n", F.when(F.col("key").isNotNull(), F.row_number().over(Window.partitionBy("key").orderBy("p"))))
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.nullif(_value(F.col(key)), F.lit("")).alias("key"), F.struct(*rows.columns).alias(name), F.col(pos).alias("p"))
 
-    a, e = numbered(actual, "a"), numbered(expected, "e").where("n = 1")
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.where("key is not null").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("p")))
+
+    found = named(actual, "a")
+    a, e = numbered(found), numbered(named(expected, "e")).where("n = 1")
     both = a.join(e.select("key", "e", F.lit(1).alias("n")), ["key", "n"], "full_outer")
     status = F.when(F.col("a").isNull(), "unmatched_expected").when(F.col("e").isNull(), "unmatched_actual").otherwise("matched")
-    return both.select(status.alias("status"), "key", "a", "e")
+    both = both.select(status.alias("status"), "key", "a", "e")
+    # Rows without a key go past the window and the join, where they would meet in one task.
+    bare = found.where("key is null").select(F.lit("unmatched_actual").alias("status"), "key", "a")
+    return both.unionByName(bare, allowMissingColumns=True)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
