@@ -119,7 +119,7 @@ def execution_ids(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
 
 
 def merged(rows: DataFrame, by: list[str], order: str, payload: str) -> DataFrame:
-    """by, text: a key's payloads merged in ``order`` (without ties in a key), the later one over the earlier at every depth.
+    """by, text: a key's payloads merged in ``order`` (without ties in a key), the later one over the earlier at every depth; arrays as Spark writes them.
 
     Objects are merged name by name; any other value, arrays too, takes the place of what stood there, and an object
     that of another value. What is no JSON object counts as an empty one. Leaves are settled by key and path, so a

@@ -93,7 +93,9 @@ def test_merged(spark):
     for _, k, t in sorted(rows):
         v = parsed(t)
         want[k] = merge(want.get(k, {}), v if isinstance(v, dict) else {})
-    assert got == {k: json.dumps(v, ensure_ascii=False, sort_keys=True) for k, v in want.items()}
+    assert {k: json.loads(t) for k, t in got.items()} == want
+    whole = spark.createDataFrame(list(got.items()), "k long, p string")  # written once more, arrays too are in canonical form
+    assert {r.k: r.text for r in payloads.canonical(whole, ["k"], "p").collect()} == {k: json.dumps(v, ensure_ascii=False, sort_keys=True) for k, v in want.items()}
 
 
 def test_depth_and_empty(spark):
