@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c, positive_int, string_list
+from .text import c, normalise, positive_int, string_list
 
 # Texts by which a failure is told, in the order in which they are tried.
 FAILURE_HINTS = {
@@ -133,6 +133,23 @@ def backtracks(current: Column, candidate: Column) -> Column:
     return (n > 0) & ((F.slice(current, 1, F.greatest(n, F.lit(1))) == candidate) | ((n == 1) & F.array_contains(current, F.get(candidate, F.lit(0)))))
 
 
+def category_cycle(current_url: Column, child_url: Column, current: Column, child: Column) -> Column:
+    """The child stays on the same page, its category path is longer than the current one, and its last label lies on that already."""
+    named = lambda path: F.filter(F.transform(F.coalesce(path, F.array().cast("array<string>")), normalise), lambda p: p != "")
+    own, below = named(current), named(child)
+    same = F.trim(F.coalesce(current_url, F.lit(""))) == F.trim(F.coalesce(child_url, F.lit("")))
+    return same & (F.size(own) > 0) & (F.size(below) > F.size(own)) & F.coalesce(F.array_contains(own, F.try_element_at(below, F.lit(-1))), F.lit(False))
+
+
+def context_like(name: Column, description: Column, aliases: list[str], markers: list[str]) -> Column:
+    """A field that repeats its context: its name is an alias, or its description holds a marker; case, white space and underscores don't count."""
+    key = lambda x: F.replace(F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")), F.lit("_"), F.lit(""))
+    found = key(name).isin(*aliases)
+    for m in markers:
+        found |= F.contains(key(description), F.lit(m))
+    return found
+
+
 def rate_limited(text: Column | str, url: Column | str) -> Column:
     return _low(text).rlike("too many requests|rate limit|访问频繁|请求过于频繁") | _low(url).rlike("429|ratelimit|too-many")
 

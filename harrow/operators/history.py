@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.states import iso
 from ..functions.text import is_blank
 
 
@@ -34,6 +35,21 @@ def recent_then_reusable(tasks: DataFrame, runs: DataFrame, task: str, updated:
     return latest_reusable(tasks.orderBy(F.col(updated).desc(), F.col(task)).limit(limit), runs, task, started, run, state, reusable)
 
 
+def projected(rows: DataFrame, **columns: Column | str) -> DataFrame:
+    """The named columns as a registry lists them: '' for null texts, ISO texts of times, 0 for null whole numbers, empty arrays and maps for null ones."""
+    named = rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+    def shown(name: str, kind: str) -> Column:
+        if kind in ("timestamp", "timestamp_ntz", "date"):
+            return iso(F.col(name).cast("timestamp") if kind == "date" else name)
+        empty = {"string": F.lit(""), "int": F.lit(0), "bigint": F.lit(0)}.get(kind)
+        if kind.startswith("array") or kind.startswith("map"):
+            empty = (F.array() if kind.startswith("array") else F.create_map()).cast(kind)
+        return F.col(name) if empty is None else F.coalesce(name, empty.cast(kind))
+
+    return named.select(*[shown(n, k).alias(n) for n, k in named.dtypes])
+
+
 def detail(runs: DataFrame, items: DataFrame, failures: DataFrame, run: str, order: str) -> DataFrame:
     """A row a run with its items and validation failures nested."""
     nest = lambda rows, into: rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c not in (run, order)]))).alias(into))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import outcomes, signatures, text, urls, xpaths
@@ -148,3 +149,23 @@ def reliable_lines(load):
     durability = F.when(F.col("l_returnflag") != "N", "DURABLE").otherwise("staged")
     outcome = F.when(F.col("l_linenumber") % 4 == 0, "no_data ").when(F.col("l_linenumber") % 4 == 1, "expanded").otherwise("success")
     return load("lineitem").select("l_orderkey", "l_linenumber", outcomes.reliable(execution, durability, outcome).alias("reliable"))
+
+
+@query("""
+with e as (select event_id, event_type, floor(value / 50)::bigint as page, lag(floor(value / 50)::bigint) over w as before, list_filter([lag(event_type, 2) over w, lag(event_type) over w], lambda x: x is not null) as own from events window w as (partition by user_id order by event_id))
+select event_id, coalesce(page = before, false) and len(own) > 0 and list_contains(own, event_type) as cycle from e""")
+def category_cycles(load):
+    """Events that stay on a page and repeat one of a user's last two kinds, as category paths."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    own = F.filter(F.array(F.lag("event_type", 2).over(w), F.lag("event_type").over(w)), lambda x: x.isNotNull())
+    e = load("events").withColumns({"own": own, "page": F.floor(F.col("value") / 50).cast("string")}).withColumn("before", F.lag("page").over(w))
+    cycle = outcomes.category_cycle(F.col("before"), F.concat(F.lit(" "), "page"), F.col("own"), F.array_append("own", F.upper("event_type")))
+    return e.select("event_id", cycle.alias("cycle"))
+
+
+@query("""
+select p_partkey, replace(lower(p_brand), '#', '') in ('brand1', 'brand23') or contains(lower(p_type), 'brass') as context from part""")
+def context_fields(load):
+    """Parts as fields: those whose brand is an alias or whose type holds a marker."""
+    name = F.concat(F.lit(" "), F.regexp_replace("p_brand", "#", "_ "))
+    return load("part").select("p_partkey", outcomes.context_like(name, F.col("p_type"), ["brand1", "brand23"], ["brass"]).alias("context"))

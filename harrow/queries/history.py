@@ -186,3 +186,15 @@ def set_ops(load):
     parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "union_all": a.union(b)}
     tagged = [rows.select(F.lit(op).alias("op"), "k") for op, rows in parts.items()]
     return tagged[0].union(tagged[1]).union(tagged[2]).union(tagged[3])
+
+
+@query("""
+select c_custkey as registry_id, c_name as original_url, coalesce(nullif(c_mktsegment, 'BUILDING'), '') as anchor_url, coalesce(o_orderstatus, '') as status, coalesce(o_orderkey, 0) as execution_id, coalesce(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '') as updated_at, array_to_string([c_name, c_mktsegment], ',') as fields
+from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders where o_orderstatus = 'F') on c_custkey = o_custkey and n = 1""")
+def registry_projection(load):
+    """Customers as registry entries with their newest finished order, blanks where there is none."""
+    tasks = load("customer").withColumnRenamed("c_custkey", "o_custkey")
+    runs = H.latest_reusable(tasks.select("o_custkey"), load("orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "F")
+    both = tasks.join(runs, "o_custkey", "left")
+    out = H.projected(both, registry_id="o_custkey", original_url="c_name", anchor_url=F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), status="o_orderstatus", execution_id="o_orderkey", updated_at="o_orderdate", fields=F.array("c_name", "c_mktsegment"))
+    return out.withColumn("fields", F.array_join("fields", ","))
