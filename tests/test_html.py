@@ -1,7 +1,9 @@
 """The HTML queries on a small page, with rows read off the page by hand."""
 
+import pyarrow as pa
 import pytest
 
+from harrow.operators import pages
 from harrow.queries import QUERIES
 
 HTML = (
@@ -44,3 +46,13 @@ def test_html_query(spark, tmp_path, name):
         assert all(0.7 <= r[4] <= 1 for r in got)
         got = [r[:4] for r in got]
     assert got == WANT[name]
+
+
+def test_batches_of_nodes_are_bounded():
+    html = "<ul>" + "<li class='x'><a href='/u'>t</a></li>" * 300 + "</ul>"
+    given = pa.RecordBatch.from_pydict({"k": list(range(100)), "html": [html] * 99 + [None]})
+    made = list(pages._parser(pages._ARROW, None)(iter([given])))
+    assert sum(b.num_rows for b in made) == 99 * 601 and max(b.num_rows for b in made) <= pages.MOST_NODES
+    assert [made[-1].column(0)[-1].as_py(), made[-1].column(1)[-1].as_py()] == [98, 600]
+    deep = pa.RecordBatch.from_pydict({"k": [1], "html": ["<div>" * 2000]})  # paths of 12 kB: 24 MB in all
+    assert len(list(pages._parser(pages._ARROW, None)(iter([deep])))) >= 5
