@@ -1,10 +1,12 @@
 """The HTML queries on a small page, with rows read off the page by hand."""
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from harrow.operators import pages
-from harrow.queries import QUERIES
+from harrow.queries import ORACLES, QUERIES
+from scripts.compare import compare
 
 HTML = (
     '<html><body><div id="main" class="box active"><p>the</p><p> The </p><a href="/item?id=1">one</a><a href="">none</a></div>'
@@ -48,6 +50,25 @@ def test_html_query(spark, tmp_path, name):
     assert got == WANT[name]
 
 
+def test_references_without_semicolon(spark):
+    html = "<title>a &amp;&amp; b&amp</title><p>&lt;x&gt &notit; &quot; &#65; &#66 & c</p>"
+    df = spark.createDataFrame([(1, html)], "page long, html string")
+    text = lambda *names: {r.tag: r.text for r in pages.nodes(df, "page", "html", *names).collect()}
+    assert text(("amp",)) == {"title": "a && b&amp", "p": "&lt;x&gt &notit; &quot; &#65; &#66 & c"}
+    assert text(("amp", "lt")) == {"title": "a && b&amp", "p": "<x&gt &notit; &quot; &#65; &#66 & c"}
+    assert text() == {"title": "a && b&", "p": '<x> ¬it; " A B & c'}
+
+
+def test_cut_reference_in_a_title(spark, tmp_path):
+    html = '<html><head><title>Fish &amp; chips &quot;x&quot; &amp</title></head><body><nav><ul></ul></nav><div class="ad">x</div><article><h1>Fish &amp; chips &quot;x&quot; &amp</h1></article></body></html>'
+    spark.createDataFrame([(1, "https://example.com", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("path_values",):
+        said = compare(spark, db, name, QUERIES[name], ORACLES[name], str(tmp_path))
+        assert f"{name}: equal" in said, said
+
+
 def test_batches_of_nodes_are_bounded():
     html = "<ul>" + "<li class='x'><a href='/u'>t</a></li>" * 300 + "</ul>"
     given = pa.RecordBatch.from_pydict({"k": list(range(100)), "html": [html] * 99 + [None]})
