@@ -64,7 +64,7 @@ def test_cut_reference_in_a_title(spark, tmp_path):
     spark.createDataFrame([(1, "https://example.com", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     db = duckdb.connect()
     db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("path_values",):
+    for name in ("path_values", "path_verification"):
         said = compare(spark, db, name, QUERIES[name], ORACLES[name], str(tmp_path))
         assert f"{name}: equal" in said, said
 
