@@ -1,12 +1,14 @@
 """Nested JSON as tables of paths and values: search by level, merge, and one canonical text.
 
-A payload is parsed once as a VARIANT and opened one level at a time, every value staying beside
-those in it; how many levels there are is read off the brackets of the texts beforehand.
+A payload is parsed once as a VARIANT and opened one level at a time; how many levels there are is read off the
+brackets of the texts beforehand. What concerns one payload alone (its leaves, its canonical text) is done within its row, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Where a payload keeps its usage, in this order, and the names of its numbers.
@@ -29,7 +31,8 @@ def depth(text: Column) -> Column:
     return open_["most"]
 
 
-def _deepest(rows: DataFrame, payload: str) -> int:
+def deepest(rows: DataFrame, payload: str) -> int:
+    """The greatest depth of all payloads: one pass over them."""
     return rows.agg(F.max(depth(F.col(payload)))).first()[0] or 0
 
 
@@ -52,7 +55,7 @@ def values(rows: DataFrame, keys: list[str], payload: str, arrays: bool = True)
         return F.struct(F.coalesce(value, null).alias("value"), F.array_append(F.col("path"), step).alias("path"), F.lit(True).alias("fresh"))
 
     no = F.lit(None)
-    for _ in range(_deepest(rows, payload)):
+    for _ in range(deepest(rows, payload)):
         own = F.array(F.struct("value", "path", F.lit(False).alias("fresh")))
         opened = F.transform(F.map_entries(_entries("value")), lambda e: inner(e["value"], e["key"], no))
         if arrays:
@@ -85,32 +88,75 @@ def token_usage(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return first.select(*keys, *[F.greatest(F.coalesce(f"u.{n}", F.lit(0)), F.lit(0)).alias(f"{n}_tokens") for n in ("prompt", "completion", "total")])
 
 
-def leaves(rows: DataFrame, keys: list[str], payload: str, arrays: bool = True) -> DataFrame:
-    """keys, path, text (JSON) of every value that holds no other: numbers, texts, true, false, null, empty arrays and objects. Without ``arrays`` an array counts as one value."""
-    text = F.to_json("value")
-    inner = (_entries("value").isNotNull() & (text != "{}")) | (F.lit(arrays) & _elements("value").isNotNull() & (text != "[]"))
-    return values(rows, keys, payload, arrays).where(~inner).select(*keys, "path", F.when(F.is_variant_null("value"), F.lit("null")).otherwise(text).alias("text"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _leaves(value: Column, levels: int, arrays: bool = True) -> Column:
+    """array<struct<path, text>> of the values in a VARIANT that hold no other, in their order."""
+    null, no = F.parse_json(F.lit("null")), F.lit(None)
+
+    def inner(v: Column, x: Column, name: Column, at: Column) -> Column:
+        step = F.struct(name.cast("string").alias("name"), at.cast("int").alias("at"))
+        return F.struct(F.coalesce(x, null).alias("value"), F.array_append(v["path"], step).alias("path"), F.lit(True).alias("fresh"))
+
+    def opened(v: Column) -> Column:
+        named = _let(F.map_entries(_entries(v["value"])), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x: inner(v, x["value"], x["key"], no))))
+        placed = _let(_elements(v["value"]), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x, i: inner(v, x, no, i))))
+        own = F.array(F.struct(v["value"].alias("value"), v["path"].alias("path"), F.lit(False).alias("fresh")))
+        return F.when(v["fresh"], F.coalesce(named, *([placed] if arrays else []), own)).otherwise(own)
+
+    found = F.array(F.struct(value.alias("value"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(True).alias("fresh")))
+    for _ in range(levels):
+        found = F.flatten(F.transform(found, opened))
+    text = lambda v: F.when(F.is_variant_null(v), F.lit("null")).otherwise(F.to_json(v))
+    return F.transform(found, lambda v: F.struct(v["path"].alias("path"), text(v["value"]).alias("text")))
+
+
+def leaves(rows: DataFrame, keys: list[str], payload: str, arrays: bool = True, levels: int | None = None) -> DataFrame:
+    """keys, path, text (JSON) of every value that holds no other: numbers, texts, true, false, null, empty arrays and objects. Without ``arrays`` an array counts as one value.
+
+    ``levels``: no payload is deeper; counted if not given.
+    """
+    levels = deepest(rows, payload) if levels is None else levels
+    parsed = rows.select(*keys, F.try_parse_json(payload).alias("__v")).where("__v is not null")
+    return parsed.select(*keys, F.explode(_leaves(F.col("__v"), levels, arrays)).alias("__l")).select(*keys, "__l.*")
+
+
+def _written(found: Column) -> Column:
+    """The JSON of leaves sorted by path, none below another: names in code point order at every depth, ", " and ": " between.
+
+    What stands between two leaves follows from their paths: the ends of all that only the first lies in, and the beginnings of all that only the second does.
+    """
 
+    def label(step: Column) -> Column:
+        quoted = F.to_json(F.struct(step["name"].alias("n")))
+        quoted = F.when(step["name"].rlike("^[A-Za-z0-9_ -]*$"), F.concat(F.lit('"'), step["name"], F.lit('"'))).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
+        return F.when(step["name"].isNotNull(), F.concat(quoted, F.lit(": "))).otherwise("")
 
-def folded(found: DataFrame, keys: list[str], deepest: int) -> DataFrame:
-    """keys, text: the JSON of each key's leaves, names in code point order at every depth, ", " and ": " between; innermost containers first."""
-    quoted = F.to_json(F.struct(F.col("last.name").alias("n")))
-    quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
-    for size in range(deepest, 0, -1):
-        # What lies deepest meets in its container; all else stays as it is.
-        last = F.when(F.size("path") == size, F.try_element_at("path", F.lit(-1)))
-        up = F.when(F.size("path") == size, F.slice("path", 1, size - 1)).otherwise(F.col("path"))
-        of = found.select(*keys, "text", last.alias("last"), up.alias("path"))
-        entry = F.struct("last.name", "last.at", F.when(F.col("last.name").isNull(), F.col("text")).otherwise(F.concat(quoted, F.lit(": "), F.col("text"))).alias("entry"))
-        joined = of.groupBy(*keys, "path").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.max("last.name").alias("name"), F.max("last.at").alias("at"))
-        body = F.array_join(F.transform("e", lambda x: x["entry"]), ", ")
-        found = joined.select(*keys, "path", F.when(F.col("at").isNotNull(), F.concat(F.lit("["), body, F.lit("]"))).when(F.col("name").isNotNull(), F.concat(F.lit("{"), body, F.lit("}"))).otherwise(body).alias("text"))
-    return found.select(*keys, "text")
+    def begin(path: Column, first: Column) -> Column:
+        steps = F.slice(path, first, F.size(path))
+        return F.array_join(F.transform(steps, lambda s: F.concat(F.when(s["name"].isNull(), F.lit("[")).otherwise("{"), label(s))), "")
+
+    def end(path: Column, first: Column) -> Column:
+        return F.reverse(F.array_join(F.transform(F.slice(path, first, F.size(path)), lambda s: F.when(s["name"].isNull(), F.lit("]")).otherwise("}")), ""))
+
+    def between(before: Column, path: Column) -> Column:
+        differ = F.array_position(F.zip_with(before, path, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        return _let(differ, lambda n: F.concat(end(before, n + 1), F.lit(", "), label(F.get(path, n - 1)), begin(path, n + 1)))
+
+    def text(found: Column) -> Column:
+        pieces = F.transform(found, lambda x, i: F.concat(F.when(i == 0, begin(x["path"], F.lit(1))).otherwise(between(F.get(found, i - 1)["path"], x["path"])), x["text"]))
+        return F.concat(F.array_join(pieces, ""), end(F.get(found, F.size(found) - 1)["path"], F.lit(1)))
+
+    return _let(found, text)
 
 
 def canonical(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
-    """keys, text: the payload with sorted names at every depth. ``keys`` must tell rows apart; texts that are no JSON are left out."""
-    return folded(leaves(rows, keys, payload), keys, _deepest(rows, payload))
+    """keys, text: the payload with sorted names at every depth; texts that are no JSON are left out. Each row by itself."""
+    parsed = rows.select(*keys, F.try_parse_json(payload).alias("__v")).where("__v is not null")
+    return parsed.select(*keys, _written(F.sort_array(_leaves(F.col("__v"), deepest(rows, payload)))).alias("text"))
 
 
 def execution_ids(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
@@ -118,25 +164,44 @@ def execution_ids(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return canonical(rows, keys, payload).select(*keys, F.substring(F.sha1("text"), 1, 16).alias("execution_id"))
 
 
+def _settled(rows: DataFrame, by: list[str], order: str, payload: str, levels: int) -> DataFrame:
+    """by, found: the leaves of each key's merged payload, sorted by path.
+
+    Leaves are aggregated by key and path first, so only what is different in a key's log meets. A leaf goes if a later value stands at
+    its path or above it, or, where it is no object, if later leaves lie below it: both are seen in one window for each depth, all of which run over one sort.
+    """
+    parsed = rows.select(*by, order, F.try_parse_json(payload).alias("__v"))
+    objects = parsed.withColumn("__v", F.when(_entries("__v").isNotNull(), F.col("__v")).otherwise(F.parse_json(F.lit("{}"))))
+    found = objects.select(*by, order, F.explode(_leaves(F.col("__v"), levels, arrays=False)).alias("__l")).select(*by, order, "__l.*")
+    plain = F.col("text") != "{}"
+    at = found.groupBy(*by, "path").agg(F.max(order).alias("last"), F.max_by("text", order).alias("text"), F.max(F.when(plain, F.col(order))).alias("plain"))
+    steps = [f"__p{n}" for n in range(levels)]
+    at = at.repartition(*by).select("*", F.size("path").alias("size"), *[F.get("path", F.lit(n)).alias(p) for n, p in enumerate(steps)])
+    over, under = [F.lit(None)], [F.lit(None)]
+    for n in reversed(range(levels)):
+        w = Window.partitionBy(*by, *steps[:n])
+        at = at.withColumns({f"__o{n}": F.max(F.when(F.col("size") == n, F.col("plain"))).over(w), f"__u{n}": F.max(F.when(F.col("size") > n, F.col("last"))).over(w)})
+        over.append(F.when(F.col("size") > n, F.col(f"__o{n}")))
+        under.append(F.when(F.col("size") == n, F.col(f"__u{n}")))
+    above, below = F.greatest(*over, F.lit(None)), F.coalesce(*under)
+    kept = at.where((above.isNull() | (above < F.col("last"))) & (~plain | below.isNull() | (below < F.col("last"))))
+    # An empty object is there by itself only where nothing lies in it: what does follows at once.
+    full = lambda x, y: (x["text"] == "{}") & F.coalesce(F.slice(y["path"], 1, F.size(x["path"])) == x["path"], F.lit(False))
+    all_ = F.sort_array(F.collect_list(F.struct("path", "text")))
+    return kept.groupBy(*by).agg(_let(all_, lambda s: F.filter(s, lambda x, i: ~full(x, F.get(s, i + 1)))).alias("found"))
+
+
 def merged(rows: DataFrame, by: list[str], order: str, payload: str) -> DataFrame:
     """by, text: a key's payloads merged in ``order`` (without ties in a key), the later one over the earlier at every depth; arrays as Spark writes them.
 
     Objects are merged name by name; any other value, arrays too, takes the place of what stood there, and an object
-    that of another value. What is no JSON object counts as an empty one. Leaves are settled by key and path, so a
-    key's log is never in one place: a leaf goes if a later value stands at its path or above it, or, where it is no object, if later leaves lie below it.
+    that of another value. What is no JSON object counts as an empty one.
     """
-    parsed = rows.select(*by, order, F.col(payload).alias("payload"), F.try_parse_json(payload).alias("__v"))
-    objects = parsed.select(*by, order, F.when(_entries("__v").isNotNull(), F.col("payload")).otherwise("{}").alias("payload"))
-    found = leaves(objects, [*by, order], "payload", arrays=False)
-    plain = F.col("text") != "{}"
-    at = found.groupBy(*by, "path").agg(F.max(order).alias("last"), F.max_by("text", order).alias("text"), F.max(F.when(plain, F.col(order))).alias("plain"))
-    above = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    parts = at.where(F.size("path") > 0).select(*by, F.col("path").alias("leaf"), "last", F.explode(above).alias("path"))
-    under = parts.groupBy(*by, "path").agg(F.max("last").alias("under"))
-    over = parts.join(at.select(*by, "path", "plain").where("plain is not null"), [*by, "path"]).groupBy(*by, F.col("leaf").alias("path")).agg(F.max("plain").alias("over"))
-    kept = at.join(under, [*by, "path"], "left").join(over, [*by, "path"], "left")
-    kept = kept.where((F.col("over").isNull() | (F.col("over") < F.col("last"))) & (~plain | F.col("under").isNull() | (F.col("under") < F.col("last"))))
-    # An empty object is there by itself only where nothing lies in it.
-    full = kept.where(F.size("path") > 0).select(*by, F.explode(above).alias("path")).distinct()
-    kept = kept.join(full, [*by, "path"], "left_anti")
-    return folded(kept.select(*by, "path", "text"), by, _deepest(objects, "payload"))
+    return _settled(rows, by, order, payload, deepest(rows, payload)).select(*by, _written(F.col("found")).alias("text"))
+
+
+def merged_leaves(rows: DataFrame, by: list[str], order: str, payload: str) -> DataFrame:
+    """by, path, text of the leaves of each key's merged payload, those in arrays too."""
+    levels = deepest(rows, payload)
+    found = _settled(rows, by, order, payload, levels).select(*by, F.explode("found").alias("__l")).select(*by, F.col("__l.path").alias("__above"), "__l.text")
+    return leaves(found, [*by, "__above"], "text", levels=levels).select(*by, F.concat("__above", "path").alias("path"), "text")

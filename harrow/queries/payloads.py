@@ -35,9 +35,9 @@ select user_id, t.fullkey as path, t.value::varchar as value from m, json_tree(m
 def merged_states(load):
     """Each user's states merged at every depth, as paths and values."""
     e = load("events").select("user_id", "event_id", "event_type", "props", F.floor("value").alias("v"))
-    whole = payloads.merged(e.select("user_id", "event_id", F.expr(_STATE).alias("payload")), ["user_id"], "event_id", "payload")
+    found = payloads.merged_leaves(e.select("user_id", "event_id", F.expr(_STATE).alias("payload")), ["user_id"], "event_id", "payload")
     path = F.concat(F.lit("$"), F.array_join(F.transform("path", lambda s: F.coalesce(F.concat(F.lit("."), s["name"]), F.concat(F.lit("["), s["at"].cast("string"), F.lit("]")))), ""))
-    return payloads.leaves(whole, ["user_id"], "text").select("user_id", path.alias("path"), F.col("text").alias("value"))
+    return found.select("user_id", path.alias("path"), F.col("text").alias("value"))
 
 
 @query("""

@@ -103,3 +103,24 @@ def test_depth_and_empty(spark):
     assert [r.d for r in df.select(payloads.depth(F.col("p")).alias("d")).collect()] == [3, 0, 0, None]
     none = spark.createDataFrame([], "id long, at long, p string")
     assert payloads.canonical(none, ["id"], "p").count() == payloads.token_usage(none, ["id"], "p").count() == payloads.merged(none, ["id"], "at", "p").count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_shuffle_for_one_payload(spark):
+    df = spark.createDataFrame([(1, '{"b": [1, {"a": null}], "a": {}}'), (1, '{"b": 1.50, "a\\"c": "x"}'), (None, "[[], [2]]")], "id long, p string")
+    found = payloads.canonical(df, ["id"], "p")
+    assert "Exchange" not in plan(found) and "Exchange" not in plan(payloads.execution_ids(df, ["id"], "p"))
+    assert sorted(r.text for r in found.collect()) == ["[[], [2]]", '{"a": {}, "b": [1, {"a": null}]}', '{"a\\"c": "x", "b": 1.5}']  # also where the key is not unique
+
+
+def test_merged_leaves(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(25), t) for i, t in enumerate(texts(rng, 240))]
+    df = spark.createDataFrame(rows, "at long, k long, p string")
+    found = payloads.merged_leaves(df, ["k"], "at", "p")
+    assert plan(found).count("Exchange hashpartitioning") <= 2 and plan(found).count("Scan ExistingRDD") == 1  # each payload is opened once
+    want = payloads.leaves(payloads.merged(df, ["k"], "at", "p"), ["k"], "text")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
