@@ -6,7 +6,7 @@ import difflib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +20,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(x: Column | str) -> Column:
     return F.nullif(F.trim(c(x)), F.lit(""))
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Where a payload keeps its usage, in this order, and the names of its numbers.
 USAGE_KEYS = ["usage_metadata", "token_usage", "usage", "response_metadata", "additional_kwargs"]
 PROMPT_KEYS = ["prompt_tokens", "input_tokens"]
@@ -88,11 +90,6 @@ def token_usage(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return first.select(*keys, *[F.greatest(F.coalesce(f"u.{n}", F.lit(0)), F.lit(0)).alias(f"{n}_tokens") for n in ("prompt", "completion", "total")])
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _leaves(value: Column, levels: int, arrays: bool = True) -> Column:
     """array<struct<path, text>> of the values in a VARIANT that hold no other, in their order."""
     null, no = F.parse_json(F.lit("null")), F.lit(None)
@@ -102,8 +99,8 @@ def _leaves(value: Column, levels: int, arrays: bool = True) -> Column:
         return F.struct(F.coalesce(x, null).alias("value"), F.array_append(v["path"], step).alias("path"), F.lit(True).alias("fresh"))
 
     def opened(v: Column) -> Column:
-        named = _let(F.map_entries(_entries(v["value"])), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x: inner(v, x["value"], x["key"], no))))
-        placed = _let(_elements(v["value"]), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x, i: inner(v, x, no, i))))
+        named = let(F.map_entries(_entries(v["value"])), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x: inner(v, x["value"], x["key"], no))))
+        placed = let(_elements(v["value"]), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda x, i: inner(v, x, no, i))))
         own = F.array(F.struct(v["value"].alias("value"), v["path"].alias("path"), F.lit(False).alias("fresh")))
         return F.when(v["fresh"], F.coalesce(named, *([placed] if arrays else []), own)).otherwise(own)
 
@@ -144,13 +141,13 @@ def _written(found: Column) -> Column:
 
     def between(before: Column, path: Column) -> Column:
         differ = F.array_position(F.zip_with(before, path, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
-        return _let(differ, lambda n: F.concat(end(before, n + 1), F.lit(", "), label(F.get(path, n - 1)), begin(path, n + 1)))
+        return let(differ, lambda n: F.concat(end(before, n + 1), F.lit(", "), label(F.get(path, n - 1)), begin(path, n + 1)))
 
     def text(found: Column) -> Column:
         pieces = F.transform(found, lambda x, i: F.concat(F.when(i == 0, begin(x["path"], F.lit(1))).otherwise(between(F.get(found, i - 1)["path"], x["path"])), x["text"]))
         return F.concat(F.array_join(pieces, ""), end(F.get(found, F.size(found) - 1)["path"], F.lit(1)))
 
-    return _let(found, text)
+    return let(found, text)
 
 
 def canonical(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
@@ -188,7 +185,7 @@ def _settled(rows: DataFrame, by: list[str], order: str, payload: str, levels: i
     # An empty object is there by itself only where nothing lies in it: what does follows at once.
     full = lambda x, y: (x["text"] == "{}") & F.coalesce(F.slice(y["path"], 1, F.size(x["path"])) == x["path"], F.lit(False))
     all_ = F.sort_array(F.collect_list(F.struct("path", "text")))
-    return kept.groupBy(*by).agg(_let(all_, lambda s: F.filter(s, lambda x, i: ~full(x, F.get(s, i + 1)))).alias("found"))
+    return kept.groupBy(*by).agg(let(all_, lambda s: F.filter(s, lambda x, i: ~full(x, F.get(s, i + 1)))).alias("found"))
 
 
 def merged(rows: DataFrame, by: list[str], order: str, payload: str) -> DataFrame:

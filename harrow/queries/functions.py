@@ -103,7 +103,8 @@ select l_orderkey, l_linenumber, regexp_replace(p, '\\[\\d+\\]', '', 'g') as bar
 def xpath_functions(load):
     middle = F.when(F.col("l_returnflag") == "A", '//*[@id="m"]').when(F.col("l_returnflag") == "N", '/ul[@class="popup"]').otherwise("")
     p = F.concat(F.lit("//div["), F.col("l_linenumber").cast("string"), F.lit("]"), middle, F.lit("/a["), (F.col("l_partkey") % 9).cast("string"), F.lit("]"))
-    return load("lineitem").select("l_orderkey", "l_linenumber", xpaths.bare(p).alias("bare"), xpaths.stability(p).alias("stability"), xpaths.over_broad(p).alias("broad"))
+    found = load("lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
+    return found.select("l_orderkey", "l_linenumber", xpaths.bare("p").alias("bare"), xpaths.stability("p").alias("stability"), xpaths.over_broad("p").alias("broad"))
 
 
 _ASKED = "case o_orderstatus when 'F' then ' Category' when 'O' then 'none' else o_orderpriority end as asked"
