@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import xpaths
 from ..functions.text import safe_divide
+from ..sources.shared import cut
 
 
 def ranked(rows: DataFrame, by: list[str], xpath: str, pos: str) -> DataFrame:
@@ -42,12 +43,12 @@ def segment_consensus(rows: DataFrame, by: list[str], xpath: str, pos: str, majo
     """One pattern from the paths of the commonest depth: tags must agree, positions stay where a
     share of ``majority`` has the same, predicates where all have them.
 
-    Different paths carry weights, so rows are aggregated before anything is parsed. Votes for positions and
+    Different paths carry weights, so rows are aggregated before anything is parsed; the paths and their segments, read twice, are a table in the shared folder. Votes for positions and
     predicates are counted in one aggregation, patterns made for every depth, and the depth chosen last;
     ``majority`` = 1 and ``accept`` = 0.6 give the strict form for links.
     """
     paths = rows.groupBy(*by, F.trim(F.col(xpath)).alias("__p")).agg(F.count("*").alias("__w"), F.min(pos).alias("__f"))
-    named = paths.withColumn("__s", xpaths.segments("__p")).withColumn("__n", F.size("__s")).where("__n > 0")
+    named = cut(paths.withColumn("__s", xpaths.segments("__p")).withColumn("__n", F.size("__s")))
     place = [*by, "__n", "__i"]
     votes = F.transform(F.array_distinct("__x.attributes"), lambda q: F.struct(F.lit(True).alias("named"), q.alias("value")))
     position = F.array(F.struct(F.lit(False).alias("named"), F.col("__x.index").cast("string").alias("value")))
@@ -71,9 +72,9 @@ def segment_consensus(rows: DataFrame, by: list[str], xpath: str, pos: str, majo
     best = depths.groupBy(*by).agg(F.max_by(F.struct("__n", "__all", "__mixed"), F.struct("__rows", (-F.col("__first")).alias("f"))).alias("__b"))
     pattern = best.where("not __b.__mixed").select(*by, "__b.__n", F.array_join(F.transform("__b.__all", lambda s: s["text"]), "").alias("pattern"))
     exact, shape = F.col("__p") == F.col("pattern"), xpaths.strip_index("__p") == xpaths.strip_index("pattern")
-    share = lambda hit: F.sum(F.when(hit, F.col("__w")).otherwise(0)) / F.sum("__w")
-    own = paths.withColumn("__n", F.size(xpaths.steps("__p")))
-    scored = own.join(pattern, [*by, "__n"]).groupBy(*by, "pattern").agg(F.round(0.7 * share(exact) + 0.3 * share(shape), 4).alias("confidence"), F.sum("__w").alias("support"))
+    # In whole tenths and one division, so a confidence that is a half in its last digit is rounded up as its exact value.
+    tenths = F.sum(F.col("__w") * (F.when(exact, 7).otherwise(0) + F.when(shape, 3).otherwise(0)))
+    scored = named.drop("__s").join(pattern, [*by, "__n"]).groupBy(*by, "pattern").agg(F.round(tenths / (F.sum("__w") * 10), 4).alias("confidence"), F.sum("__w").alias("support"))
     return scored.where(F.col("confidence") >= accept)
 
 
@@ -87,11 +88,12 @@ def index_free_mode(rows: DataFrame, by: list[str], xpath: str, pos: str, accept
 
 
 def suffix_consensus(rows: DataFrame, by: list[str], xpath: str) -> DataFrame:
-    """The longest common run of tags at the end of all paths, as //..., if it has two steps at least."""
-    tags = F.reverse(F.transform(xpaths.segments(F.trim(F.col(xpath))), lambda s: s["tag"]))
-    steps = rows.select(*by, F.posexplode(tags).alias("i", "tag"))
-    n = rows.groupBy(*by).agg(F.count("*").alias("paths"))
-    level = steps.groupBy(*by, "i").agg(F.count("*").alias("rows"), F.min("tag").alias("tag"), F.max("tag").alias("other")).join(n, by)
+    """The longest common run of tags at the end of all paths, as //..., if it has two steps at least. Only different paths are parsed."""
+    paths = rows.groupBy(*by, F.trim(F.col(xpath)).alias("__p")).agg(F.count("*").alias("__w"))
+    tags = F.reverse(F.transform(xpaths.steps("__p"), lambda s: s["tag"]))
+    steps = paths.select(*by, "__w", F.posexplode(tags).alias("i", "tag"))
+    n = paths.groupBy(*by).agg(F.sum("__w").alias("paths"))
+    level = steps.groupBy(*by, "i").agg(F.sum("__w").alias("rows"), F.min("tag").alias("tag"), F.max("tag").alias("other")).join(n, by)
     broken = (F.col("tag") != F.col("other")) | (F.col("rows") != F.col("paths"))
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     good = level.withColumn("b", F.max(broken.cast("int")).over(w)).where("b = 0")

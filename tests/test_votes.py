@@ -1,3 +1,5 @@
+import re
+
 from harrow.operators import votes
 from harrow.functions import xpaths
 from pyspark.sql import functions as F
@@ -30,3 +32,39 @@ def test_exact_vote_prefers_support_then_stability(spark):
     df = spark.createDataFrame([("k", i, p) for i, p in enumerate(["/a[1]", "//*[@id='q']", "/a[1]", "//*[@id='q']", "/c"])], "k string, pos int, x string")
     r = votes.exact_vote(df, ["k"], "x", "pos").first()
     assert (r.x, r.support, r.dominant, r.fallbacks) == ("//*[@id='q']", 2, False, ["/a[1]", "/c"])
+
+
+def count(df, what):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_a_step_splits_its_path_once(spark):
+    df = spark.createDataFrame([("//ul[@id='m'][2]//li/*",), (" /a/b[1] | //div ",), ("//*[@data-x='1']/a//b",), ("",), (None,)], "x string")
+    found = df.select(xpaths.steps("x").alias("s"), xpaths.over_broad("x").alias("b"))
+    assert count(df.select(xpaths.steps("x").alias("s")), "split(x") + count(df.select(xpaths.steps("x").alias("s")), "split(trim(x") <= 1
+    rows = found.collect()
+    assert [(s.separator, s.tag, s.predicates) for s in rows[0].s] == [("//", "ul", ["@id='m'", "2"]), ("//", "li", []), ("/", "*", [])]
+    assert [r.b for r in rows] == [False, True, False, True, True]
+
+
+def test_consensus_reads_its_rows_once(spark, tmp_path):
+    paths = ["/html/div[1]/a"] * 3 + ["/html/div[2]/a", " /html/div[2]/a ", "x", "", None]
+    spark.createDataFrame([(k, i, p) for k in "ab" for i, p in enumerate(paths)], "k string, pos int, x string").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    found = votes.segment_consensus(df, ["k"], "x", "pos", accept=0.3)
+    assert str(tmp_path / "p") not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "/html/div/a", 0.3, 5), ("b", "/html/div/a", 0.3, 5)]
+
+
+def test_suffixes_of_different_paths(spark):
+    df = spark.createDataFrame([("k", p) for p in ["/a/ul/li[1]", "/a/ul/li[1]", " /b/ul/li", "//ul/li"]] + [("n", "/a/b"), ("n", None)], "k string, x string")
+    found = votes.suffix_consensus(df, ["k"], "x")
+    assert [tuple(r) for r in found.collect()] == [("k", "//ul/li")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate[^\n]*\n(?:[^\n]*(?:Project|Filter)[^\n]*\n)*[^\n]*Aggregate", plan)  # paths are aggregated below the place where they are parsed
+
+
+def test_confidence_at_a_half(spark):
+    rows = [("k", i, f"/a/b[{1 if i < 429 else 2}]") for i in range(528)]  # 0.7 * 429 / 528 + 0.3 = 0.86875
+    found = votes.segment_consensus(spark.createDataFrame(rows, "k string, pos int, x string"), ["k"], "x", "pos")
+    assert [tuple(r) for r in found.collect()] == [("k", "/a/b[1]", 0.8688, 528)]
