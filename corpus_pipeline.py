@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import decontaminate, language, linededup, neardup, packing
-from harrow.llm.common import shared_folder, table, unused
+from harrow.llm.common import shared_folder, small_batches, table, unused
 
 LEAST_SCORE = 0.5  # of the predicted language; documents below it, or without a letter, are rejected
 
@@ -15,6 +15,7 @@ ORACLE_SQL = None  # SQL can express neither the classifier nor the tokenizer
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some confidence; all of them where no label is there to learn from."""
+    small_batches(spark)
     model = language.fit(docs)
     if model is None:
         return docs
@@ -33,16 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return neardup.NearDuplicates(docs).deduplicated()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no window of a benchmark item."""
+    small_batches(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs, keep_ids=False)
 
 

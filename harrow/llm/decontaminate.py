@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PASSAGES, lookup, materialise, merged, only, shared, table
+from .common import PASSAGES, lookup, materialise, merged, only, shared, table, tidy
 
 BLOCK_BYTES = 8 << 20  # of benchmark text whose windows are broadcast at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -139,8 +139,8 @@ class Windows:
         return a, a + self.length[w] if len(w) else a, w
 
 
-def _slices(column: pa.Array, weight: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of some MB, so that a task holds the words of one run."""
+def _slices(column: pa.Array, weight: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about a MB, so that a task holds the words of one run."""
     held, size, start = [], 0, 0
     for i, t in enumerate(column):
         held.append(t.as_py())
@@ -156,6 +156,7 @@ def _rarity(docs: DataFrame, index: Windows) -> dict[int, np.ndarray]:
     """How often the shingles of the windows stand in the texts (column body), for each shingle length."""
     get = shared(docs.sparkSession, index)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = get()
         sums = {s: np.zeros(len(x), np.int64) for s, x in index.shingles.items()}
@@ -209,6 +210,7 @@ def _marked(rows: DataFrame, block: list[tuple[str, str]], width: int, shingle:
     index.choose(_rarity(rows, index))
     get = shared(rows.sparkSession, index)
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = get()
         for batch in batches:

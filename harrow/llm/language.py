@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, shared, table
+from .common import materialise, packed, shared, table, tidy
 from .learning import SAMPLE_ROWS, Ftrl, bucket_sums, mix, sample
 
 BUCKETS_LOG2 = 15
@@ -88,6 +88,7 @@ def held_out(key: str) -> Column:
 def _idf(rows: DataFrame) -> np.ndarray:
     """From the document frequencies over all rows."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BUCKETS_LOG2, np.int64), 0
         for batch in batches:
@@ -120,6 +121,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     model.dense = model.ftrl.weights()
     get = shared(docs.sparkSession, model)
 
+    @tidy
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = get(), np.zeros(len(TEMPERATURES))
         for batch in batches:
@@ -144,6 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", l
         return docs.withColumns({lang_pred: F.lit("und"), score: F.lit(0.0)})
     get = shared(docs.sparkSession, model.weights_only())
 
+    @tidy
     def guess(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = get()
         for body in bodies:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import give_back, shared
 
 SAMPLE_ROWS = 20_000  # labelled rows that a classifier is fitted on, at most (expected number)
 PARTS, PART_ROWS = 6, 3000  # groups that learn side by side: as many as have PART_ROWS rows each, PARTS at most
@@ -67,7 +67,10 @@ def mix(rows: DataFrame, model, learn: Callable[[object, Iterator[tuple]], int],
             own = get()  # noqa: B023
             table = table.sort_by("key").select(names)
             seen = learn(own, (r for b in table.to_batches(500) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
-            return pa.table([pa.array([seen], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in own.arrays], names=["seen", *(f"a{i}" for i in range(len(own.arrays)))])
+            out = pa.table([pa.array([seen], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in own.arrays], names=["seen", *(f"a{i}" for i in range(len(own.arrays)))])
+            del own, table
+            give_back()
+            return out
 
         got = [r for r in grouped.groupBy("part").applyInArrow(part, schema).collect() if r.seen]  # PARTS states at most
         total = sum(r.seen for r in got)

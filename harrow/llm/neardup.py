@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise, only, table, unused
+from .common import components, lookup, materialise, only, table, tidy, unused
 from .words import hashes
 
 _BITS = 16
@@ -113,10 +113,11 @@ class NearDuplicates:
         """doc_id, n_shingles, row (hash of the row), same (digest of the set, null for an empty set), sig, parity."""
         width, positions = self.width, self.positions
 
+        @tidy
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signer = Signer(positions)
             for batch in batches:
-                for start, n in _batches(batch.column(2)):
+                for start, n in _batches(batch.column(2), 1 << 20):
                     part = batch.slice(start, n)
                     sizes, same, sigs, odd = [], [], [], []
                     for words in hashes(part.column(2).to_pylist()):
@@ -137,6 +138,7 @@ class NearDuplicates:
     def _keys(self, reps: DataFrame) -> DataFrame:
         chosen, positions, bits = self.masks, self.positions, np.uint64(self.bits)
 
+        @tidy
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not len(batch):
@@ -165,9 +167,10 @@ class NearDuplicates:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = materialise(reps.join(nodes, "node", "left_semi").select("node", "row", "same"))
 
+        @tidy
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, n in _batches(batch.column(0)):
+                for start, n in _batches(batch.column(0), 1 << 20):
                     grams = [shingles(words, width) for words in hashes(batch.column(0).slice(start, n).to_pylist())]
                     same = [xxhash.xxh3_128_digest(g.tobytes()) for g in grams]
                     yield pa.record_batch([pa.array(same, pa.binary()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["same", "grams"])

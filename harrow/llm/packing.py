@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 # The split of the byte-level vocabulary, written out for U+0000 to U+024F: contractions, letters, numbers, other signs, white space.
@@ -173,6 +173,7 @@ def pack(docs: DataFrame, width: int = 1024, open_windows: int = 256, vocabulary
     windows, are merged in one task at a time, in as many rounds as it takes.
     """
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows, part, number = Encoder(vocabulary), OpenWindows(width, open_windows), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()

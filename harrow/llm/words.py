@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20  # bytes that are hashed at once; a longer word is one piece
+PIECE = 1 << 18  # bytes that are hashed at once; a longer word is one piece
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])

@@ -61,3 +61,37 @@ def test_no_machine_local_folder_on_a_cluster():
     cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(cluster)
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    before = spark.conf.get(common.BATCH_ROWS)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(common.BATCH_ROWS, given)
+            common.small_batches(spark)
+            assert spark.conf.get(common.BATCH_ROWS) == want
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
+
+
+def test_a_task_leaves_no_cycles_behind():
+    """Globals of functions that came by value are cycles; an undecorated task leaves them to a later run of the collector."""
+    import gc
+    import weakref
+
+    left = []
+
+    def task(batches):
+        for b in batches:
+            cycle = type("Cycle", (), {})()
+            cycle.own = cycle
+            left.append(weakref.ref(cycle))
+            yield b
+
+    gc.disable()
+    try:
+        assert list(task(iter([1, 2]))) == [1, 2] and left[-1]() is not None
+        left.clear()
+        assert list(common.tidy(task)(iter([1, 2]))) == [1, 2] and all(x() is None for x in left)
+    finally:
+        gc.enable()

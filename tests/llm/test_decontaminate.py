@@ -75,3 +75,11 @@ def test_many_blocks_and_any_columns(spark):
     for size in (100, 1 << 20):
         left = decontaminate.decontaminated(rows, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
         assert left.columns == rows.columns and sorted(map(str, left.collect())) == sorted(map(str, rows.where("coalesce(text, '') in ('clean text', '')").collect()))
+
+
+def test_a_task_holds_the_words_of_about_a_megabyte():
+    import pyarrow as pa
+
+    texts = ["x" * 1000] * 5000
+    runs = list(decontaminate._slices(pa.array(texts)))
+    assert sum(len(r) for _, r in runs) == len(texts) and max(sum(map(len, r)) for _, r in runs) <= (1 << 20) + 1000
