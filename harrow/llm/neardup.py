@@ -30,8 +30,10 @@ from .common import components, lookup, materialise, only, table, tidy, unused
 from .words import hashes
 
 _BITS = 16
+_LISTED = 32
 MISS = 1e-5
 _LANES = 16
+FEW = 16  # of a bucket's nodes outside its largest part: so many are compared with all of the bucket, more are told apart by their shingles
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROTATE = np.uint64(29)
 
@@ -161,10 +163,9 @@ class NearDuplicates:
             first = F.when(sum(map(differs, own), F.lit(0)) <= len(own) - len(keys[0]), k).otherwise(first)
         return first
 
-    def _confirm(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough. Only the texts of documents in the pairs are read into sets."""
+    def _sets(self, nodes: DataFrame, reps: DataFrame) -> DataFrame:
+        """node, grams (the full set) of the nodes. Only their texts are read into sets."""
         width = self.width
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = materialise(reps.join(nodes, "node", "left_semi").select("node", "row", "same"))
 
         @tidy
@@ -176,12 +177,49 @@ class NearDuplicates:
                     yield pa.record_batch([pa.array(same, pa.binary()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["same", "grams"])
 
         rows = self.docs.select(self._row(), "text").join(lookup(wanted.select("row")), "row", "left_semi").select("text")
-        found = materialise(rows.mapInArrow(sets, "same binary, grams array<long>").join(lookup(wanted.select("node", "same")), "same").select("node", "grams"))
+        return materialise(rows.mapInArrow(sets, "same binary, grams array<long>").join(lookup(wanted.select("node", "same")), "same").select("node", "grams"))
+
+    def _confirm(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
+        found = self._sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), reps)
         left, right = found.withColumnsRenamed({"node": "a", "grams": "x"}), found.withColumnsRenamed({"node": "b", "grams": "y"})
         shared = F.size(F.array_intersect("x", "y"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         return materialise(both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * self.percent).select("a", "b").distinct())
 
+    def _near(self, n: str, m: str, p: str, q: str) -> Column:
+        """Whether sizes n, m and parities p, q allow the wanted similarity."""
+        sizes = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+        differ = sum((F.bit_count(F.get(p, F.lit(i)).bitwiseXOR(F.get(q, F.lit(i)))) for i in range(_LANES)), F.lit(0))
+        return sizes & (differ * (100 + self.percent) <= (F.col(n) + F.col(m)) * (100 - self.percent))
+
+    @staticmethod
+    def _parts(wide: DataFrame, on: str) -> DataFrame:
+        """The values of ``on`` that several parts hold: most (the root of the largest part), others (how many nodes are outside)."""
+        sizes = wide.groupBy(on, "root").agg(F.count("*").alias("n")).groupBy(on)
+        return sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+
+    def meetings(self, crowd: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes of a crowd (node, root, n) that are in different parts, share a key and meet under a shingle, at least all of these that are similar enough.
+
+        With the shingles of every set in one order, the rarest of the crowd first, the first
+        that two sets share stands in each no later than leaves room for as many as they must share.
+        So a common frame, which stands last, brings together only sets of little else. A pair comes
+        from the first shingle that it shares, as far as the first ``_LISTED`` of both tell.
+        """
+        grams = self._sets(crowd.select("node"), reps).join(lookup(crowd, 24), "node").select("node", "root", "n", F.explode("grams").alias("gram"))
+        common = materialise(grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "c"))
+        own = grams.join(lookup(common), "gram").groupBy("node", "root", "n").agg(F.array_sort(F.collect_set(F.struct("c", "gram"))).alias("own"))
+        first = own.select("node", "root", "n", F.size("own").alias("k"), F.slice("own.gram", 1, _LISTED).alias("list"), F.posexplode("own").alias("i", "own")).select("node", "root", "n", "list", "own.gram", (F.col("n") - F.col("k") + F.col("i")).alias("at"))
+        first = materialise(first.where((F.col("n") - F.col("at")) * 100 >= F.col("n") * self.percent))
+        wide = first.join(self._parts(first, "gram").select("gram", "most"), "gram").join(reps.select("node", "parity", "sig"), "node")
+        odd = wide.where("root <> most").select("gram", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("list").alias("l"), F.col("parity").alias("q"), F.col("sig").alias("s"))
+        once = (F.col("root") == F.col("most")) | (F.col("u") < F.col("node"))
+        room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by")) * (100 + self.percent) >= (F.col("n") + F.col("m")) * self.percent
+        pair = room & self._near("n", "m", "parity", "q") & self._first_chunk("s", "sig").isNotNull()
+        new = F.coalesce(F.get(F.array_intersect("l", "list"), F.lit(0)), "gram") == F.col("gram")
+        return odd.join(wide, "gram").where((F.col("r") != F.col("root")) & once & pair & new).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+
     def links(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) between different sets, enough for the right components, and the (node, root) table.
 
@@ -191,6 +229,7 @@ class NearDuplicates:
         parts, the nodes outside the largest part are joined with all of another part, under
         the bound of the parity sketches: no bucket has its pairs enumerated within a part, and
         a pair comes only from the first chunk in which it shares a key, not from each of its keys.
+        Where more than FEW nodes are outside, those of the bucket meet under their rarest shingles instead.
         """
         keys = self._keys(reps)
         buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -202,14 +241,15 @@ class NearDuplicates:
         links = self._confirm(best, reps)
         parts = components(links)
         wide = materialise(keys.select("key", "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        counts = wide.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        wide = wide.join(counts.select("key", "most"), "key").join(reps.select("node", "n", "parity", "sig"), "node")
-        odd = wide.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("parity").alias("q"), F.col("sig").alias("s"))
-        differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(_LANES)), F.lit(0))
-        near = differ * (100 + self.percent) <= (F.col("n") + F.col("m")) * (100 - self.percent)
+        counts = materialise(self._parts(wide, "key"))
+        few = wide.join(counts.where(F.col("others") <= FEW).select("key", "most"), "key").join(reps.select("node", "n", "parity", "sig"), "node")
+        odd = few.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("parity").alias("q"), F.col("sig").alias("s"))
         of_key = F.get(F.array(*[F.lit(k) for k, (_, own) in enumerate(self.chunks) for _ in own]), F.col("key").bitwiseAND((1 << self.bits) - 1).cast("int"))
         once = (F.col("root") == F.col("most")) | (F.col("u") < F.col("node"))  # two nodes outside the largest part meet twice
-        cross = odd.join(wide, "key").where((F.col("r") != F.col("root")) & once & near & (of_key == self._first_chunk("s", "sig"))).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+        cross = odd.join(few, "key").where((F.col("r") != F.col("root")) & once & self._near("n", "m", "parity", "q") & (of_key == self._first_chunk("s", "sig"))).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+        crowd = materialise(wide.join(counts.where(F.col("others") > FEW).select("key"), "key", "left_semi").select("node", "root").distinct().join(reps.select("node", "n"), "node"))
+        if not crowd.isEmpty():
+            cross = cross.union(self.meetings(crowd, reps)).distinct()
         more = materialise(cross.join(best, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.union(self._confirm(more, reps))

@@ -106,3 +106,47 @@ def test_each_pair_comes_from_the_first_chunk_it_shares(spark):
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int")
     assert [r for r in df.select("want", found._first_chunk("a", "b").alias("got")).collect() if r.want != r.got] == []
     assert len({r[2] for r in rows}) > 3
+
+
+def framed(n, own, frame=100, seed=4):
+    rng = random.Random(seed)
+    base = [f"f{i}" for i in range(frame)]
+    return [" ".join([*base, *(f"o{rng.randrange(10**9)}" for _ in range(own))]) for _ in range(n)]
+
+
+def cpu_seconds(spark, work):
+    """What Spark's tasks take of the CPU beside their Python."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(e.totalDuration() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False))) / 1000
+    before = total()
+    work()
+    return total() - before
+
+
+def test_texts_around_a_common_frame_cost_as_unlike_ones(spark):
+    run(spark, [(i, t) for i, t in enumerate(framed(50, 30))])  # what only a first run takes
+    unlike = cpu_seconds(spark, lambda: run(spark, [(i, t) for i, t in enumerate(framed(1200, 130, 0))]))
+    alike = cpu_seconds(spark, lambda: run(spark, [(i, t) for i, t in enumerate(framed(1200, 30))]))
+    assert alike < 3 * unlike + 5
+
+
+def test_similar_sets_of_a_crowd_meet(spark):
+    texts = [*framed(200, 30), *framed(60, 9, seed=5), *(t for s in range(6) for t in family(s, 25, 90 + 30 * s, 6)), *family(9, 40, 12, 2), "one two", "one two three", "one"]
+    docs = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    found = neardup.NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85)
+    reps = found.signatures().selectExpr("doc_id as node", "n_shingles as n", "row", "same", "sig", "parity").localCheckpoint()
+    met = {(r.a, r.b) for r in found.meetings(reps.selectExpr("node", "node as root", "n"), reps).collect()}
+    sets = [grams(t, 3) for _, t in docs]
+    near = {(i, j) for i, j in combinations(range(len(docs)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert near and near <= met
+    assert not [(a, b) for a, b in met if b < 200]  # of texts around a frame none meet
+    apart = found.meetings(reps.selectExpr("node", "node % 7 as root", "n"), reps).collect()
+    assert {p for p in near if p[0] % 7 != p[1] % 7} <= {(r.a, r.b) for r in apart}
+    assert all(r.a % 7 != r.b % 7 for r in apart)
+
+
+def test_crowded_buckets_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 1)
+    texts = [*framed(80, 12), *framed(40, 30), *(t for s in range(6) for t in family(s, 30, 90 + 30 * s, 9 + s)), *family(9, 40, 12, 2)]
+    docs = [(5000 - i, t) for i, t in enumerate(texts)] + [(4990, texts[10]), (4990, texts[10]), (7, texts[11].upper())]
+    assert run(spark, docs) == brute(docs, 3, 85)
